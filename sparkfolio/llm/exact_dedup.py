@@ -62,14 +62,16 @@ def recipes(docs: DataFrame, bits: int = 64, least: int = CHUNK_MIN, most: int =
 def exact_dedup(docs: DataFrame, bits: int = 64, least: int = CHUNK_MIN, most: int = CHUNK_MAX) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, row_at.
 
-    Groups are counted before they are shuffled, and each group comes back as one row, so a group of any size
-    costs its task no more than its rows do; a skewed join partition is split by the planner.
+    Groups are counted before they are shuffled, and each group of several rows comes back as one row of a stored
+    table; the join with it stands alone in its stage, so the planner can split the partition of a large group.
     """
     found = recipes(docs, bits, least, most)
     groups = found.groupBy("recipe").agg(F.min(F.struct("doc_id", "row_at")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return found.join(groups, "recipe").select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
-        (F.col("row_at") == F.col("first.row_at")).alias("kept"), "text_sha256", "row_at",
+    groups = stored(groups.where("group_size > 1"), "groups")
+    alone = F.col("group_size").isNull()
+    return found.join(groups, "recipe", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row_at") == F.col("first.row_at"))).alias("kept"), "text_sha256", "row_at",
     )
 
 

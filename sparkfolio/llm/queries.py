@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, language_id, packing
 from .common import table
 
 MARKS = "<|im_end|><|im_start|>assistant ok"
@@ -21,7 +21,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_chats(rows.unionByName(more)))).drop("bad_turn")
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op10_chat_format": op10_chat_format}
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op9(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
 
 ORACLES = {
     "op2_exact_dedup": r"""

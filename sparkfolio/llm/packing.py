@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .common import arrow_rows, stored
 
 CAPACITY, FINE, END, TOKENIZER = 2048, 16, 1, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and characters of a word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 300_000, 40
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, at long"
 
@@ -46,38 +47,80 @@ def cuts(n: int, capacity: int = CAPACITY, fine: int = FINE) -> list[int]:
 
 class WordIds:
     """Token ids of texts as little-endian bytes. The tokenizer never joins anything across white space, so words
-    are looked up one by one and each is tokenised once while it is remembered; texts with special tokens or
-    separators that only some libraries call white space go to the tokenizer whole.
+    are looked up one by one and each is tokenised once while it is remembered: those of the last two generations
+    are, a generation being CACHE_WORDS words. Texts with special tokens or with separators that only some libraries
+    call white space go to the tokenizer whole.
     """
 
     odd = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    #: Symbols that the tokenizer parts from the letters before them.
+    symbols = ".,;:!?|#%$&*)"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def encode(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """As encode(), for words of letters: tokenised as one text, then parted where words end."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self.encode(words)
+        blob, ends = ids.tobytes(), (4 * ends).tolist()
+        return [blob[x:y] for x, y in zip([0, *ends], ends)]
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Look up distinct words that this generation has not met; returned are very long ones, which it does not keep."""
+        known, old, plain, other = self.known, self.old, [], []
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            else:
+                core = w.rstrip(self.symbols)
+                if core.isalpha() and len(w) <= CACHE_CHARS:
+                    plain.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+                else:
+                    other.append(w)
+        cores = list({c for _, c, _ in plain if c not in known})
+        known.update(zip(cores, self.encode_letters(cores)))
+        tails = list({t for _, _, t in plain if t not in known})
+        known.update(zip(tails, self.encode(tails)))
+        for w, c, t in plain:
+            known[w] = known[c] + known[t] if t else known[c]
+        found = dict(zip(other, self.encode(other)))
+        long = {w: found.pop(w) for w in other if len(w) > CACHE_CHARS}
+        known.update(found)
+        return long
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if any(x in text for x in self.odd):
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
+        whole = [any(x in t for x in self.odd) for t in texts]
+        words = [[] if o else t.split() for t, o in zip(texts, whole)]
+        long = self.learn(list(set().union(*words).difference(self.known)))
+        for text, o, own in zip(texts, whole, words):
+            if o:
                 yield self.encode([text])[0]
-                continue
-            words = text.split()
-            if new := [w for w in set(words) if w not in self.known]:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known = {}
-                    new = list(set(words))
-                found = dict(zip(new, self.encode(new)))
-                self.known.update((w, b) for w, b in found.items() if len(w) <= CACHE_CHARS)
-                if len(new) > CACHE_WORDS or any(len(w) > CACHE_CHARS for w in new):
-                    get = {**self.known, **found} if len(words) > 1000 and len(found) > 1000 else None
-                    yield b"".join([found[w] if w in found else self.known[w] for w in words]) if get is None else b"".join([get[w] for w in words])
-                    continue
-            yield b"".join([*map(self.known.__getitem__, words)])
+            elif long:
+                yield b"".join([self.known[w] if w in self.known else long[w] for w in own])
+            else:
+                yield b"".join([*map(self.known.__getitem__, own)])
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, kept from task to task."""
+    return WordIds(path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -90,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """PIECES: `task` and `at` number the pieces of one length within the task that cut them."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, task, seen = WordIds(tokenizer or tokenizer_path(TOKENIZER)), TaskContext.get().partitionId(), {}
+        ids, task, seen = word_ids(tokenizer or tokenizer_path(TOKENIZER)), TaskContext.get().partitionId(), {}
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []

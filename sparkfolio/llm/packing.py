@@ -30,7 +30,7 @@ from .common import arrow_rows, stored
 
 CAPACITY, FINE, END, TOKENIZER = 2048, 16, 1, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and characters of a word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+CACHE_WORDS, CACHE_CHARS = 600_000, 40
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, at long"
 
@@ -81,21 +81,24 @@ class WordIds:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Look up distinct words that this generation has not met; returned are very long ones, which it does not keep."""
-        known, old, plain, other = self.known, self.old, [], []
+        known, old = self.known, self.old
+        plain, cores_of, tails_of, other = [], [], [], []
         for w in words:
             if w in old:
                 known[w] = old[w]
             else:
                 core = w.rstrip(self.symbols)
                 if core.isalpha() and len(w) <= CACHE_CHARS:
-                    plain.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+                    plain.append(w)
+                    cores_of.append(core.lower() if core.isascii() else core)
+                    tails_of.append(w[len(core) :])
                 else:
                     other.append(w)
-        cores = list({c for _, c, _ in plain if c not in known})
+        cores = list(set(cores_of).difference(known))
         known.update(zip(cores, self.encode_letters(cores)))
-        tails = list({t for _, _, t in plain if t not in known})
+        tails = list(set(tails_of).difference(known))
         known.update(zip(tails, self.encode(tails)))
-        for w, c, t in plain:
+        for w, c, t in zip(plain, cores_of, tails_of):
             known[w] = known[c] + known[t] if t else known[c]
         found = dict(zip(other, self.encode(other)))
         long = {w: found.pop(w) for w in other if len(w) > CACHE_CHARS}

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, ngram_join, packing
+from . import chat_format, exact_dedup, fingerprints, language_id, ngram_join, packing
 from .common import table
 
 MARKS = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_at")
 
@@ -33,7 +37,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_weighted_sampling": op1_weighted_sampling, "op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
 
 ORACLES = {
     "op2_exact_dedup": r"""

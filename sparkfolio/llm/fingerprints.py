@@ -46,60 +46,79 @@ def _unit(h: np.ndarray, shift: int, bits: int) -> np.ndarray:
 
 
 def draws(terms: np.ndarray, weights: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each (term, weight) and sample: ln a, and 16 bits that stand for (term, t)."""
-    seeds = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    loga, code = np.empty((len(terms), samples), np.float32), np.empty((len(terms), samples), np.uint16)
+    """For each (term, weight) and sample: ln a and t."""
+    loga, level = np.empty((len(terms), samples), np.float32), np.empty((len(terms), samples), np.float32)
+    logw = np.log(weights.astype(np.float32))[:, None]
+    seeds = _seeds(samples)
     for i in range(0, len(terms), BLOCK):
-        h1 = _mix(terms[i : i + BLOCK, None] ^ seeds)
-        h2 = _mix(h1 + np.uint64(0x9E3779B97F4A7C15))
-        r = -np.log(_unit(h1, 0, 23) * _unit(h1, 23, 23))
-        c = -np.log(_unit(h2, 0, 23) * _unit(h2, 23, 23))
-        b = _unit(h1, 46, 18)
-        t = np.floor(np.log(weights[i : i + BLOCK, None]) / r + b)
-        loga[i : i + BLOCK] = np.log(c) - r * (t - b) - r
-        code[i : i + BLOCK] = (_mix(h2 ^ (t.astype(np.int64) + 1).view(np.uint64)) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-    return loga, code
-
-
-def _terms(text: str, known: dict[str, int]) -> list[tuple[int, int]]:
-    """(hash, weight) of each word."""
-    out = []
-    for word, n in Counter(text.encode("utf-8", "surrogatepass").lower().split()).items():
-        h = known.get(word)
-        if h is None:
-            h = known[word] = xxhash.xxh3_64_intdigest(word)
-        out.append((h, n * len(word)))
-    return out
+        h = _mix(terms[i : i + BLOCK, None] ^ seeds)
+        r = -np.log(_unit(h, 0, 23) * _unit(h, 23, 23))
+        b = _unit(h, 46, 18)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        t = np.floor(logw[i : i + BLOCK] / r + b)
+        level[i : i + BLOCK] = t
+        t -= b
+        t += 1
+        t *= r
+        c = np.log(_unit(h, 0, 23) * _unit(h, 23, 23))
+        np.log(np.negative(c, out=c), out=c)
+        np.subtract(c, t, out=loga[i : i + BLOCK])
+    return loga, level
+
+
+def _seeds(samples: int) -> np.ndarray:
+    return _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _codes(terms: np.ndarray, level: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """16 bits, never all zero, that stand for (term, t)."""
+    h = _mix(terms ^ seeds ^ (level.astype(np.int64) + 1).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+
+
+class TermHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _terms(text: str, known: TermHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of the distinct words."""
+    words = Counter(text.encode("utf-8", "surrogatepass").lower().split())
+    n = len(words)
+    weights = np.fromiter(words.values(), np.uint64, n) * np.fromiter(map(len, words), np.uint64, n)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, n), weights
 
 
 def fingerprints(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     """A row of samples (uint16) for each text; equal texts have equal rows, wherever they stand."""
     out = np.zeros((len(texts), samples), np.uint16)
-    known: dict[str, int] = {}
-    begin = 0
+    known = TermHashes()
+    seeds, begin = _seeds(samples), 0
     while begin < len(texts):
         lists, n, end = [], 0, begin
         while end < len(texts) and (end == begin or n < BATCH_WORDS):
             lists.append(_terms(texts[end], known))
-            n += len(lists[-1])
+            n += len(lists[-1][0])
             end += 1
-        flat = np.array([x for own in lists for x in own], np.uint64).reshape(-1, 2)
-        terms, weights = flat[:, 0], flat[:, 1]
+        terms, weights = (np.concatenate(x) for x in zip(*lists))
         pairs, inverse = np.unique(terms ^ _mix(weights), return_inverse=True)
         first = np.zeros(len(pairs), np.int64)
         first[inverse] = np.arange(len(inverse))
-        loga, code = draws(terms[first], weights[first].astype(np.float32), samples)
+        loga, level = draws(terms[first], weights[first], samples)
         at, column = 0, np.arange(samples)
-        for d, own in enumerate(lists, begin):
-            if own:
+        for d, (own, _) in enumerate(lists, begin):
+            if len(own):
                 rows = inverse[at : at + len(own)]
-                # The order of a document's terms must not matter in a tie: the smallest code wins.
                 mine = loga[rows]
-                best = mine.min(0)
-                at_best = mine.argmin(0)
-                out[d] = code[rows[at_best], column]
-                if ((mine == best).sum(0) > 1).any():
-                    out[d] = np.where(mine == best, code[rows], np.uint16(0xFFFF)).min(0)
+                best = mine.argmin(0)
+                won = rows[best]
+                out[d] = _codes(terms[first[won]], level[won, column], seeds)
+                tied = (mine == mine[best, column]).sum(0) > 1
+                for k in np.flatnonzero(tied):  # the order of a document's terms must not matter: the least code wins
+                    same = rows[mine[:, k] == mine[best[k], k]]
+                    out[d, k] = _codes(terms[first[same]], level[same, k], seeds[k]).min()
                 at += len(own)
         begin = end
     return out

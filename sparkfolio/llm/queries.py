@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprints, language_id, ngram_join, packing, suffix_dedup
+from . import chat_format, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality_model, suffix_dedup
 from .common import table
 
 MARKS = "<|im_end|><|im_start|>assistant ok"
@@ -29,10 +29,18 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op9(table(spark, sf_dir, "documents"))
 
 
+def op4_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -41,7 +49,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op5_suffix_dedup": op5_suffix_dedup, "op1_weighted_sampling": op1_weighted_sampling, "op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
+QUERIES = {"op4_proportional_fitting": op4_proportional_fitting, "op8_kneser_ney": op8_kneser_ney, "op5_suffix_dedup": op5_suffix_dedup, "op1_weighted_sampling": op1_weighted_sampling, "op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
 
 ORACLES = {
     "op2_exact_dedup": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality_model, suffix_dedup
+from . import chat_format, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality_model, suffix_dedup, toxicity
 from .common import table
 
 MARKS = "<|im_end|><|im_start|>assistant ok"
@@ -29,6 +29,10 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op4_proportional_fitting": op4_proportional_fitting, "op8_kneser_ney": op8_kneser_ney, "op5_suffix_dedup": op5_suffix_dedup, "op1_weighted_sampling": op1_weighted_sampling, "op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
+QUERIES = {"op7_nearest_toxic": op7_nearest_toxic, "op4_proportional_fitting": op4_proportional_fitting, "op8_kneser_ney": op8_kneser_ney, "op5_suffix_dedup": op5_suffix_dedup, "op1_weighted_sampling": op1_weighted_sampling, "op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
 
 ORACLES = {
     "op2_exact_dedup": r"""

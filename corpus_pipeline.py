@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfolio.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from sparkfolio.llm.common import held_out, stored, table
+from sparkfolio.llm.common import held_out, stored, table, unused
 
 #: A document goes if no language is found or the most frequent one holds less than this share of its letters.
 LEAST_LANGUAGE = 0.5
@@ -22,9 +22,10 @@ SHINGLE, NUM, DEN = 5, 4, 5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; where `lang` is null it becomes the language found."""
     model = language_id.train(docs.where(~held_out()))
-    found = language_id.identify(docs, model, prefix="_folio_")
-    kept = found.where((F.col("_folio_lang_pred") != "und") & (F.col("_folio_lang_score") >= LEAST_LANGUAGE))
-    return kept.withColumn("lang", F.coalesce("lang", "_folio_lang_pred")).select(*docs.columns)
+    own = unused(docs, "_folio_")
+    found = language_id.identify(docs, model, prefix=own)
+    kept = found.where((F.col(f"{own}lang_pred") != "und") & (F.col(f"{own}lang_score") >= LEAST_LANGUAGE))
+    return kept.withColumn("lang", F.coalesce("lang", f"{own}lang_pred")).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of near copies connect, the document with the smallest doc_id. Rows without a doc_id stay."""
     classes = ngram_join.similarity_classes(docs, SHINGLE, NUM, DEN)
-    gone = stored(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_folio_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_folio_gone"], "left_anti")
+    key = unused(docs, "_folio_gone")
+    gone = stored(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

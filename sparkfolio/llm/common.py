@@ -26,6 +26,14 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, lengthened until it is no column's beginning."""
+    taken = [c.lower() for c in docs.columns]
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text, modulo 3, is 1. A null doc_id counts as held out: nothing is learned from it."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, text_or_empty
+from .common import SPACE, stored, text_or_empty, unused
 
 CHUNK_MIN, CHUNK_MAX = 512, 4096
 
@@ -77,6 +77,6 @@ def exact_dedup(docs: DataFrame, bits: int = 64, least: int = CHUNK_MIN, most: i
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat an earlier text; all columns stay as they are."""
-    at = "_folio_row_at"
+    at = unused(docs, "_folio_row_at")
     stay = exact_dedup(docs).where("kept").select(F.col("row_at").alias(at))
     return docs.withColumn(at, F.monotonically_increasing_id()).join(stay, at, "left_semi").drop(at)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, text_or_empty
+from .common import dropped, stored, text_or_empty, unused
 
 FRACTION, TEMPER, ROUNDS, CLOSE, SEED = 0.8, 0.7, 25, 1e-6, 17
 SIDES = ("source", "lang", "topic")
@@ -112,7 +112,8 @@ def sampled_rows(docs: DataFrame, targets: dict | None = None, fraction: float =
     """The rows of docs that are drawn, with their columns as they are."""
     text = text_or_empty()
     side = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_folio_source": side("source"), "_folio_lang": side("lang"), "_folio_topic": default_topic(text)})
-    found = chances(featured(docs), targets, fraction).select(*(F.col(s).alias(f"_folio_{s}") for s in SIDES), F.col("probability").alias("_folio_probability"))
-    rows = keyed.join(found, [f"_folio_{s}" for s in SIDES]).where(drawn(F.col("doc_id"), seed) < F.col("_folio_probability"))
+    own = unused(docs, "_folio_")
+    keyed = docs.withColumns({f"{own}source": side("source"), f"{own}lang": side("lang"), f"{own}topic": default_topic(text)})
+    found = chances(featured(docs), targets, fraction).select(*(F.col(s).alias(own + s) for s in SIDES), F.col("probability").alias(f"{own}probability"))
+    rows = keyed.join(found, [own + s for s in SIDES]).where(drawn(F.col("doc_id"), seed) < F.col(f"{own}probability"))
     return rows.select(*docs.columns)

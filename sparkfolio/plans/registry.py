@@ -1,4 +1,6 @@
 """Queries by name, and for each the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import text_queries
+
+QUERIES = {**text_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES}

@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples.
 
 Texts are TF-IDF vectors over a vocabulary of words and word beginnings (4 and 5 letters); the vocabulary is the terms
-whose document frequency differs most between the labels (chi-squared of at least CHI2, the FEATURES highest).
+that mark toxic examples: LIFT times as frequent among them as among all, beyond chance (chi-squared with
+continuity correction of at least CHI2), the FEATURES clearest.
 The examples form an inverted index whose postings are cut into blocks of BLOCK examples with the largest weight
-of each; a text's blocks are read from the highest bound down until no block can hold a nearer example, so the
-NEAREST examples by cosine are exact. They vote, weighted by squared cosine; votes become scores by the
+of each; a text reads the blocks with the highest bounds, then all others that can still hold a nearer example,
+so the NEAREST examples by cosine are exact. They vote, weighted by squared cosine; votes become scores by the
 monotone curve that fits the examples' own leave-one-out votes, and the voters are the evidence.
 
 The model is fitted on a sample of labelled rows of a bound given by FIT_ROWS (about; drawn by doc_id), so the index is
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, filtered_joins, held_out, stored
 
-FIT_ROWS, FEATURES, CHI2, LEAST_DF, NEAREST, BLOCK, EVIDENCE = 20_000, 2_000, 30.0, 5, 15, 64, 5
+FIT_ROWS, FEATURES, CHI2, LIFT, LEAST_DF, NEAREST, BLOCK, FIRST, EVIDENCE = 20_000, 2_000, 24.0, 3.0, 4, 15, 64, 4, 5
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -78,9 +79,10 @@ def vocabulary(examples: DataFrame, features: int) -> tuple[dict[str, tuple[int,
     found = examples.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     df = F.col("c") + F.col("t")
     expected = df * (toxic / n)
-    # Pearson's statistic of the 2 x 2 table of term and label.
-    chi2 = F.pow(F.col("t") - expected, F.lit(2)) * F.lit(float(n)) / (expected * (clean / n) * (F.lit(float(n)) - df) + 1e-9) * 1.0
-    best = found.where(df >= LEAST_DF).select("term", df.alias("df"), chi2.alias("chi2")).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(features).collect()
+    off = F.greatest(F.lit(0.0), F.col("t") - expected - 0.5)
+    chi2 = off * off * F.lit(float(n)) / (expected * (clean / n) * (F.lit(float(n)) - df) + 1e-9)
+    marks = (df >= LEAST_DF) & (F.col("t") >= LIFT * expected)
+    best = found.where(marks).select("term", df.alias("df"), chi2.alias("chi2")).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(features).collect()
     return {r["term"]: (i, math.log((1 + n) / (1 + r["df"])) + 1) for i, r in enumerate(best)}, n
 
 
@@ -128,7 +130,17 @@ class BlockMaxIndex:
             at, x = np.array([a for a, _ in own]), np.array([w for _, w in own])
             block, starts = np.unique(at // BLOCK, return_index=True)
             self.maxima[p] = (block, np.maximum.reduceat(x, starts))
-            self.postings[p] = dict(zip(block.tolist(), zip(np.split(at % BLOCK, starts[1:]), np.split(x, starts[1:]))))
+            self.postings[p] = (at, x, at // BLOCK)
+
+    def read(self, vector: tuple, blocks: np.ndarray) -> np.ndarray:
+        """Inner products with the examples of the blocks that a mask picks; 0 for all others."""
+        sims = np.zeros(self.blocks * BLOCK)
+        for p, x in vector:
+            if p in self.postings:
+                at, w, block = self.postings[p]
+                own = blocks[block]
+                sims[at[own]] += x * w[own]
+        return sims
 
     def nearest(self, vector: tuple, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (but `without`), the nearest first; only cosines above 0."""
@@ -137,26 +149,21 @@ class BlockMaxIndex:
             if p in self.maxima:
                 block, most = self.maxima[p]
                 bounds[block] += x * most
-        places, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(places) >= k and bounds[b] < least - 1e-12:
-                break
-            s = np.zeros(BLOCK)
-            for p, x in vector:
-                if p in self.postings and b in self.postings[p]:
-                    at, w = self.postings[p][b]
-                    s[at] += x * w
-            if 0 <= without - b * BLOCK < BLOCK:
-                s[without - b * BLOCK] = 0
-            new = np.flatnonzero(s > max(0.0, least - 1e-12))
-            places, sims = np.concatenate([places, new + b * BLOCK]), np.concatenate([sims, s[new]])
-            if len(places) > k:
-                top = np.lexsort((self.doc_ids[places], -np.round(sims, 9)))[:k]
-                places, sims = places[top], sims[top]
-            if len(places) >= k:
-                least = sims.min()
-        top = np.lexsort((self.doc_ids[places], -np.round(sims, 9)))[:k]
-        return places[top], sims[top]
+        blocks = np.zeros(self.blocks, bool)
+        blocks[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        sims = self.read(vector, blocks & (bounds > 0))
+        if without >= 0:
+            sims[without] = 0
+        least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
+        more = ~blocks & (bounds > 0) & (bounds >= least - 1e-9)
+        if more.any():
+            sims += self.read(vector, more)
+            if without >= 0:
+                sims[without] = 0
+            least = np.partition(sims, -k)[-k] if len(sims) >= k else 0.0
+        places = np.flatnonzero((sims > 0) & (sims >= least - 1e-9))
+        top = np.lexsort((self.doc_ids[places], -np.round(sims[places], 9)))[:k]
+        return places[top], sims[places[top]]
 
     def vote(self, vector: tuple, k: int = NEAREST, without: int = -1) -> tuple[float, np.ndarray]:
         """Share of toxic among the nearest by squared cosine, drawn a little to one half; the voters."""

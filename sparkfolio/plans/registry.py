@@ -1,6 +1,6 @@
 """Queries by name, and for each the SQL that gives the same rows."""
 
-from . import text_queries
+from . import layout_queries, record_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES, **record_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **layout_queries.ORACLES, **record_queries.ORACLES}

@@ -30,7 +30,7 @@ from .common import arrow_rows, stored
 
 CAPACITY, FINE, END, TOKENIZER = 2048, 16, 1, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and characters of a word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 600_000, 40
+CACHE_WORDS, CACHE_CHARS = 300_000, 40
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, at long"
 
@@ -149,6 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     start += n
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "at"])
+        ids.old = {}  # between tasks a worker holds one generation
 
     arrow_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)

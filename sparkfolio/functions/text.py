@@ -74,27 +74,38 @@ def _prefixed(text: Column, pattern: str, kind: str) -> Column:
     return F.transform(_all(text, pattern), lambda m: F.concat(F.lit(kind + ":"), m))
 
 
-#: A boundary of ASCII words, which Java's own is not.
+#: Boundaries of ASCII words, which Java's own are not: before and after a word character, and on either side.
+LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def _if(condition: Column, *parts: Column) -> list[Column]:
+    """The parts, looked for only where a cheap test lets them occur."""
+    return [F.when(condition, F.concat(*parts)).otherwise(F.array().cast("array<string>"))]
+
+
 def math_tokens(text: Column) -> Column:
     """Features of formulas. Rules overlap on purpose: a fraction also gives its command, its digits and its braces."""
     low = F.lower(text)
+    ascii_words = "|".join(w for w in MATH_WORDS if w.isascii())
     parts = [
-        _named(low, r"\\frac\{[^}]+\}\{[^}]+\}", "latex:frac"),
-        _named(low, r"\\sqrt\{[^}]+\}", "latex:sqrt"),
-        F.transform(_all(low, r"\\[a-zA-Z]+"), lambda m: F.concat(F.lit("latex:"), F.substring(m, F.lit(2), F.length(m)))),
-        _named(low, r"[a-z]\^\{?[-]?[a-z0-9]+\}?", "pattern:power"),
-        _named(low, r"[a-z]_\{?[a-z0-9]+\}?", "pattern:subscript"),
-        _named(text, EDGE + r"\d+(?:\.\d+)?/\d+(?:\.\d+)?" + EDGE, "num:fraction"),
-        F.transform(_all(text, EDGE + r"\d+(?:\.\d+)?" + EDGE), lambda m: F.concat(F.lit("num:"), m)),
-        _named(low, r"sqrt\s*\([^)]*\)", "expr:sqrt"),
-        _named(text, r"\|[^|]+\|", "expr:abs"),
+        *_if(
+            text.contains("\\"),
+            _named(low, r"\\frac\{[^}]+\}\{[^}]+\}", "latex:frac"),
+            _named(low, r"\\sqrt\{[^}]+\}", "latex:sqrt"),
+            F.transform(_all(low, r"\\[a-zA-Z]+"), lambda m: F.concat(F.lit("latex:"), F.substring(m, F.lit(2), F.length(m)))),
+        ),
+        *_if(text.contains("^"), _named(low, r"[a-z]\^\{?[-]?[a-z0-9]+\}?", "pattern:power")),
+        *_if(text.contains("_"), _named(low, r"[a-z]_\{?[a-z0-9]+\}?", "pattern:subscript")),
+        *_if(text.contains("/"), _named(text, LEFT + r"\d+(?:\.\d+)?/\d+(?:\.\d+)?" + RIGHT, "num:fraction")),
+        F.transform(_all(text, LEFT + r"\d+(?:\.\d+)?" + RIGHT), lambda m: F.concat(F.lit("num:"), m)),
+        *_if(text.contains("("), _named(low, r"sqrt\s*\([^)]*\)", "expr:sqrt")),
+        *_if(text.contains("|"), _named(text, r"\|[^|]+\|", "expr:abs")),
         *(_prefixed(text, "[" + "".join("\\" + c for c in chars) + "]", kind) for kind, chars in SYMBOL_KINDS.items()),
-        F.transform(_all(text, EDGE + r"[a-zA-Z](?:_[a-zA-Z0-9]+|\^\{?[a-zA-Z0-9-]+\}?)*" + EDGE), lambda m: F.concat(F.lit("var:"), F.lower(m))),
+        F.transform(_all(text, LEFT + r"[a-zA-Z](?:_[a-zA-Z0-9]+|\^\{?[a-zA-Z0-9-]+\}?)*" + EDGE), lambda m: F.concat(F.lit("var:"), F.lower(m))),
         F.transform(_all(text, "[α-ωΑ-Ω]"), lambda m: F.concat(F.lit("greek:"), F.lower(m))),
-        *(_named(low, EDGE + w + EDGE if w.isascii() else w, f"kw:{w}") for w in MATH_WORDS),
+        _prefixed(low, LEFT + f"(?:{ascii_words})" + RIGHT, "kw"),
+        *_if(text.rlike("[가-힣]"), *(_named(low, w, f"kw:{w}") for w in MATH_WORDS if not w.isascii())),
     ]
     return F.concat(*parts)
 

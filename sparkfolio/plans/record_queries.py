@@ -124,7 +124,7 @@ def page_id_parse(spark: SparkSession, d: str) -> DataFrame:
 def source_priority(spark: SparkSession, d: str) -> DataFrame:
     """Precomputed results before stored ones; a first source without questions ends the search."""
     li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_suppkey").alias("priority"), F.col("l_partkey").alias("path"), F.col("l_quantity").cast("long").alias("questions"))
-    return R.by_priority(li.distinct(), ["page"], "questions > 5")
+    return R.by_priority(li.groupBy("page", "priority", "path").agg(F.max("questions").alias("questions")), ["page"], "questions > 5")
 
 
 def stored_text_by_position(spark: SparkSession, d: str) -> DataFrame:
@@ -228,5 +228,5 @@ ORACLES = {
         case when doc_id % 10 / 10 >= 0.8 then case when doc_id % 2 = 0 then 'sat' else 'csat' end else label end model_first from l""",
     "class_counts": f"with {LABEL} select label, count(*) pages from l group by label",
     "document_types": "select page_id, case when page_id % 4 = 0 then 'sat' when page_id % 3 = 0 then 'sat' when page_id % 3 = 1 then 'csat' end document_type from pages",
-    "source_priority": "with r as (select distinct l_orderkey page, l_suppkey priority, l_partkey path, trunc(l_quantity)::bigint questions from lineitem), f as (select * from r qualify row_number() over (partition by page order by priority, path) = 1) select * from f where questions > 5",
+    "source_priority": "with r as (select l_orderkey page, l_suppkey priority, l_partkey path, max(trunc(l_quantity)::bigint) questions from lineitem group by all), f as (select * from r qualify row_number() over (partition by page order by priority, path) = 1) select * from f where questions > 5",
 }

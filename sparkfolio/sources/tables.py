@@ -23,7 +23,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
     return li.select(
-        F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("ord"),
+        F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("long") * 100_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") % 1000 * 100 + F.col("q")).alias("ord"),
         F.element_at(F.array(*map(F.lit, ("text", "sub_title", "equation", "title"))), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("kind"),
         (F.col("l_partkey") * 37 % 2200).cast("int").alias("x1"), (F.col("l_partkey") * 53 % 3200).cast("int").alias("y1"),
         (F.col("l_partkey") * 37 % 2200 + 20 + F.col("q") * 11).cast("int").alias("x2"), (F.col("l_partkey") * 53 % 3200 + 12 + F.col("l_suppkey") % 90).cast("int").alias("y2"),
@@ -32,7 +32,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: boxes() in SQL.
-BOXES = """boxes as (select l_orderkey page, l_linenumber::bigint * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 ord, (['text', 'sub_title', 'equation', 'title'])[l_suppkey % 4 + 1] kind,
+BOXES = """boxes as (select l_orderkey page, l_linenumber::bigint * 100000000000 + l_partkey * 100000 + l_suppkey % 1000 * 100 + trunc(l_quantity)::int ord, (['text', 'sub_title', 'equation', 'title'])[l_suppkey % 4 + 1] kind,
     (l_partkey * 37 % 2200)::int x1, (l_partkey * 53 % 3200)::int y1, (l_partkey * 37 % 2200 + 20 + trunc(l_quantity)::int * 11)::int x2, (l_partkey * 53 % 3200 + 12 + l_suppkey % 90)::int y2,
     case trunc(l_quantity)::int % 3 when 0 then (trunc(l_quantity)::int % 40)::varchar || '. item' when 1 then 'plain words of a block' else (l_partkey % 997)::varchar end txt from lineitem)"""
 WIDTH, HEIGHT = 2480, 3508

@@ -170,15 +170,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, shard_
 
 
 def judged(docs: DataFrame, labels: DataFrame, lower: float = LOWER, upper: float = UPPER, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, lang, chars, perplexity, least, most, kept: trusted are documents with quality 1 that are not held out."""
-    good = stored(labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where((F.col("quality") == 1) & ~held_out()).select("doc_id", "quality"), "trusted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.where("quality = 1"), "doc_id", "left_semi")
+    """doc_id, lang, chars, perplexity, least, most, kept. Trusted are documents with quality 1 that are not held out.
+
+    Every other of them, by crc32 of doc_id, trains the model; the rest show it text it has not seen. Text is kept
+    within the quantiles of either half, so that neither known nor new text of their kind is turned away.
+    """
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where((F.col("quality") == 1) & ~held_out())
+    good = stored(good.select("doc_id", "quality", half.alias("half")), "trusted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.where("quality = 1 and half = 0"), "doc_id", "left_semi")
     scored = stored(perplexities(docs, texts, order, shard_rows), "perplexities")
-    ref = scored.where("perplexity is not null").join(good, "doc_id", "left_semi")
+    ref = scored.where("perplexity is not null").join(good, "doc_id")
     cut = lambda q: F.percentile_approx("perplexity", q, 10000)
-    by_lang = ref.groupBy("lang").agg(cut(lower).alias("least"), cut(upper).alias("most"))
-    least, most = ref.agg(cut(lower), cut(upper)).head()
-    out = scored.join(stored(by_lang, "cuts"), "lang", "left")
-    out = out.withColumns({"least": F.coalesce("least", F.lit(least).cast("double")), "most": F.coalesce("most", F.lit(most).cast("double"))})
+    bounds = lambda keys: ref.groupBy(*keys, "half").agg(cut(lower).alias("a"), cut(upper).alias("b")).groupBy(*keys).agg(F.min("a").alias("least"), F.max("b").alias("most"))
+    every = bounds([]).head()
+    out = scored.join(stored(bounds(["lang"]), "cuts"), "lang", "left")
+    out = out.withColumns({k: F.coalesce(k, F.lit(every[k] if every else None).cast("double")) for k in ("least", "most")})
     inside = F.when(F.col("chars") == 0, False).otherwise(F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True)))
     return out.select("doc_id", "lang", "chars", "perplexity", "least", "most", inside.alias("kept"))

@@ -1,6 +1,6 @@
 """Queries by name, and for each the SQL that gives the same rows."""
 
-from . import layout_queries, record_queries, solve_queries, text_queries
+from . import app_queries, layout_queries, record_queries, solve_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES, **record_queries.QUERIES, **solve_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **layout_queries.ORACLES, **record_queries.ORACLES, **solve_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES, **record_queries.QUERIES, **solve_queries.QUERIES, **app_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **layout_queries.ORACLES, **record_queries.ORACLES, **solve_queries.ORACLES, **app_queries.ORACLES}

@@ -18,6 +18,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from .common import arrow_rows, stored
 
 CAPACITY, FINE, END, TOKENIZER = 2048, 16, 1, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and characters of a word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 300_000, 40
+CACHE_WORDS, CACHE_CHARS = 450_000, 40
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, at long"
 
@@ -81,25 +82,20 @@ class WordIds:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Look up distinct words that this generation has not met; returned are very long ones, which it does not keep."""
-        known, old = self.known, self.old
-        plain, cores_of, tails_of, other = [], [], [], []
-        for w in words:
-            if w in old:
-                known[w] = old[w]
-            else:
-                core = w.rstrip(self.symbols)
-                if core.isalpha() and len(w) <= CACHE_CHARS:
-                    plain.append(w)
-                    cores_of.append(core.lower() if core.isascii() else core)
-                    tails_of.append(w[len(core) :])
-                else:
-                    other.append(w)
-        cores = list(set(cores_of).difference(known))
-        known.update(zip(cores, self.encode_letters(cores)))
-        tails = list(set(tails_of).difference(known))
-        known.update(zip(tails, self.encode(tails)))
-        for w, c, t in zip(plain, cores_of, tails_of):
-            known[w] = known[c] + known[t] if t else known[c]
+        known = self.known
+        if self.old:
+            known.update((w, self.old[w]) for w in words if w in self.old)
+            words = [w for w in words if w not in self.old]
+        cores = [w.rstrip(self.symbols) for w in words]
+        plain = [c.isalpha() and len(w) <= CACHE_CHARS for c, w in zip(cores, words)]
+        other = [w for w, p in zip(words, plain) if not p]
+        words, cores = [*compress(words, plain)], [*compress(cores, plain)]
+        tails = [w[len(c) :] for w, c in zip(words, cores)]
+        cores = [c.lower() if c.isascii() else c for c in cores]
+        for own, encode in ((cores, self.encode_letters), (tails, self.encode)):
+            new = [*set(own).difference(known)]
+            known.update(zip(new, encode(new)))
+        known.update(zip(words, [known[c] + known[t] for c, t in zip(cores, tails)]))
         found = dict(zip(other, self.encode(other)))
         long = {w: found.pop(w) for w in other if len(w) > CACHE_CHARS}
         known.update(found)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, tidy
 
 SAMPLES, BATCH_WORDS, BLOCK = 64, 60_000, 4096
 
@@ -138,7 +138,7 @@ def with_fingerprints(docs: DataFrame, samples: int = SAMPLES, name: str = "fing
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.astype(">u2").tobytes().hex() for r in rows], pa.string())], names=[f.name for f in schema])
 
     arrow_rows(docs.sparkSession)
-    return docs.mapInArrow(sign, schema)
+    return docs.mapInArrow(tidy(sign), schema)
 
 
 def ranges(docs: DataFrame, parts: int) -> tuple[list[int], list[int]]:
@@ -207,7 +207,7 @@ def compared(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     arrow_rows(spark)
-    return sent.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return sent.mapInArrow(tidy(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _hex(row: np.ndarray) -> str:

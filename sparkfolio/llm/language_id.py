@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, held_out
+from .common import arrow_rows, held_out, tidy
 
 BUCKETS, MAX_LANGS, PENALTY, BATCH_CHARS = 1 << 16, 64, 12.0, 3_000_000
 #: Unicode block ranges by script; letters elsewhere count as script 0.
@@ -109,7 +109,7 @@ def train(docs: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(total[k, b])], names=["k", "b", "n"])
 
     arrow_rows(docs.sparkSession, 2048)
-    found = docs.where(F.col("lang").isin(langs)).mapInArrow(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow() if langs else None
+    found = docs.where(F.col("lang").isin(langs)).mapInArrow(tidy(count), "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toArrow() if langs else None
     total = np.zeros((len(langs), width))
     if found is not None:
         total[found["k"].to_numpy(), found["b"].to_numpy()] = found["n"].to_numpy()
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: dict, penalty: float = PENALTY, prefix: str
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[f.name for f in schema])
 
     arrow_rows(docs.sparkSession, 2048)
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(tidy(label), schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, stored
+from .common import arrow_rows, stored, tidy
 
 CAPACITY, FINE, END, TOKENIZER = 2048, 16, 1, "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers, and characters of a word that it remembers.
@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         ids.old = {}  # between tasks a worker holds one generation
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, fine: int = FINE) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, filtered_joins, held_out, stored
+from .common import arrow_rows, filtered_joins, held_out, stored, tidy
 
 ORDER, SHARD_ROWS, PAD = 4, 2_000_000, "\x02"
 LOWER, UPPER = 0.005, 0.995
@@ -84,7 +84,7 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 total = {}
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["g", "c"])
 
-    return docs.select("text").mapInArrow(count, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidy(count), "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(row) -> tuple[float, float, float]:
@@ -140,7 +140,7 @@ def _scored(docs: DataFrame, shard: tuple[np.ndarray, np.ndarray], order: int) -
             ends = np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays([batch["row_at"], batch["doc_id"], batch["lang"], pa.array(lengths), pa.array(sums[ends] - sums[ends - lengths])], names=["row_at", "doc_id", "lang", "chars", "logp"])
 
-    return docs.mapInArrow(score, "row_at long, doc_id long, lang string, chars long, logp double")
+    return docs.mapInArrow(tidy(score), "row_at long, doc_id long, lang string, chars long, logp double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, filtered_joins, stored
+from .common import arrow_rows, filtered_joins, stored, tidy
 
 WINDOW, GRAM, SHALLOW, LOCAL, BATCH_BYTES = 400, 32, 64, 50_000, 2_000_000
 BYTES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -292,7 +292,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, loca
     spark = docs.sparkSession
     arrow_rows(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row_at"), "text")
-    found = texts.mapInArrow(_scan(window, gram), ANCHORS)
+    found = texts.mapInArrow(tidy(_scan(window, gram)), ANCHORS)
     often = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("uses")).where("uses > 1").select("gram")
     inside = stored(found.where("gram is null").select("row_at", F.col("pos").alias("begin"), (F.col("pos") + F.col("right")).alias("end")), "inside")
     hits = stored(found.where("gram is not null").join(often, "gram"), "anchors")
@@ -308,16 +308,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, loca
     wanted = open_.join(sizes.select("gram", (F.col("members") > local).alias("hot")), "gram")
     wanted = wanted.groupBy("row_at").agg(F.collect_list(F.struct("gram", "n", "pos", "left", "right")).alias("wanted"), F.max("hot").alias("hot"))
     wanted = stored(wanted, "wanted")
-    bytes_ = texts.join(wanted.where("row_at >= 0"), "row_at").select("row_at", "text", "wanted").mapInArrow(_contexts, "gram long, row_at long, pos int, lhs binary, rhs binary, n long")
+    bytes_ = texts.join(wanted.where("row_at >= 0"), "row_at").select("row_at", "text", "wanted").mapInArrow(tidy(_contexts), "gram long, row_at long, pos int, lhs binary, rhs binary, n long")
     spans = "row_at long, begin int, end int"
     if wanted.where("hot").isEmpty():
         parts = bytes_.repartition("gram").sortWithinPartitions("gram")
-        matched = parts.mapInArrow(_settle(window), spans)
+        matched = parts.mapInArrow(tidy(_settle(window)), spans)
     else:
         bytes_ = stored(bytes_, "bytes")
         hot = sizes.where(F.col("members") > local).select("gram")
-        matched = bytes_.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_settle(window), spans)
-        each = stored(bytes_.join(hot, "gram", "left_semi").mapInArrow(_windows(window), "gram long, row_at long, pos int, before int, hash long, n long"), "windows")
+        matched = bytes_.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(_settle(window)), spans)
+        each = stored(bytes_.join(hot, "gram", "left_semi").mapInArrow(tidy(_windows(window)), "gram long, row_at long, pos int, before int, hash long, n long"), "windows")
         same = each.groupBy("gram", "before", "hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", "before", "hash")
         matched = matched.unionByName(each.join(same, ["gram", "before", "hash"]).where("n = 1").groupBy("row_at", "pos").agg(F.max("before").alias("l"), F.min("before").alias("r")).select("row_at", F.expr("pos - l").cast("int").alias("begin"), F.expr(f"pos + {window} - r").cast("int").alias("end")))
     every = inside.unionByName(settled).unionByName(matched)
@@ -351,4 +351,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, loc
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_at"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "row_at", "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.select("doc_id", "text", "spans").mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

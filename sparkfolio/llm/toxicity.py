@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, filtered_joins, held_out, stored
+from .common import arrow_rows, filtered_joins, held_out, stored, tidy
 
 FIT_ROWS, FEATURES, CHI2, LIFT, LEAST_DF, NEAREST, BLOCK, FIRST, EVIDENCE = 20_000, 2_000, 24.0, 3.0, 4, 15, 64, 4, 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -76,7 +76,7 @@ def vocabulary(examples: DataFrame, features: int) -> tuple[dict[str, tuple[int,
     n = clean + toxic
     if not clean or not toxic:
         return {}, n
-    found = examples.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    found = examples.select("text", "toxic").mapInArrow(tidy(count), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     df = F.col("c") + F.col("t")
     expected = df * (toxic / n)
     off = F.greatest(F.lit(0.0), F.col("t") - expected - 0.5)
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
             found = [make(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"].cast(pa.int64()), pa.array([[p for p, _ in v] for v in found], pa.list_(pa.int32())), pa.array([[x for _, x in v] for v in found], pa.list_(pa.float64()))], names=["doc_id", "toxic", "places", "weights"])
 
-    kept = examples.mapInArrow(vectors, "doc_id long, toxic long, places array<int>, weights array<double>").toArrow().sort_by("doc_id").to_pydict()
+    kept = examples.mapInArrow(tidy(vectors), "doc_id long, toxic long, places array<int>, weights array<double>").toArrow().sort_by("doc_id").to_pydict()
     own = [tuple(zip(p, w)) for p, w in zip(kept["places"], kept["weights"])]
     toxic, ids = (np.array(kept["toxic"], np.int64) > 0).astype(np.float64), np.array(kept["doc_id"], np.int64)
     bare = np.array([not v for v in own], bool)
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     arrow_rows(docs.sparkSession, 1024)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rate, "doc_id long, score double, evidence array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(rate), "doc_id long, score double, evidence array<long>")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

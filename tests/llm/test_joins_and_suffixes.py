@@ -59,6 +59,26 @@ def test_components_equal_brute_force(spark, k, num, den):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, k, num, den))
 
 
+def longer_copies(seed, k, added):
+    """Texts of common words, and copies with rare words appended, put in front or inserted; those sort before all others."""
+    rng, rows = random.Random(seed), []
+    for at, n in enumerate(added):
+        words, rare = [f"w{rng.randrange(80)}" for _ in range(99 + k)], [f"rare{at}x{i}" for i in range(n)]
+        cut = (len(words), 0, rng.randrange(len(words)))[at % 3]
+        rows += [(2 * at, " ".join(words)), (2 * at + 1, " ".join(words[:cut] + rare + words[cut:]))]
+    return rows
+
+
+@pytest.mark.parametrize(("k", "num", "den", "stars"), [(3, 90, 100, 2), (3, 90, 100, 0), (5, 4, 5, 2), (5, 4, 5, 0)])
+def test_copies_with_more_words_link(spark, k, num, den, stars):
+    most = 100 * (den - num) // num
+    rows = longer_copies(k, k, [most - 4 + i % 7 for i in range(30)])
+    want = Counter(brute_components(rows, k, num, den))
+    assert sum(d != c for d, _, c in want) > 9
+    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k, num, den, stars=stars).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_join_of_odd_documents(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = similarity_classes(odd_docs, 3, 90, 100).collect()

@@ -90,7 +90,8 @@ def mean_abs_diff(a: Column, b: Column) -> Column:
 def exact_pages(uploads: DataFrame, known: DataFrame) -> DataFrame:
     """Uploads (id, content) that equal a known page (page_id, content): the size is compared first, then SHA-256."""
     sized = lambda df: df.withColumns({"size": F.length("content"), "sha": F.sha2(F.col("content").cast("binary"), 256)})
-    hits = sized(uploads).select("id", "size", "sha").join(sized(known).select("page_id", "size", "sha"), ["size", "sha"])
+    first = sized(known).groupBy("size", "sha").agg(F.min("page_id").alias("page_id"))
+    hits = sized(uploads).select("id", "size", "sha").join(first, ["size", "sha"])
     return hits.groupBy("id").agg(F.min("page_id").alias("page_id"))
 
 

@@ -48,7 +48,7 @@ def fifth_option(spark: SparkSession, d: str) -> DataFrame:
     s = lambda c: c.cast("string")
     raw = F.when(n % 4 == 0, F.concat(F.lit("⑤ "), s(n))).when(n % 4 == 1, F.concat(F.lit("x 5 "), s(n))).when(n % 4 == 2, F.concat(s(n), F.lit(" 5"))).otherwise("none")
     conv = F.when(n % 3 == 0, "text ⑤").when(n % 3 == 1, "text ⑤ $7$").otherwise("text")
-    return read(spark, d, "documents").where("doc_id >= 10").select("doc_id", S.fix_fifth_option(conv, raw).alias("fixed"))
+    return read(spark, d, "documents").select("doc_id", S.fix_fifth_option(conv, raw).alias("fixed"))
 
 
 # Answers as solvers write them, and what each means beside a problem with options and beside one without.

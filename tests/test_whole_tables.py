@@ -9,9 +9,12 @@ from sparkfolio.plans import registry
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
+# One digit before a closing 5 is no value of a fifth option ("2 5", "6 5").
 WHOLE = {
     "problem_status": """with m as (select user_id problem, case event_type when 'view' then 'idle' when 'click' then 'streaming' when 'purchase' then 'done' when 'error' then 'error' else 'stopped' end status from events)
         select problem, case when bool_or(status = 'streaming') then 'streaming' when bool_and(status in ('done', 'error', 'stopped')) then case when bool_or(status = 'error') then 'error' else 'done' end else 'idle' end status from m group by problem""",
+    "known_page_match": "select d.doc_id id, min(k.doc_id) page_id from documents d join documents k on d.text = k.text group by d.doc_id",
+    "fifth_option": "select doc_id, case doc_id % 3 when 0 then case when doc_id % 4 = 3 or doc_id in (2, 6) then 'text ⑤' else 'text ⑤ $' || doc_id || '$' end when 1 then case when doc_id % 4 = 3 or doc_id in (2, 6) then 'text ⑤ $7$' else 'text ⑤ $' || doc_id || '$' end else 'text' end fixed from documents",
 }
 
 
@@ -24,3 +27,10 @@ def test_query_equals_sql_over_all(spark, name):
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     assert sorted(map(tuple, got.select(*order).collect()), key=repr) == sorted(want.select(*(f'"{c}"' for c in order)).fetchall(), key=repr)
+
+
+def test_known_pages_with_large_ids(spark, tmp_path):
+    rows = [(700, "same"), (600, "same"), (3, "other"), (900, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["known_page_match"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(3, 3), (600, 600), (700, 600), (900, 900)]

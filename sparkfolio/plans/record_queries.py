@@ -96,7 +96,7 @@ def dedup_hash_largest(spark: SparkSession, d: str) -> DataFrame:
 def gt_left_join_pivot(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     truth = R.last_wins(labels.withColumn("desc", F.concat(F.lit("q"), F.col("quality"))), "doc_id", "desc", "toxic")
-    cells = docs.select("doc_id", F.element_at(F.array(*map(F.lit, ("a", "b", "c", "d"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("model_key"), T.one_line(F.substring("text", 1, 20)).alias("cell"))
+    cells = docs.select("doc_id", F.element_at(F.array(*map(F.lit, ("a", "b", "c", "d"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("model_key"), F.md5(T.one_line(F.col("text")).cast("binary")).alias("cell"))
     more = docs.select("doc_id", F.lit("d").alias("model_key"), F.lit("again").alias("cell")).where("doc_id % 4 <> 3")
     table = R.comparison_table(cells.unionByName(more), "doc_id", ["a", "b", "c", "d"])
     return R.with_truth(table, truth, "doc_id", "desc")
@@ -130,7 +130,7 @@ def source_priority(spark: SparkSession, d: str) -> DataFrame:
 def stored_text_by_position(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
     pages = c.groupBy(F.col("conv_id").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("questions"))
-    texts = c.where("turn % 2 = 0").select(F.col("conv_id").alias("page"), (F.col("turn") + 1).alias("number"), F.when(F.col("turn") % 4 == 0, "").otherwise(F.substring("text", 1, 12)).alias("text"))
+    texts = c.where("turn % 2 = 0").select(F.col("conv_id").alias("page"), (F.col("turn") + 1).alias("number"), F.when(F.col("turn") % 4 == 0, "").otherwise(F.col("text")).alias("text"))
     return R.stored_texts(pages, texts).select("page", F.col("pos").cast("long").alias("pos"), "text")
 
 
@@ -151,7 +151,7 @@ def natural_order(spark: SparkSession, d: str) -> DataFrame:
 
 def classify_rules(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
-    text = F.when(n % 17 == 0, F.concat(F.lit("수학 영역 "), F.col("text"))).when(n % 17 == 1, F.concat(F.lit("한글 머리글입니다 가나다라 "), F.substring("text", 1, 40))).when(n % 17 == 2, F.concat(F.lit("module 1 "), F.col("text"))).otherwise(F.col("text"))
+    text = F.when(n % 17 == 0, F.concat(F.lit("수학 영역 "), F.col("text"))).when(n % 17 == 1, F.concat(F.lit("한글 머리글입니다 가나다라 "), F.col("text"))).when(n % 17 == 2, F.concat(F.lit("module 1 "), F.col("text"))).otherwise(F.col("text"))
     aspect = (n % 30 + 60) / 100.0
     rows = read(spark, d, "documents").select("doc_id", C.by_rules(text, aspect).alias("r"), F.struct(F.when(n % 2 == 0, "sat").otherwise("csat").alias("label"), (n % 10 / 10.0).alias("confidence")).alias("m"))
     return rows.select("doc_id", F.col("r.label").alias("label"), F.floor(F.col("r.confidence") * 1000 + 0.5).cast("long").alias("confidence_milli"), C.routed("hybrid", F.col("r"), F.col("m")).alias("hybrid"), C.routed("model_first", F.col("r"), F.col("m")).alias("model_first"))

@@ -39,7 +39,7 @@ def request_routing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select("doc_id", md5(S.clean_ocr(F.col("text"))).alias("clean_md5"), T.slug(F.substring("text", 1, 30)).alias("slug"), T.one_line(F.substring("text", 1, 200)).alias("line"), T.truncated(F.col("text")).alias("short"), md5(T.html_escape(F.col("text"))).alias("escaped_md5"))
+    rows = read(spark, d, "documents").select("doc_id", md5(S.clean_ocr(F.col("text"))).alias("clean_md5"), md5(T.slug(F.col("text"))).alias("slug_md5"), md5(T.one_line(F.col("text"))).alias("line_md5"), T.truncated(F.col("text")).alias("short"), md5(T.html_escape(F.col("text"))).alias("escaped_md5"))
     return rows
 
 

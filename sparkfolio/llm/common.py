@@ -73,6 +73,12 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
     """Bound an Arrow batch: at most `rows` texts travel to a Python worker at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

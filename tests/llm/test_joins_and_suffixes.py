@@ -55,7 +55,7 @@ def near_copies(seed, n=120):
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 4, 5), (2, 1, 2)])
 def test_components_equal_brute_force(spark, k, num, den):
     rows = near_copies(k)
-    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, num, den, stars=2).collect()
+    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, num, den, rounds=2).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, k, num, den))
 
 
@@ -75,7 +75,7 @@ def test_copies_with_more_words_link(spark, k, num, den, stars):
     rows = longer_copies(k, k, [most - 4 + i % 7 for i in range(30)])
     want = Counter(brute_components(rows, k, num, den))
     assert sum(d != c for d, _, c in want) > 9
-    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k, num, den, stars=stars).collect()
+    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), k, num, den, rounds=stars).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 

@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over a vocabulary of words and word beginnings (4 and 5 letters); the vocabulary is the terms
-that mark toxic examples: LIFT times as frequent among them as among all, beyond chance (chi-squared with
-continuity correction of at least CHI2), the FEATURES clearest.
-The examples form an inverted index whose postings are cut into blocks of BLOCK examples with the largest weight
-of each; a text reads the blocks with the highest bounds, then all others that can still hold a nearer example,
-so the NEAREST examples by cosine are exact. They vote, weighted by squared cosine; votes become scores by the
-monotone curve that fits the examples' own leave-one-out votes, and the voters are the evidence.
+Texts are unit TF-IDF vectors. Words and word beginnings (4 and 5 letters) that mark toxic examples have coordinates of
+their own: LIFT times as frequent among them as among all, beyond chance (chi-squared with continuity correction of at
+least CHI2), the FEATURES clearest. All other words share one coordinate, the length of their term weights times
+BACKGROUND, so a marking word weighs less in a long text than in a short one and every text with a word has a vector.
+All examples, clean ones too, form an inverted index whose postings are cut into blocks of BLOCK examples with the
+largest weight of each; a text reads the blocks with the highest bounds, then all others that can still hold a nearer
+example, so the NEAREST examples by cosine are exact. They vote, weighted by 1 / (NEAR + distance); votes become scores
+by the monotone curve that fits the examples' own leave-one-out votes, and the voters are the evidence.
 
 The model is fitted on a sample of labelled rows of a bound given by FIT_ROWS (about; drawn by doc_id), so the index is
 bounded whatever the input; within it counts are complete, and every text is scored whole.
 
-Defined cases: a text without any vocabulary term (null and empty too) scores the share of toxic examples among those
-without one; without examples all score 0; of several labels of a document the highest counts; ties among examples
-go to the smaller doc_id; repeated rows get equal scores; extra columns are not read.
+Defined cases: a text without any word (null and empty too) scores the share of toxic examples among those without
+one; without examples, or an empty labels table, all score 0; of several labels of a document the highest counts; ties
+among examples go to the smaller doc_id; repeated rows get equal scores; a very long text is read whole, its vector has
+FEATURES + 1 coordinates at most; an empty documents table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, filtered_joins, held_out, stored, tidy
 
 FIT_ROWS, FEATURES, CHI2, LIFT, LEAST_DF, NEAREST, BLOCK, FIRST, EVIDENCE = 20_000, 2_000, 24.0, 3.0, 4, 15, 64, 4, 5
+#: Weight of the words outside the vocabulary, which share one coordinate; distance that counts as near.
+BACKGROUND, NEAR = 0.5, 0.05
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -91,7 +95,7 @@ def _term_rows(total: dict[str, list[int]]) -> pa.RecordBatch:
 
 
 class Vectors:
-    """Unit TF-IDF vectors as sorted tuples of (place, weight)."""
+    """Unit TF-IDF vectors as sorted tuples of (place, weight); the last place is that of all other words."""
 
     def __init__(self, terms: dict[str, tuple[int, float]]) -> None:
         self.terms, self.known = terms, {}
@@ -99,16 +103,21 @@ class Vectors:
     def __call__(self, text: str | None) -> tuple[tuple[int, float], ...]:
         tf: dict[int, int] = {}
         idf: dict[int, float] = {}
+        rest = 0.0
         for word, n in word_counts(text).items():
             own = self.known.get(word)
             if own is None:
                 if len(self.known) > 500_000:
                     self.known.clear()
                 own = self.known[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+            if not own:
+                rest += (1 + math.log(n)) ** 2
             for place, weight in own:
                 tf[place] = tf.get(place, 0) + n
                 idf[place] = weight
         v = {p: (1 + math.log(n)) * idf[p] for p, n in tf.items()}
+        if rest:
+            v[len(self.terms)] = BACKGROUND * math.sqrt(rest)
         norm = math.sqrt(sum(x * x for x in v.values()))
         return tuple(sorted((p, x / norm) for p, x in v.items()))
 
@@ -166,10 +175,10 @@ class BlockMaxIndex:
         return places[top], sims[places[top]]
 
     def vote(self, vector: tuple, k: int = NEAREST, without: int = -1) -> tuple[float, np.ndarray]:
-        """Share of toxic among the nearest by squared cosine, drawn a little to one half; the voters."""
+        """Share of toxic among the nearest, near ones weighing more; the voters."""
         places, sims = self.nearest(vector, k, without)
-        w = sims * sims
-        return float(((w * self.toxic[places]).sum() + 0.25) / (w.sum() + 0.5)), self.doc_ids[places]
+        w = 1 / (NEAR + np.maximum(0, 1 - sims))
+        return float((w * self.toxic[places]).sum() / w.sum()) if len(places) else 0.0, self.doc_ids[places]
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, features: int
     bare = np.array([not v for v in own], bool)
     index = BlockMaxIndex(own, toxic, ids)
     place = {int(d): i for i, d in enumerate(index.doc_ids)}
-    votes = np.array([index.vote(v, without=place[int(d)])[0] for v, d in zip(own, ids) if v])
+    plain: dict[tuple, float] = {}  # texts of other words only are all alike: one vote tells all of them
+
+    def left_out(v: tuple, d: int) -> float:
+        if len(v) > 1:
+            return index.vote(v, without=place[d])[0]
+        if v not in plain:
+            plain[v] = index.vote(v, without=place[d])[0]
+        return plain[v]
+
+    votes = np.array([left_out(v, int(d)) for v, d in zip(own, ids) if v])
     curve = monotone(votes, toxic[~bare]) if len(votes) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     return {"terms": terms, "index": index, "curve": curve, "bare": float(toxic[bare].sum() / max(1, bare.sum()))}
 

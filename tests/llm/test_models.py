@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -148,6 +149,29 @@ def test_toxic_documents_are_found(spark, odd_docs, no_docs):
     assert toxicity.op7(no_docs, labels).count() == 0
 
 
+def test_no_labels_and_text_without_words(spark):
+    docs = spark.createDataFrame([(1, "grob"), (2, None), (3, "1 2 3")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r.score for r in toxicity.op7(docs, labels).collect()] == [0.0, 0.0, 0.0]
+
+
+def test_vector_of_marked_and_other_words():
+    make = toxicity.Vectors({"grob": (0, 2.0), "nast*": (1, 3.0)})
+    raw = [(1 + math.log(2)) * 2.0, 3.0, toxicity.BACKGROUND * math.sqrt((1 + math.log(3)) ** 2 + 1)]
+    norm = math.sqrt(sum(x * x for x in raw))
+    got = make("Grob, a grob! nastig a a b")
+    assert [p for p, _ in got] == [0, 1, 2] and np.allclose([x for _, x in got], [x / norm for x in raw])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_toxic_recall_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rated = toxicity.op7(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    toxic, found = rated[rated.toxic > 0], rated[rated.predicted > 0]
+    assert (toxic.predicted > 0).mean() >= 0.9 and (found.toxic > 0).mean() >= 0.9
+    assert toxic.groupby("lang").predicted.mean().min() >= 0.8
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(9)
     dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)

@@ -17,15 +17,26 @@ NOT_ANCHORS = r"(?i)(지선다형|단답형|서답형|홀수형|짝수형|수학
 # Words of page footers.
 FOOTER_WORDS = ("확인 사항", "담당자", "답안지", "선택과목", "기입", "표기", "문제지", "자신이 선택한", "제시되었")
 
+# Number and mark at the start; the same after up to three other characters; a lone number; a heading.
+NUMBER_RULES = (r"^\s*(\d{1,3})\s*[.．):]\s*", r"^[^\d]{0,3}(\d{1,3})\s*[.．):]\s*", r"^\s*(\d{1,3})\s*$", r"^\s*#*\s*(\d{1,3})\s*$")
+WIDE_CHARS = "".join(map(chr, range(0xFF10, 0xFF1A))) + "）．：＃" + "⁰¹²³⁴⁵⁶⁷⁸⁹"
+PLAIN_CHARS = "0123456789).:#" + "0123456789"
+
 
 def anchor(text: Column) -> Column:
     """The question number a block begins with, null without one (or for 0, which numbers no question)."""
-    t = T.trim_ws(F.coalesce(text, F.lit("")))
-    # In order: number and mark at the start, or after up to three other characters; a lone number; a heading.
-    whole = [r"^\s*(\d{1,3})\s*[.．):]\s*", r"^[^\d]{0,3}(\d{1,3})\s*[.．):]\s*", r"^\s*(\d{1,3})\s*$", r"^\s*#*\s*(\d{1,3})\s*$"]
-    found = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in whole])
+    return F.nullif(_number(text, NUMBER_RULES), F.lit(0))
+
+
+def _number(text: Column, rules: tuple[str, ...]) -> Column:
+    """The number of the first rule that the whole text meets, or else of the first line that is a number or a heading.
+
+    Full-width and raised digits and marks count as plain ones.
+    """
+    t = F.translate(T.trim_ws(F.coalesce(text, F.lit(""))), WIDE_CHARS, PLAIN_CHARS)
+    found = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in rules])
     line = F.nullif(F.regexp_extract(t, r"(?m)^[ \t]*#*[ \t]*(\d{1,3})[ \t]*$", 1), F.lit(""))
-    return F.nullif(F.coalesce(found, line).cast("int"), F.lit(0))
+    return F.coalesce(found, line).cast("int")
 
 
 def dedup_grid(blocks: DataFrame) -> DataFrame:
@@ -88,10 +99,57 @@ def assigned(blocks: DataFrame, tolerance: int = 8) -> DataFrame:
     return rows.withColumn("rank", first).where("rank = 1").select("page", "col", "ord", "anchor_ord", "qnum")
 
 
-def gap_segments(blocks: DataFrame, segments: int, keys: list[str]) -> DataFrame:
+def grouped(blocks: DataFrame, tolerance: int = 8) -> DataFrame:
+    """blocks with col, plus anchor_ord and qnum: the question of each block, its first block being the anchor.
+
+    As assigned(), and: a column without an anchor takes the number of its first text, or is question 1 as a whole, or
+    goes if it has no text. Where numbers are missing between an anchor and the next one, the anchor's other blocks are cut
+    at the widest gaps, a part a number, if there are enough; not so in a column where most anchors are headings.
+    Blocks above a first anchor of more than 1 are cut likewise into the questions before it.
+    """
+    column = ["page", "col"]
+    order, whole = Window.partitionBy(*column).orderBy("y1", "x1", "ord"), Window.partitionBy(*column)
+    kinds = F.col("kind").isin("text", "sub_title", "equation") & ~F.col("txt").rlike(NOT_ANCHORS)
+    rows = blocks.withColumns({"own": F.when(kinds, anchor(F.col("txt"))), "seq": F.row_number().over(order)})
+    text_seq = F.min(F.when(F.col("kind").isin("text", "sub_title") & (F.col("txt") != ""), F.col("seq"))).over(whole)
+    rows = rows.withColumns({"n_own": F.count("own").over(whole), "text_seq": text_seq})
+    strict = F.coalesce(_number(F.col("txt"), (NUMBER_RULES[0], *NUMBER_RULES[2:])), F.lit(-1))
+    rows = rows.withColumn("said", F.max(F.when(F.col("seq") == F.col("text_seq"), strict)).over(whole))
+    lone = F.when((F.col("said") >= 0) & (F.col("seq") == F.col("text_seq")), F.col("said")).when((F.col("said") < 0) & (F.col("seq") == 1), 1)
+    rows = rows.withColumn("own", F.when(F.col("n_own") > 0, F.col("own")).otherwise(lone))
+    heads = F.count(F.when(F.col("own").isNotNull() & (F.col("kind") == "sub_title"), 1)).over(whole)
+    total = F.count("own").over(whole)
+    rows = rows.withColumn("fills", (heads <= 1) | (heads < F.floor(total / 2))).drop("n_own", "text_seq", "said")
+
+    anchors = rows.where("own is not null").select(*column, F.col("ord").alias("anchor_ord"), F.col("own").alias("qnum"), F.col("y1").alias("top"), F.col("seq").alias("anchor_seq"), "fills")
+    by_seq = Window.partitionBy(*column).orderBy("anchor_seq")
+    anchors = anchors.withColumns({"below": F.lead("top", 1, 1_000_000_000).over(by_seq), "next": F.lead("qnum").over(by_seq), "nth": F.row_number().over(by_seq)})
+    anchors = anchors.withColumn("parts", F.when(F.col("fills") & (F.col("next") - F.col("qnum") > 1), F.col("next") - F.col("qnum")).otherwise(1))
+    near = (F.col("y1") >= F.col("top") - tolerance) & (F.col("y1") < F.col("below") + tolerance)
+    above = (F.col("nth") == 1) & (F.col("y1") < F.col("top") - tolerance) & (F.col("qnum") > 1)
+    mine = F.when(F.col("own").isNotNull(), F.col("ord") == F.col("anchor_ord")).otherwise(near | above)
+    rows = rows.drop("fills").join(anchors, column).where(mine).withColumn("above", F.col("own").isNull() & above)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*column, "ord").orderBy("anchor_seq"))).where("rank = 1")
+
+    # A part of an anchor's blocks: its own block, those to be cut by missing numbers, those above.
+    part = F.when(F.col("own").isNotNull(), 0).when(F.col("above"), 1).otherwise(2)
+    asked = F.when(F.col("above"), F.col("qnum") - 1).otherwise(F.col("parts"))
+    keys = [*column, "anchor_ord", "part"]
+    rows = rows.withColumn("part", part).withColumn("asked", F.when(F.col("part") == 0, 1).otherwise(asked))
+    few = (F.col("part") == 2) & (F.count(F.lit(1)).over(Window.partitionBy(*keys)) < 2)
+    rows = gap_segments(rows.withColumn("asked", F.when(few, 1).otherwise(F.col("asked"))), F.col("asked"), keys)
+    first = F.first("ord").over(Window.partitionBy(*keys, "segment").orderBy("y1", "x1", "ord"))
+    moved = F.col("above") | ((F.col("part") == 2) & (F.col("segment") > 0))
+    number = F.when(F.col("above"), F.col("segment") + 1).otherwise(F.col("qnum") + F.col("segment"))
+    rows = rows.withColumns({"anchor_ord": F.when(moved, first).otherwise(F.col("anchor_ord")), "qnum": number.cast("int")})
+    return rows.select(*blocks.columns, "anchor_ord", "qnum")
+
+
+def gap_segments(blocks: DataFrame, segments: int | Column, keys: list[str]) -> DataFrame:
     """Adds segment (0-based): the blocks of each key in order of y1, cut at the segments - 1 widest vertical gaps, the
-    upper of equal ones first; a key of fewer blocks than segments stays whole.
+    upper of equal ones first; a key of fewer blocks than segments stays whole. segments may be a column, one value a key.
     """
+    segments = F.lit(segments) if isinstance(segments, int) else segments
     order = Window.partitionBy(*keys).orderBy("y1", "x1", "ord")
     gap = F.lead("y1").over(order) - F.col("y2")
     rows = blocks.withColumns({"gap": gap, "pos": F.row_number().over(order), "members": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
@@ -100,14 +158,14 @@ def gap_segments(blocks: DataFrame, segments: int, keys: list[str]) -> DataFrame
     return rows.withColumn("segment", F.coalesce(F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("gap", "pos", "members", "cut")
 
 
-def tail_filtered(blocks: DataFrame, keys: list[str], slack: int = 200, horizon: int = 3500) -> DataFrame:
+def tail_filtered(blocks: DataFrame, keys: list[str], slack: int = 200, horizon: int = 3500, anchor_ord: str | None = None) -> DataFrame:
     """Blocks of a group but short or numeric ones that begin more than `slack` under the 60th percentile of the bottoms.
 
-    The group's first block is its anchor: it stays and has no part in the percentile.
+    The group's anchor (the block whose ord is in column anchor_ord, or else the first) stays and has no part in the percentile.
     """
     order = Window.partitionBy(*keys).orderBy("y1", "x1", "ord")
     whole = Window.partitionBy(*keys)
-    rows = blocks.withColumn("pos", F.row_number().over(order))
+    rows = blocks.withColumn("pos", F.when(F.col("ord") == F.col(anchor_ord), 1).otherwise(2) if anchor_ord else F.row_number().over(order))
     sample = F.when((F.col("pos") > 1) & (F.col("y2") < horizon), F.col("y2"))
     rows = rows.withColumn("limit_y", F.round(F.percentile(sample, F.lit(0.6)).over(whole), 6) + slack)
     n, digits = F.length("txt"), F.length(F.regexp_replace("txt", "[^0-9]", ""))
@@ -166,11 +224,32 @@ def suppressed(boxes: DataFrame, most: int = 6, share: float = 0.5) -> DataFrame
     return kept.withColumn("number", F.row_number().over(Window.partitionBy("page").orderBy("y1", "x1", "ord")).cast("long"))
 
 
-def problems(blocks: DataFrame, width: int, height: int, ratio: float = 0.02) -> DataFrame:
-    """Whole pages to problems: (page, qnum, merged, bx1, by1, bx2, by2, n_blocks), the chain of the operators above."""
-    kept = columns(without_margins(dedup_grid(blocks), height), width)
-    own = kept.join(assigned(kept), ["page", "col", "ord"])
-    own = tail_filtered(own, ["page", "col", "anchor_ord", "qnum"])
+def contour_candidates(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Those of boxes (x, y, w, h, mean, white, dark, border) that look like a dark number box: by size and place, by the
+    mean of its grey levels, the shares of white and dark ones, and the mean of its border.
+    """
+    area = F.col("w") * F.col("h")
+    sized = area.between(150, 20000) & F.col("w").between(20, 90) & F.col("h").between(18, 80)
+    placed = (F.col("y") <= int(0.40 * height)) & ((F.col("x") < int(0.42 * width)) | (F.col("x") > int(0.48 * width)))
+    return boxes.where(sized & placed & (F.col("mean") <= 130) & F.col("white").between(0.005, 0.40) & (F.col("dark") >= 0.55) & (F.col("border") <= 90))
+
+
+def with_contours(blocks: DataFrame, contours: DataFrame, share: float = 0.25) -> DataFrame:
+    """blocks and, as headings, the numbers of contours (page, ord, num, x1, y1, x2, y2) that no block covers."""
+    new = uncovered(contours, blocks, share).select("page", "ord", F.lit("sub_title").alias("kind"), *BOX, F.col("num").cast("string").alias("txt"))
+    return blocks.select(*new.columns).unionByName(new)
+
+
+def problems(blocks: DataFrame, width: int, height: int, ratio: float = 0.02, contours: DataFrame | None = None) -> DataFrame:
+    """Whole pages to problems: (page, qnum, merged, bx1, by1, bx2, by2, n_blocks), the chain of the operators above.
+
+    With contours (page, ord, num, x1, y1, x2, y2) in SAT mode: their numbers join the blocks, a page without a top cut is not cut.
+    """
+    blocks = dedup_grid(blocks)
+    if contours is not None:
+        blocks = with_contours(blocks, contours)
+    own = grouped(columns(without_margins(blocks, height, sat=contours is not None), width))
+    own = tail_filtered(own, ["page", "col", "anchor_ord", "qnum"], anchor_ord="anchor_ord")
     x1, x2, fits = G.clip_to_column(F.col("x1"), F.col("x2"), F.col("col"), F.lit(0.5 * width), F.lit(width))
     own = own.withColumns({"cx1": x1, "cx2": x2}).where(fits)
     own = own.drop("x1", "x2").withColumnsRenamed({"cx1": "x1", "cx2": "x2"})

@@ -175,7 +175,7 @@ ANSWERS = f"""answers as (select o_custkey problem, o_orderkey solver, case when
     kept as (select *, {NORM_ANSWER} answer_key from answers where trim(answer) not in ('', '-', '—')),
     votes as (select problem, answer_key, arg_min(answer, solver) shown, count(*) votes, min(solver) first from kept group by all),
     placed as (select problem, answer_key, shown, votes, row_number() over (partition by problem order by votes desc, first) place from votes)"""
-LABEL = """r as (select doc_id, case doc_id % 17 when 0 then '수학 영역 ' || text when 1 then '한글 머리글입니다 가나다라 ' || substr(text, 1, 40) when 2 then 'module 1 ' || text else text end t, (doc_id % 30 + 60) / 100 aspect from documents),
+LABEL = """r as (select doc_id, case doc_id % 17 when 0 then '수학 영역 ' || text when 1 then '한글 머리글입니다 가나다라 ' || text when 2 then 'module 1 ' || text else text end t, (doc_id % 30 + 60) / 100 aspect from documents),
     s as (select *, regexp_replace(t, '\\s+', '', 'g') b from r), h as (select *, case when length(b) = 0 then 0 else (length(b) - length(regexp_replace(b, '[가-힣ᄀ-ᇿ㄰-㆏]', '', 'g'))) / length(b) end share from s),
     l as (select *, case when CSAT then 'csat' when share >= 0.08 then 'csat' when SAT then 'sat' when aspect >= 0.74 then 'sat' when aspect > 0 and aspect <= 0.72 then 'csat' else 'csat' end label,
         case when CSAT then 0.9 when share >= 0.08 then 0.5 + least(0.4, share) when SAT then 0.9 when aspect >= 0.74 then 0.7 when aspect > 0 and aspect <= 0.72 then 0.7 else 0.5 end conf from h)"""
@@ -199,23 +199,23 @@ ORACLES = {
     "latency_badges": """with s as (select user_id problem, event_type model, epoch_us(min(ts)) // 1000 started, epoch_us(max(ts)) // 1000 finished from events group by all), d as (select *, case when finished > started then finished - started end duration from s),
         w as (select *, min(duration) over (partition by problem) low, max(duration) over (partition by problem) high from d)
         select problem, model, duration, case when model = 'error' or duration is null then null when duration / low <= 1.05::double then 'fastest' when duration >= high * 0.95::double then 'slowest' else floor(duration / low * 10 + 0.5)::bigint || '/10x' end badge from w""",
-    "problem_status": """with m as (select user_id problem, case event_type when 'view' then 'idle' when 'click' then 'streaming' when 'purchase' then 'done' when 'error' then 'error' else 'stopped' end status from events where event_id % 20 = user_id % 20)
+    "problem_status": """with m as (select user_id problem, case event_type when 'view' then 'idle' when 'click' then 'streaming' when 'purchase' then 'done' when 'error' then 'error' else 'stopped' end status from events)
         select problem, case when bool_or(status = 'streaming') then 'streaming' when bool_and(status in ('done', 'error', 'stopped')) then case when bool_or(status = 'error') then 'error' else 'done' end else 'idle' end status from m group by problem""",
     "template_match": r"""with t as (select doc_id id, regexp_replace(lower(text), '\s+|\\', '', 'g') n from documents),
         h as (select id, contains(n, 'the')::bigint + contains(n, 'and')::bigint + contains(n, 'ing')::bigint a, contains(n, 'que')::bigint + contains(n, 'des')::bigint + contains(n, 'les')::bigint b, contains(n, 'der')::bigint + contains(n, 'und')::bigint + contains(n, 'sch')::bigint c from t)
         select id, case when a >= greatest(b, c) then 'first' when b >= c then 'second' else 'third' end title, greatest(a, b, c) hits from h where greatest(a, b, c) >= 2""",
     "dedup_longest_text": "with r as (select distinct source, lang, text from documents) select source, lang, length(text) chars, md5(text) text_md5 from r qualify row_number() over (partition by source, lang order by length(text) desc, text) = 1",
     "dedup_hash_largest": "with r as (select doc_id, source, md5(text) content_md5, n_chars % 997 area from documents), o as (select * from r qualify row_number() over (partition by source, content_md5 order by doc_id) = 1) select source, content_md5, area from o qualify row_number() over (partition by source order by area desc, content_md5) = 1",
-    "gt_left_join_pivot": r"""with l as (select doc_id, 'q' || arg_max(quality, toxic) "desc" from labels group by 1), c as (select doc_id, doc_id % 4 k, trim(regexp_replace(substr(text, 1, 20), '\r\n|\r|\n', ' ', 'g')) cell from documents)
+    "gt_left_join_pivot": r"""with l as (select doc_id, 'q' || arg_max(quality, toxic) "desc" from labels group by 1), c as (select doc_id, doc_id % 4 k, md5(trim(regexp_replace(text, '\r\n|\r|\n', ' ', 'g'))) cell from documents)
         select doc_id, case when k = 0 then cell end a, case when k = 1 then cell end b, case when k = 2 then cell end c, case when k = 3 then cell else 'again' end d, coalesce("desc", '') "desc" from c left join l using (doc_id)""",
-    "known_page_match": "select d.doc_id id, min(k.doc_id) page_id from documents d join documents k on d.text = k.text and k.doc_id < 500 group by d.doc_id",
+    "known_page_match": "select d.doc_id id, min(k.doc_id) page_id from documents d join documents k on d.text = k.text group by d.doc_id",
     "known_page_nearest": """with t as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 100)) e from embeddings), p as (select a.vec_id id, b.vec_id page_id, list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))) / len(a.e) off from t a join t b on a.label = b.label and a.vec_id % 2 = 1 and b.vec_id % 2 = 0)
         select id, page_id, floor(off * 1000 + 0.5)::bigint off_milli from p where off <= 20 qualify row_number() over (partition by id order by off, page_id) = 1""",
     "page_id_parse": f"""with {SPEC} select page_id, key, qid, case when sp <> '' then 'sat' when y <> '' then 'csat' end document_type, case when sp <> '' then 'sat-practice-test-' || t || '-math' when y <> '' then y || '_math_odd' end subject_key, case when sp <> '' then t || '_' || sz when y <> '' then cz end stored_page_key,
         case when sp <> '' then 'sat_' || t || '_' || sz || '_' || qid when y = '' then null when y = '2026' or q is null then y || '_math_odd_page_' || cz || '_' || qid when q <= 22 then y || '_odd_common_' || q
             when cz::int between 1 and 8 then y || '_odd_common_' || q when cz::int between 9 and 12 then y || '_odd_probability_' || q when cz::int between 13 and 16 then y || '_odd_calculus_' || q when cz::int between 17 and 20 then y || '_odd_geometry_' || q
             else y || '_math_odd_page_' || cz || '_' || qid end detection_id from z""",
-    "stored_text_by_position": """with q as (select conv_id page, row_number() over (partition by conv_id order by turn, role) - 1 pos, role from conversations), t as (select conv_id page, turn pos, case when turn % 4 = 0 then '' else substr(text, 1, 12) end stored from conversations where turn % 2 = 0)
+    "stored_text_by_position": """with q as (select conv_id page, row_number() over (partition by conv_id order by turn, role) - 1 pos, role from conversations), t as (select conv_id page, turn pos, case when turn % 4 = 0 then '' else text end stored from conversations where turn % 2 = 0)
         select q.page, q.pos, coalesce(nullif(stored, ''), role) text from q left join t on q.page = t.page and q.pos = t.pos""",
     "crop_geometry": """with v as (select *, l_linenumber % 2 = 0 u, case when l_linenumber % 2 = 0 then (l_partkey * 3 % 100) / 100 else l_partkey * 3 % 2600 end x0, case when l_linenumber % 2 = 0 then (l_partkey * 7 % 100) / 100 else l_partkey * 7 % 3600 end y0,
             case when l_linenumber % 2 = 0 then (l_partkey * 11 % 100) / 100 else l_partkey * 11 % 900 end w0, case when l_linenumber % 2 = 0 then (l_partkey * 13 % 100) / 100 else l_partkey * 13 % 900 end h0 from lineitem),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,11 +87,16 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_parse(spark: SparkSession, d: str) -> DataFrame:
-    return S.blocks(_raw(spark, d)).select("page", F.col("ord").cast("long").alias("ord"), "kind", "x1", "y1", "x2", "y2", "txt")
+    """Every page ends in a tag of two boxes whose text holds a lone number between lines, and full-width digits."""
+    last = "\n<|ref|>text<|/ref|><|det|>[[1, 2, 3, 4], [5, 6, 7, 8]]<|/det|>\nabove\n７\nbelow <|ref |>"
+    two = "\n<|ref|>equation<|/ref|><|det|>[[11, 12, 13, 14], [15, 16, 17, 18]]<|/det|>\nx = 1"
+    raw = _raw(spark, d).withColumn("raw", F.concat("raw", F.lit(two), F.lit(last)))
+    return S.blocks(raw).select("page", F.col("ord").cast("long").alias("ord"), F.col("piece").cast("long").alias("piece"), "kind", "x1", "y1", "x2", "y2", "txt")
 
 
 def raw_by_quadrant(spark: SparkSession, d: str) -> DataFrame:
-    return S.by_quadrant(S.blocks(_raw(spark, d))).select("page", "quadrant", "txt")
+    saved = F.when(F.col("page") % 3 == 0, f"\n{S.SAVED}\n<|ref|>text<|/ref|><|det|>[[1, 1, 2, 2]]<|/det|>\nsaved").otherwise("")
+    return S.by_quadrant(_raw(spark, d).withColumn("raw", F.concat("raw", saved)))
 
 
 def tags_stripped(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +120,7 @@ def stream_state_fold(spark: SparkSession, d: str) -> DataFrame:
 def stream_state_fold_live(spark: SparkSession, d: str) -> DataFrame:
     """The same fold as a Structured Streaming query over the events file."""
     schema = read(spark, d, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="folio-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or fold.own_folder(spark)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return fold.run_available(_chunks(stream), folder)
 
@@ -142,16 +145,19 @@ ORACLES = {
     "request_routing": """with m(model_id, alias, temperature, max_tokens, has_key) as (values ('m0', 'm9', 1.0::double, 8192::bigint, true), ('m1', null, null, 8192, true), ('m2', null, 1.0, null, false), ('m3', null, 1.0, 32768, true)),
         e as (select event_id, 'm' || (user_id % 5) model_id, event_id % 3 k, event_id % 5 = 0 no_text, event_id % 7 <= 3 or props is null or props = '' no_image from events)
         select event_id, model_id, case when k = 0 and no_text then 'text missing' when k = 1 and no_image then 'image missing' when no_text and no_image then 'input missing' else 'ok' end status, temperature, max_tokens, coalesce(alias, model_id) provider_id, coalesce(has_key, false) runnable from e left join m using (model_id)""",
-    "text_clean": r"""select doc_id, md5(trim(regexp_replace(text, '^\s+|\s+$', '', 'g'))) clean_md5, case when trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') = '' then 'unknown' else trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9._-]+', '_', 'g'), '._-') end slug,
-        trim(regexp_replace(substr(text, 1, 200), '\r\n|\r|\n', ' ', 'g')) line, case when length(text) > 72 then trim(substr(text, 1, 72)) || '...' else text end short,
-        md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) escaped_md5 from documents""",
-    "fifth_option": "select doc_id, case doc_id % 3 when 0 then case when doc_id % 4 = 3 then 'text ⑤' else 'text ⑤ $' || doc_id || '$' end when 1 then case when doc_id % 4 = 3 then 'text ⑤ $7$' else 'text ⑤ $' || doc_id || '$' end else 'text' end fixed from documents where doc_id >= 10",
+    "text_clean": r"""with s as (select *, trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') slug from documents) select doc_id, md5(trim(regexp_replace(text, '^\s+|\s+$', '', 'g'))) clean_md5, md5(case when slug = '' then 'unknown' else slug end) slug_md5,
+        md5(trim(regexp_replace(text, '\r\n|\r|\n', ' ', 'g'))) line_md5, case when length(text) > 72 then trim(substr(text, 1, 72)) || '...' else text end short,
+        md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) escaped_md5 from s""",
+    # One digit before a closing 5 is no value of a fifth option ("2 5", "6 5").
+    "fifth_option": "select doc_id, case doc_id % 3 when 0 then case when doc_id % 4 = 3 or doc_id in (2, 6) then 'text ⑤' else 'text ⑤ $' || doc_id || '$' end when 1 then case when doc_id % 4 = 3 or doc_id in (2, 6) then 'text ⑤ $7$' else 'text ⑤ $' || doc_id || '$' end else 'text' end fixed from documents",
     "answer_normalize": f"""with k as (select doc_id, doc_id % {len(ANSWER_CASES)} n from documents), c(n, answer, opt, bare, plain) as (values {", ".join(f"({i}, {q(a)}, {q(o)}, {q(b)}, {q(p)})" for i, ((a, o, b), p) in enumerate(zip(ANSWER_CASES, ["B", "(c)", "option d", "2", "answer 3", "\\frac{1}{2}", "12", "x + 1.", "99", "", "5", "a)"])))})
         select doc_id, answer, case when doc_id % 5 = 0 then plain when doc_id % 2 = 0 then opt else bare end as final from k join c using (n)""",
     "json_repair": """select event_id, 1::bigint n_steps, case when event_id % 5 = 4 then '' else event_id::varchar end final_answer, case when event_id % 5 = 4 then 'low' else 'high' end confidence from events""",
     "json_valid": "select event_id, case when event_id % 9 = 0 then 0 else 2 end::bigint n_steps, case when event_id % 9 = 0 then '' else event_type || '|' end titles, case when event_id % 9 = 0 then '' else event_id::varchar end final_answer from events",
-    "tag_parse": f"with {ROWS} select page, row_number() over (partition by page order by o) - 1 ord, kind, x1, y1, x1 + 40 x2, y1 + 30 y2, txt from r",
-    "raw_by_quadrant": f"""with {ROWS}, k as (select page, case when x1 < 400 then case when y1 < 500 then 1 else 2 end else case when y1 < 500 then 3 else 4 end end quadrant, o, txt from r), g as (select page, quadrant, string_agg(txt, chr(10) || chr(10) order by o) txt from k group by all),
+    "tag_parse": f"""with {ROWS}, n as (select page, count(*) n from r group by page) select page, row_number() over (partition by page order by o) - 1 ord, 0::bigint piece, kind, x1, y1, x1 + 40 x2, y1 + 30 y2, txt from r
+        union all select page, n, i, 'equation', 11 + 4 * i, 12 + 4 * i, 13 + 4 * i, 14 + 4 * i, 'x = 1' from n, (select unnest([0, 1]) i)
+        union all select page, n + 1, i, 'text', case i when 0 then 1 else 5 end, case i when 0 then 2 else 6 end, case i when 0 then 3 else 7 end, case i when 0 then 4 else 8 end, (['above', '7', 'below <|ref |>'])[i + 1] from n, (select unnest([0, 1, 2]) i)""",
+    "raw_by_quadrant": f"""with {ROWS}, k as (select page, case when x1 < 400 then case when y1 < 500 then 1 else 2 end else case when y1 < 400 then 3 else 4 end end quadrant, o, '<|ref|>' || kind || '<|/ref|><|det|>[[' || x1 || ', ' || y1 || ', ' || x1 + 40 || ', ' || y1 + 30 || ']]<|/det|>' || chr(10) || body txt from r), g as (select page, quadrant, string_agg(txt, chr(10) || chr(10) order by o) txt from k group by all),
         e as (select distinct page, unnest([1, 2, 3, 4]) quadrant from r) select e.page, e.quadrant, coalesce(txt, '') txt from e left join g on e.page = g.page and e.quadrant = g.quadrant""",
     "tags_stripped": f"with {ROWS} select page, md5(trim(regexp_replace(string_agg(chr(10) || body, chr(10) order by o), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))) stripped_md5 from r group by page",
     "stream_state_fold": f"with {FOLD} select * from f",

@@ -7,11 +7,12 @@ stop nothing counts; an unknown event changes nothing.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -72,6 +73,13 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.max_by(F.struct("status", "text", "started", "finished"), "trigger").alias("s")).select(*KEY, "s.*")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder for a local session in which spark.checkpoint.dir is unset; on a cluster no such folder is shared."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="folio-stream-")
+
+
 def barrier(states: DataFrame) -> DataFrame:
     """Problems whose models have all ended: those whose results can be built, once."""
     return states.groupBy("problem").agg(F.bool_and(F.col("status").isin(*TERMINAL)).alias("ready"), F.count(F.lit(1)).alias("models"), F.sum((F.col("status") == "done").cast("long")).alias("done")).where("ready").drop("ready")

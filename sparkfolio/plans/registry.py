@@ -1,6 +1,7 @@
 """Queries by name, and for each the SQL that gives the same rows."""
 
-from . import app_queries, layout_queries, record_queries, solve_queries, text_queries
+from . import app_queries, exchange_queries, layout_queries, record_queries, solve_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **layout_queries.QUERIES, **record_queries.QUERIES, **solve_queries.QUERIES, **app_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES, **layout_queries.ORACLES, **record_queries.ORACLES, **solve_queries.ORACLES, **app_queries.ORACLES}
+MODULES = (text_queries, layout_queries, record_queries, solve_queries, app_queries, exchange_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -13,36 +13,40 @@ from ..functions import text as T
 
 # Weights of the features in a pair's score, the penalty for distance and the least score of an edge.
 WEIGHTS = {"title": 0.3, "body": 0.3, "math": 0.2, "chars": 0.1}
-PENALTY, THRESHOLD, TOP = 0.05, 0.35, 2
+PENALTY, THRESHOLD, TOP, EMBEDDING_WEIGHT = 0.05, 0.35, 2, 0.1
 
 STEP = ["problem", "solver", "idx"]
 
 
-def features(steps: DataFrame, kind: str) -> DataFrame:
-    """(problem, solver, idx, token, tf, total): how often a step has each token of one kind."""
+def features(steps: DataFrame, *kinds: str) -> DataFrame:
+    """(problem, solver, idx, kind, token, tf, total): how often a step has each token of each kind; the steps are read once."""
     title = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("body"))
     tokens = {
-        "title": T.tokens(title),
-        "body": T.tokens(F.col("body")),
-        "math": T.math_tokens(T.step_signature(F.col("title"), F.col("body"))),
-        "chars": T.char_ngrams(title),
-    }[kind]
-    rows = steps.select(*STEP, tokens.alias("all")).select(*STEP, F.size("all").alias("total"), F.explode("all").alias("token"))
-    return rows.groupBy(*STEP, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("total").alias("total"))
+        "title": lambda: T.tokens(title),
+        "body": lambda: T.tokens(F.col("body")),
+        "math": lambda: T.math_tokens(T.step_signature(F.col("title"), F.col("body"))),
+        "chars": lambda: T.char_ngrams(title),
+    }
+    sets = F.array(*[F.struct(F.lit(k).alias("kind"), tokens[k]().alias("all")) for k in kinds])
+    rows = steps.select(*STEP, F.explode(sets).alias("s")).select(*STEP, "s.kind", F.size("s.all").alias("total"), F.explode("s.all").alias("token"))
+    return rows.groupBy(*STEP, "kind", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("total").alias("total"))
+
+
+def vectors(steps: DataFrame, *kinds: str) -> DataFrame:
+    """(problem, solver, idx, kind, token, weight): unit TF-IDF vectors of each kind (characters: unit count vectors)."""
+    tf = features(steps, *kinds)
+    n = steps.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy("problem", "kind", "token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    raw = F.when(F.col("kind") == "chars", F.col("tf").cast("double")).otherwise(F.col("tf") / F.col("total") * idf)
+    rows = tf.join(df, ["problem", "kind", "token"]).join(n, "problem").withColumn("raw", raw)
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*STEP, "kind")))
+    return rows.select(*STEP, "kind", "token", F.when(norm > 0, F.col("raw") / norm).otherwise(F.col("raw")).alias("weight"))
 
 
 def weights(steps: DataFrame, kind: str) -> DataFrame:
-    """(problem, solver, idx, token, weight): unit TF-IDF vectors (characters: unit count vectors)."""
-    tf = features(steps, kind)
-    if kind == "chars":
-        raw = tf.withColumn("raw", F.col("tf").cast("double"))
-    else:
-        n = steps.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
-        df = tf.groupBy("problem", "token").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
-        raw = tf.join(df, ["problem", "token"]).join(n, "problem").withColumn("raw", F.col("tf") / F.col("total") * idf)
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*STEP)))
-    return raw.select(*STEP, "token", F.when(norm > 0, F.col("raw") / norm).otherwise(F.col("raw")).alias("weight"))
+    """vectors() of one kind, without it."""
+    return vectors(steps, kind).drop("kind")
 
 
 def pairs(steps: DataFrame) -> DataFrame:
@@ -55,12 +59,14 @@ def pairs(steps: DataFrame) -> DataFrame:
 PAIR = ["problem", "s1", "i", "s2", "j"]
 
 
-def dots(vectors: DataFrame, name: str) -> DataFrame:
-    """Dot products of pairs that share a token, between 0 and 1."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    on = (F.col("a.problem") == F.col("b.problem")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.solver") < F.col("b.solver"))
+def dots(found: DataFrame, *kinds: str) -> DataFrame:
+    """Pairs that share a token of some kind, and for each kind their dot product, between 0 and 1: one join for all kinds."""
+    a, b = found.alias("a"), found.alias("b")
+    on = (F.col("a.problem") == F.col("b.problem")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.solver") < F.col("b.solver"))
     rows = a.join(b, on).groupBy("a.problem", F.col("a.solver").alias("s1"), F.col("a.idx").alias("i"), F.col("b.solver").alias("s2"), F.col("b.idx").alias("j"))
-    return rows.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(F.col("a.weight") * F.col("b.weight")))).alias(name))
+    product = F.col("a.weight") * F.col("b.weight")
+    one = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("a.kind") == k, product)), F.lit(0.0)))).alias(k)
+    return rows.agg(*map(one, kinds))
 
 
 def micro(x: Column) -> Column:
@@ -69,23 +75,39 @@ def micro(x: Column) -> Column:
 
 
 def cosines(steps: DataFrame, kind: str = "body") -> DataFrame:
-    return pairs(steps).join(dots(weights(steps, kind), kind), PAIR, "left").select(*PAIR, F.coalesce(kind, F.lit(0.0)).alias("cosine"))
+    return pairs(steps).join(dots(vectors(steps, kind), kind), PAIR, "left").select(*PAIR, F.coalesce(kind, F.lit(0.0)).alias("cosine"))
 
 
-def scores(steps: DataFrame) -> DataFrame:
-    """(problem, s1, i, s2, j, score): the weighted cosines, less a penalty for steps far apart, in millionths."""
-    out = pairs(steps)
-    for kind in WEIGHTS:
-        out = out.join(dots(weights(steps, kind), kind), PAIR, "left")
-    total = sum(WEIGHTS.values())
-    raw = sum((F.coalesce(k, F.lit(0.0)) * w for k, w in WEIGHTS.items()), F.lit(0.0)) / total
+def embedding_cosines(embedded: DataFrame) -> DataFrame:
+    """embedded (problem, solver, idx, embedding) -> cosines between 0 and 1 of the pairs whose steps both have one."""
+    a, b = embedded.alias("a"), embedded.alias("b")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    x, y = F.col("a.embedding"), F.col("b.embedding")
+    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)))
+    on = (F.col("a.problem") == F.col("b.problem")) & (F.col("a.solver") < F.col("b.solver"))
+    return a.join(b, on).select("a.problem", F.col("a.solver").alias("s1"), F.col("a.idx").alias("i"), F.col("b.solver").alias("s2"), F.col("b.idx").alias("j"), cosine.alias("embedding"))
+
+
+def scores(steps: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
+    """(problem, s1, i, s2, j, score): the weighted cosines, less a penalty for steps far apart, in millionths.
+
+    embedded (problem, solver, idx, embedding) adds one more cosine to pairs whose steps both have a vector.
+    """
+    kinds = dict(WEIGHTS)
+    out = pairs(steps).join(dots(vectors(steps, *WEIGHTS), *WEIGHTS), PAIR, "left")
+    if embedded is not None:
+        out, kinds["embedding"] = out.join(embedding_cosines(embedded), PAIR, "left"), EMBEDDING_WEIGHT
+    total = sum(WEIGHTS.values()) + (F.when(F.col("embedding").isNotNull(), EMBEDDING_WEIGHT).otherwise(0.0) if embedded is not None else F.lit(0.0))
+    out = out.withColumn("total", total)
     lengths = steps.groupBy("problem", "solver").agg(F.count(F.lit(1)).alias("steps"))
     for k in "12":
         out = out.join(lengths.select("problem", F.col("solver").alias("s" + k), F.col("steps").alias("n" + k)), ["problem", "s" + k])
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    # The four parts are rounded before they are weighted, so that any engine gets the same sum.
-    for kind in WEIGHTS:
+    # The parts are rounded before they are weighted, so that any engine gets the same sum.
+    for kind in kinds:
         out = out.withColumn(kind, micro(F.coalesce(kind, F.lit(0.0))) / 1_000_000.0)
+    raw = sum((F.col(k) * w for k, w in kinds.items()), F.lit(0.0)) / F.col("total")
     far = F.abs(F.col("i") - F.col("j")) / F.greatest("n1", "n2", F.lit(1))
     return out.select(*PAIR, micro(unit(unit(raw) - PENALTY * far)).alias("score"))
 

@@ -29,7 +29,7 @@ def shared_layers(steps: DataFrame) -> DataFrame:
 def group_transitions(cells: DataFrame) -> DataFrame:
     """cells (model, grp, n): edges between consecutive groups a model appears in. Groups are rows in order of name."""
     rows = cells.select("grp").distinct().withColumn("row_no", F.dense_rank().over(Window.orderBy("grp")).cast("long"))
-    placed = cells.join(F.broadcast(rows), "grp")
+    placed = cells.join(rows, "grp")
     w = Window.partitionBy("model").orderBy("row_no")
     return placed.select("model", F.col("row_no").alias("from_row"), F.lead("row_no").over(w).alias("to_row")).where("to_row is not null").groupBy("from_row", "to_row").agg(F.count(F.lit(1)).alias("models"))
 

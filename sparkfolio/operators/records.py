@@ -41,16 +41,21 @@ def document_type(given: Column, problem_id: Column) -> Column:
 
 def longest_text(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row a key: the longest text, the least of equals."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.length("text")), "text")
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    return _least(rows, keys, F.coalesce(-F.length("text"), F.lit(1)), F.col("text"))
+
+
+def _least(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """One row a key: the first in an order. Each task keeps a row a key before anything is shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("own")))
+    return rows.groupBy(*keys).agg(one.alias("one")).select(*keys, *[F.col(f"one.own.{c}").alias(c) for c in rest])
 
 
 def largest_crop(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Crops without repeated contents (md5 within a key), then the largest of each key."""
-    hashed = rows.withColumn("content_md5", F.md5(F.col("content").cast("binary")))
-    once = hashed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "content_md5").orderBy(id_col))).where("rank = 1")
-    w = Window.partitionBy(*keys).orderBy(F.desc("area"), "content_md5")
-    return once.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    """Crops without repeated contents (md5 within a key), then the largest of each key; contents stay behind, their md5 goes on."""
+    hashed = rows.withColumn("content_md5", F.md5(F.col("content").cast("binary"))).drop("content")
+    once = _least(hashed, [*keys, "content_md5"], F.col(id_col))
+    return _least(once, keys, F.coalesce(-F.col("area"), F.lit(1)), F.col("content_md5"))
 
 
 def last_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -131,5 +131,18 @@ ORACLES = {
         select page, ord, coalesce(sum(cut) over (partition by page order by pos rows between unbounded preceding and 1 preceding), 0)::bigint segment from c""",
     "percentile_tail_filter": f"""with {BOXES}, p as (select *, row_number() over (partition by page order by y1, x1, ord) pos from boxes), q as (select page, round(quantile_cont(y2, 0.6), 6) + 200 lim from p where pos > 1 and y2 < 3500 group by page)
         select p.page, ord from p left join q using (page) where pos = 1 or lim is null or y1 <= lim or not (length(txt) < 10 or (length(txt) < 15 and length(regexp_replace(txt, '[^0-9]', '', 'g')) / greatest(1, length(replace(txt, ' ', ''))) > 0.5))""",
+    # Folds over a page's blocks: lines from their first block on, boxes that no larger one covers.
+    "line_merge": rf"""with recursive {BOXES}, b as (select page, txt, x1, ord, y1 % 90 y1 from boxes where kind in ('text', 'equation') and txt <> ''), o as (select *, row_number() over (partition by page order by y1, x1, ord, txt) k from b),
+        f as (select page, k, y1 top, 1 n, txt merged from o where k = 1 union all
+            select o.page, o.k, case when abs(o.y1 - f.top) <= 16 then f.top else o.y1 end, case when abs(o.y1 - f.top) <= 16 then f.n else f.n + 1 end, f.merged || case when abs(o.y1 - f.top) <= 16 then ' ' else chr(10) end || o.txt from f join o on o.page = f.page and o.k = f.k + 1),
+        l as (select page, n::bigint n_lines, regexp_replace(merged, '^(.*[^①-⑳])(\s*\n\s*|\s+)(\d{{1,5}})+\s*$', '\1', 's') merged from f qualify row_number() over (partition by page order by k desc) = 1)
+        select page, n_lines, md5(merged) merged_md5 from l""",
+    "greedy_suppression": f"""with recursive {BOXES}, o as (select *, (x2 - x1) * (y2 - y1) area, row_number() over (partition by page order by (x2 - x1) * (y2 - y1) desc, y1, x1, x2, y2, ord) k from boxes),
+        f as (select page, 0::bigint k, []::struct(ord bigint, x1 int, y1 int, x2 int, y2 int, area int)[] kept from (select distinct page from boxes) union all
+            select o.page, o.k, case when len(kept) >= 6 or len(list_filter(kept, lambda a: least(a.x2, o.x2) > greatest(a.x1, o.x1) and least(a.y2, o.y2) > greatest(a.y1, o.y1)
+                and (least(a.x2, o.x2) - greatest(a.x1, o.x1)) * (least(a.y2, o.y2) - greatest(a.y1, o.y1)) > 0.5 * least(a.area, o.area))) > 0 then kept
+                else list_append(kept, {{'ord': o.ord, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'area': o.area::int}}) end from f join o on o.page = f.page and o.k = f.k + 1),
+        l as (select page, kept from f qualify row_number() over (partition by page order by k desc) = 1), u as (select page, unnest(kept) b from l)
+        select page, b.ord ord, row_number() over (partition by page order by b.y1, b.x1, b.ord) number from u""",
     "best_group_per_number": f"with {BOXES} select page, ord % 3 qnum, ord col, (x2 - x1) * (y2 - y1) area from boxes qualify row_number() over (partition by page, ord % 3 order by length(txt) desc, (x2 - x1) * (y2 - y1) desc, ord) = 1",
 }

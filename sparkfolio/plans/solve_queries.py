@@ -159,6 +159,8 @@ ORACLES = {
         union all select page, n + 1, i, 'text', case i when 0 then 1 else 5 end, case i when 0 then 2 else 6 end, case i when 0 then 3 else 7 end, case i when 0 then 4 else 8 end, (['above', '7', 'below <|ref |>'])[i + 1] from n, (select unnest([0, 1, 2]) i)""",
     "raw_by_quadrant": f"""with {ROWS}, k as (select page, case when x1 < 400 then case when y1 < 500 then 1 else 2 end else case when y1 < 400 then 3 else 4 end end quadrant, o, '<|ref|>' || kind || '<|/ref|><|det|>[[' || x1 || ', ' || y1 || ', ' || x1 + 40 || ', ' || y1 + 30 || ']]<|/det|>' || chr(10) || body txt from r), g as (select page, quadrant, string_agg(txt, chr(10) || chr(10) order by o) txt from k group by all),
         e as (select distinct page, unnest([1, 2, 3, 4]) quadrant from r) select e.page, e.quadrant, coalesce(txt, '') txt from e left join g on e.page = g.page and e.quadrant = g.quadrant""",
+    "fnv_jitter": """with h as (select c_custkey, list_reduce(list_transform(string_split(c_name, ''), lambda c: ascii(c)::bigint), lambda h, c: (xor(h, c) * 16777619) % 4294967296, 2166136261::bigint) "hash" from customer)
+        select c_custkey, "hash", floor((("hash" % 10000) / 10000.0::double - 0.5) * 8.0 * 1000 + 0.5)::bigint jitter_milli from h""",
     "tags_stripped": f"with {ROWS} select page, md5(trim(regexp_replace(string_agg(chr(10) || body, chr(10) order by o), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))) stripped_md5 from r group by page",
     "stream_state_fold": f"with {FOLD} select * from f",
     "stream_state_fold_live": f"with {FOLD} select * from f",

@@ -74,14 +74,21 @@ def sql_dots(kind: str) -> str:
     return f"dot_{kind} as (select a.problem, a.solver s1, a.idx i, b.solver s2, b.idx j, greatest(0.0, least(1.0, sum(a.weight * b.weight))) dot from w_{kind} a join w_{kind} b on a.problem = b.problem and a.token = b.token and a.solver < b.solver group by all)"
 
 
-def sql_scores() -> str:
+def sql_scores(embedded: bool = False) -> str:
     kinds = list(align.WEIGHTS)
     total = repr(sum(align.WEIGHTS.values()))
     raw = " + ".join(f"({MICRO.format(f'coalesce(dot_{k}.dot, 0)')} / 1000000.0::double) * {w}::double" for k, w in align.WEIGHTS.items())
     joins = " ".join(f"left join dot_{k} on p.problem = dot_{k}.problem and p.s1 = dot_{k}.s1 and p.i = dot_{k}.i and p.s2 = dot_{k}.s2 and p.j = dot_{k}.j" for k in kinds)
     unit = lambda x: f"greatest(0.0::double, least(1.0::double, {x}))"
-    score = unit(f"{unit(f'(0.0::double + {raw}) / {total}::double')} - 0.05::double * (abs(p.i - p.j) / greatest(l1.n, l2.n, 1))")
-    return f"""with {STEPS}, {", ".join(sql_weights(k) for k in kinds)}, {PAIRS}, {", ".join(sql_dots(k) for k in kinds)},
+    more, by = "", f"{total}::double"
+    if embedded:
+        more = f"""emb as (select problem, solver, idx, embedding::double[] e from steps join embeddings on vec_id = (problem * 5 + solver) * 3 + idx),
+            dot_emb as (select a.problem, a.solver s1, a.idx i, b.solver s2, b.idx j, greatest(0.0, least(1.0, list_cosine_similarity(a.e, b.e))) dot from emb a join emb b on a.problem = b.problem and a.solver < b.solver),"""
+        joins += " left join dot_emb on p.problem = dot_emb.problem and p.s1 = dot_emb.s1 and p.i = dot_emb.i and p.s2 = dot_emb.s2 and p.j = dot_emb.j"
+        raw += f" + ({MICRO.format('coalesce(dot_emb.dot, 0)')} / 1000000.0::double) * {align.EMBEDDING_WEIGHT}::double"
+        by = f"({total}::double + case when dot_emb.dot is null then 0.0 else {align.EMBEDDING_WEIGHT} end::double)"
+    score = unit(f"{unit(f'(0.0::double + {raw}) / {by}')} - 0.05::double * (abs(p.i - p.j) / greatest(l1.n, l2.n, 1))")
+    return f"""with {STEPS}, {", ".join(sql_weights(k) for k in kinds)}, {PAIRS}, {", ".join(sql_dots(k) for k in kinds)}, {more}
         lens as (select problem, solver, count(*) n from steps group by all),
         scores as (select p.problem, p.s1, p.i, p.s2, p.j, {MICRO.format(score)} score from pairs p {joins}
             join lens l1 on l1.problem = p.problem and l1.solver = p.s1 join lens l2 on l2.problem = p.problem and l2.solver = p.s2)"""
@@ -162,6 +169,14 @@ def alignment_labels(spark: SparkSession, d: str) -> DataFrame:
     return align.labels(_low(spark, d), steps(spark, d))
 
 
+def step_pair_score_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Scores to which the vectors of some steps add a cosine."""
+    own = steps(spark, d)
+    at = (F.col("problem") * 5 + F.col("solver")) * 3 + F.col("idx")
+    embedded = own.select("problem", "solver", "idx", at.alias("vec_id")).join(read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    return align.scores(own, embedded)
+
+
 def dense_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors of one label at most 10 ids apart: cosines between 0 and 1."""
     v = read(spark, d, "embeddings")
@@ -174,7 +189,7 @@ def dense_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, near).select(F.col("a.vec_id").alias("v1"), F.col("b.vec_id").alias("v2"), F.floor(cosine * 10_000 + 0.5).cast("long").alias("cosine_e4"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalize_tokens, char_bigrams, math_tokens, tfidf_weights, step_pair_cosine, step_pair_score, mutual_best_edges, mutual_topk_edges, alignment_components, alignment_best_member, alignment_labels, dense_cosine_pairs)}
+QUERIES = {f.__name__: f for f in (text_normalize_tokens, char_bigrams, math_tokens, tfidf_weights, step_pair_cosine, step_pair_score, step_pair_score_embedded, mutual_best_edges, mutual_topk_edges, alignment_components, alignment_best_member, alignment_labels, dense_cosine_pairs)}
 
 ORACLES = {
     "text_normalize_tokens": f"with t as (select doc_id, {sql_tokens('text')} t from documents) select doc_id, len(t) n_tokens, md5(array_to_string(t, ' ')) tokens_md5 from t",
@@ -184,6 +199,7 @@ ORACLES = {
     "tfidf_weights": f"with {STEPS}, {sql_weights('body')} select problem, solver, idx, token, {MICRO.format('weight')} weight_micro from w_body",
     "step_pair_cosine": f"with {STEPS}, {sql_weights('body')}, {PAIRS}, {sql_dots('body')} select problem, s1, i, s2, j, {MICRO.format('coalesce(dot, 0)')} cosine_micro from pairs left join dot_body using (problem, s1, i, s2, j)",
     "step_pair_score": f"{sql_scores()} select * from scores",
+    "step_pair_score_embedded": f"{sql_scores(True)} select * from scores",
     "mutual_best_edges": f"{sql_edges(1)} select * from edges",
     "mutual_topk_edges": f"{sql_edges(align.TOP)} select * from edges",
     "alignment_components": f"{sql_components()} select problem, node, component from comp",

@@ -119,17 +119,41 @@ def stream_state_fold(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_state_fold_live(spark: SparkSession, d: str) -> DataFrame:
     """The same fold as a Structured Streaming query over the events file."""
+    return fold.run_available(_stream(spark, d), _folder(spark))
+
+
+def _folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", None) or fold.own_folder(spark)
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = read(spark, d, "events").schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fold.own_folder(spark)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return fold.run_available(_chunks(stream), folder)
+    return _chunks(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
 
 
 def stream_barrier(spark: SparkSession, d: str) -> DataFrame:
     return fold.barrier(stream_state_fold(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (chunk_reassemble, solutions_prompt, request_routing, text_clean, fifth_option, answer_normalize, json_repair, json_valid, tag_parse, raw_by_quadrant, tags_stripped, fnv_jitter, stream_state_fold, stream_state_fold_live, stream_barrier)}
+def stream_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Results, flow map and summary of each problem that becomes ready; some maps fail, and their summaries are not made."""
+    none = F.lit(None).cast("string")
+    fails = F.when(F.col("problem") % 7 == 0, F.concat(F.lit("no map for "), F.col("problem").cast("string")))
+    stages = [("results", lambda df: df.withColumn("message", none)), ("map", lambda df: df.withColumn("message", fails)), ("summary", lambda df: df.withColumn("message", none))]
+    return fold.run_chain(_stream(spark, d), _folder(spark), stages)
+
+
+def stream_stops(spark: SparkSession, d: str) -> DataFrame:
+    """The fold under stops of one model, of a whole problem and of everything."""
+    chunks = _chunks(read(spark, d, "events"))
+    keys = chunks.select("problem", "model").distinct()
+    wide = (F.col("event") == "stop") & (F.col("problem") % 3 == 0)
+    late = spark.range(1).select(F.lit(None).cast("long").alias("problem"), F.lit(None).cast("long").alias("model"), F.lit(1 << 40).alias("seq"), F.lit("event").alias("kind"), F.lit("stop").alias("event"), F.lit("").alias("text"), F.lit(5).cast("long").alias("at"))
+    asked = chunks.withColumn("model", F.when(~F.coalesce(wide, F.lit(False)), F.col("model"))).unionByName(late.select(*chunks.columns))
+    return fold.fold_batch(fold.spread_stops(asked, keys)).groupBy("problem").agg(F.count(F.lit(1)).alias("models"), F.sum(F.length("text")).alias("chars"), F.max("finished").alias("finished"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_reassemble, solutions_prompt, request_routing, text_clean, fifth_option, answer_normalize, json_repair, json_valid, tag_parse, raw_by_quadrant, tags_stripped, fnv_jitter, stream_state_fold, stream_state_fold_live, stream_barrier, stream_chain, stream_stops)}
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 ROWS = """r as (select l_orderkey page, l_linenumber::bigint * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 o, case when l_suppkey % 5 = 0 then 'image' else 'text' end kind,
@@ -164,5 +188,12 @@ ORACLES = {
     "tags_stripped": f"with {ROWS} select page, md5(trim(regexp_replace(string_agg(chr(10) || body, chr(10) order by o), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))) stripped_md5 from r group by page",
     "stream_state_fold": f"with {FOLD} select * from f",
     "stream_state_fold_live": f"with {FOLD} select * from f",
+    "stream_chain": f"""with {FOLD}, r as (select problem from f group by problem having bool_and(status in ('done', 'error', 'stopped')))
+        select problem, stage, case when stage = 'map' and problem % 7 = 0 then 'error' else 'done' end status, case when stage = 'map' and problem % 7 = 0 then 'no map for ' || problem end message
+        from r, (select unnest(['results', 'map', 'summary']) stage) where stage <> 'summary' or problem % 7 > 0""",
+    "stream_stops": """with c as (select user_id problem, event_id % 3 model, event_id seq, event_type = 'click' is_text, length('t' || event_id) chars, event_type = 'signup' and event_id % 4 = 0 stops, epoch_us(ts) // 1000 at_ms from events),
+        s as (select *, coalesce(min(seq) filter (stops) over (partition by problem, model), 1099511627776) own, coalesce(min(seq) filter (stops) over (partition by problem), 1099511627776) every from c),
+        l as (select *, case when problem % 3 = 0 then every else own end stop_at from s), g as (select problem, model, stop_at, coalesce(sum(chars) filter (is_text and seq <= stop_at), 0) chars from l group by all)
+        select g.problem, count(*) models, sum(g.chars)::bigint chars, max(coalesce(x.at_ms, 5)) finished from g left join c x on x.problem = g.problem and x.seq = g.stop_at group by 1""",
     "stream_barrier": f"with {FOLD} select problem, count(*) models, count(*) filter (status = 'done') done from f group by problem having bool_and(status in ('done', 'error', 'stopped'))",
 }

@@ -7,9 +7,10 @@ stop nothing counts; an unknown event changes nothing.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,16 +52,94 @@ def advance(state: tuple, chunks: pd.DataFrame) -> tuple:
     return status, text, started, finished
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else ("idle", "", None, None)
-    now = advance(now, pd.concat(list(frames)))  # one key's chunks of one trigger
-    state.update(now)
-    yield pd.DataFrame([(*key, *now)], columns=["problem", "model", "status", "text", "started", "finished"]).astype({"started": "Int64", "finished": "Int64"})
+def expired(state: tuple, at: int) -> tuple:
+    """state after nothing came for too long: a key that had not ended is an error."""
+    status, text, started, finished = state
+    return (status, text, started, finished) if status in TERMINAL else ("error", text, started, at)
+
+
+def _stepped(idle_ms: int | None):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else ("idle", "", None, None)
+        if state.hasTimedOut:
+            now = expired(now, state.getCurrentProcessingTimeMs())
+        else:
+            for frame in frames:  # a frame at a time: a key's chunks need not fit beside one another
+                now = advance(now, frame)
+        state.update(now)
+        if idle_ms and now[0] not in TERMINAL:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(*key, *now)], columns=["problem", "model", "status", "text", "started", "finished"]).astype({"started": "Int64", "finished": "Int64"})
+
+    return step
+
+
+def fold_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """A streaming frame of states that changed; order within a key is seq within a frame, arrival across frames and triggers.
+
+    With idle_ms a key that has not ended becomes an error when nothing comes for so long.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy(*KEY).applyInPandasWithState(_stepped(idle_ms), OUT, STATE, "update", timeout)
+
+
+def spread_stops(chunks: DataFrame, keys: DataFrame) -> DataFrame:
+    """chunks in which a stop without a model is one for each model of its problem, and one without a problem one for every
+    key. keys (problem, model) may be a table beside a stream.
+    """
+    wide = (F.col("event") == "stop") & F.col("model").isNull()
+    own = keys.select(F.col("problem").alias("k_problem"), F.col("model").alias("k_model")).distinct()
+    one = chunks.where(wide & F.col("problem").isNotNull()).join(own, F.col("problem") == F.col("k_problem"))
+    # Few rows stop everything; each meets every key.
+    every = chunks.where(wide & F.col("problem").isNull()).withColumn("all", F.lit(1)).join(own.withColumn("all", F.lit(1)), "all").drop("all")
+    back = lambda df: df.withColumns({"problem": F.col("k_problem"), "model": F.col("k_model")}).select(*chunks.columns)
+    return chunks.where(~F.coalesce(wide, F.lit(False))).unionByName(back(one)).unionByName(back(every))
+
+
+READY = "problem long, models long, done long"
 
 
-def fold_stream(chunks: DataFrame) -> DataFrame:
-    """A streaming frame of states that changed; order within a key is seq within a trigger, arrival across triggers."""
-    return chunks.groupBy(*KEY).applyInPandasWithState(_step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def _ready(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    told, known = state.get if state.exists else (False, "{}")
+    statuses = {int(m): s for m, s in json.loads(known).items()}
+    for frame in frames:
+        for model, own in frame.groupby("model"):
+            statuses[int(model)] = advance((statuses.get(int(model), "idle"), "", None, None), own[own["kind"] == "event"])[0]
+    ended = bool(statuses) and all(s in TERMINAL for s in statuses.values())
+    state.update((told or ended, json.dumps(statuses)))
+    if ended and not told:
+        yield pd.DataFrame({"problem": [key[0]], "models": [len(statuses)], "done": [sum(s == "done" for s in statuses.values())]})
+
+
+def barrier_stream(chunks: DataFrame) -> DataFrame:
+    """A streaming frame (problem, models, done) with a row for each problem whose models have all ended: once, whatever comes later."""
+    return chunks.groupBy("problem").applyInPandasWithState(_ready, READY, "told boolean, statuses string", "append", GroupStateTimeout.NoTimeout)
+
+
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def run_chain(stream: DataFrame, folder: str, stages: list[tuple[str, Stage]]) -> DataFrame:
+    """(problem, stage, status, message) of stages run once for each problem that becomes ready, one after the other.
+
+    A stage takes the problems of a trigger that its predecessor did, as (problem, models, done), and returns (problem,
+    message), message being null where it succeeded. What fails is not tried again, and no later stage sees it.
+    """
+    spark, out = stream.sparkSession, f"{folder}/chain-{uuid.uuid4().hex}"
+
+    def each(ready: DataFrame, n: int) -> None:
+        ready.write.mode("overwrite").parquet(f"{out}/ready/batch={n}")
+        live = spark.read.schema(READY).parquet(f"{out}/ready/batch={n}")
+        for name, stage in stages:
+            path = f"{out}/data/batch={n}/stage={name}"
+            stage(live).select("problem", "message").write.mode("overwrite").parquet(path)
+            said = spark.read.schema("problem long, message string").parquet(path)
+            live = live.join(said.where("message is null"), "problem", "left_semi")
+
+    query = barrier_stream(stream).writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
+    query.awaitTermination()
+    rows = spark.read.schema("problem long, message string, batch long, stage string").parquet(f"{out}/data")
+    return rows.select("problem", "stage", F.when(F.col("message").isNull(), "done").otherwise("error").alias("status"), "message")
 
 
 def run_available(stream: DataFrame, folder: str) -> DataFrame:

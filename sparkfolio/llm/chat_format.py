@@ -10,7 +10,8 @@ there already, so that the escape can be undone for every text; in a role a line
 
 Defined cases: null text and null role are empty; rows of equal conv_id and turn are ordered by role, then
 text; a null turn comes first; rows with a null conv_id form one conversation; no rows give no conversations.
-Other columns are not read.
+A conversation is gathered whole (its output is one text), so its turns must fit in a task. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not there:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="folio-shared-")
         sc.setCheckpointDir(there)
     return there

@@ -8,7 +8,8 @@ a further part of the recipe. From then on only recipes (16 bytes a chunk) are c
 
 Defined cases: null text is empty; all empty texts are equal (an empty recipe). Rows that repeat a doc_id are
 rows of their own: in a group the row with the smallest doc_id stays, of several such rows the first read. A
-null doc_id sorts first. Columns besides doc_id and text are not read. An empty table gives an empty result.
+null doc_id sorts first. A very long text is a long recipe; no chunk exceeds CHUNK_MAX. docs must give the same rows when
+read again (kept_rows reads them twice), as a table does. Columns besides doc_id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ edited() sends each text over the network once: documents go to ranges of doc_id
 each range's first document is sent to the range before it too, as the successor of its last.
 
 Defined cases: null text is empty; ties of doc_id are ordered by text; null doc_ids come first; a single document is
-its own successor; texts are processed whole, a batch being split where it exceeds BATCH_WORDS words; other columns
+its own successor; repeated rows and equal texts have equal fingerprints, each row one of its own; texts are processed whole, a batch being split where it exceeds BATCH_WORDS words; other columns
 are not read; an empty table gives an empty result.
 """
 

@@ -9,6 +9,7 @@ Counts cover every training row.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; so is every text if nothing was learned.
 Rows are independent, so repeats get equal results. Very long texts are processed whole, one at a time.
+An empty table gives an empty result; other columns are carried on, result columns take a prefix no column has.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ share to the power TEMPER, normalised, which raises what is rare.
 
 Defined cases: a null source or language is the value "" of its own; null and empty texts have no tokens and take
 their cell's ratio, or 1 where the whole cell has none; a target without any tokens is left out and the others
-scaled; equal doc_ids (null among them) are drawn alike; other columns are not read; an empty table gives an empty
+scaled; equal doc_ids (null among them) are drawn alike; a very
+long text only adds its number of tokens; other columns are not read; an empty table gives an empty
 result. The table of cells stays distributed and is broadcast only under the planner's own size threshold.
 """
 

@@ -11,7 +11,8 @@ Texts begin with ORDER - 1 pads; each white-space run counts as one space.
 
 Defined cases: null and empty texts have no perplexity (null) and are not kept; a null language is "und"; a language
 without trusted documents takes the quantiles of all; without trusted text nothing is judged and all with text are
-kept; of several labels of a document the worst counts; rows that repeat a doc_id are scored once each; extra columns
+kept; of several labels of a document the worst counts; rows that repeat a doc_id are scored once each; very
+long texts are counted and scored whole, one batch of distinct grams at a time; extra columns
 are not read; an empty table gives an empty result. docs must give the same rows when read again.
 """
 

@@ -73,5 +73,11 @@ def test_another_template(spark):
     assert row.formatted == "[user]a{/}[assistant]b{/}" and [s.text for s in row.segments if s.loss] == ["a"]
 
 
+def test_columns_of_the_same_names(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", 5, 6), (1, 1, "assistant", "b", 5, 6)], "conv_id long, turn long, role string, text string, segments long, formatted long")
+    (got,) = digests(read_back(format_chats(rows))).collect()
+    assert (got.n_turns, got.loss_chars, got.valid) == (2, 1, True)
+
+
 def test_no_conversations(spark):
     assert digests(read_back(format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0

@@ -79,6 +79,27 @@ def test_copies_with_more_words_link(spark, k, num, den, stars):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def large_groups(n=150):
+    """Near copies of one text, of which many are unlike each other, and texts that share one long passage."""
+    rng = random.Random(21)
+    base, passage = [f"b{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            w[at] = f"x{i}y{at}"
+        rows.append((2 * i, " ".join(w)))
+        rows.append((2 * i + 1, " ".join([*passage, *[f"o{i}z{k}" for k in range(rng.choice([6, 30, 60]))]])))
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [0, 6])
+def test_large_groups_equal_brute_force(spark, rounds):
+    rows = large_groups()
+    got = similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 4, 5, rounds=rounds).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 5, 4, 5))
+
+
 def test_join_of_odd_documents(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = similarity_classes(odd_docs, 3, 90, 100).collect()

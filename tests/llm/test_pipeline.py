@@ -30,6 +30,21 @@ def test_stages_keep_what_they_should(spark):
     assert {r.doc_id for r in pieces} == mixed
 
 
+def test_empty_table_and_more_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+    names = ["label", "cid", "token", "sig", "_folio_lang_pred", "row_at"]
+    docs = spark.createDataFrame([(*r, *[7] * len(names)) for r in rows()], schema + "".join(f", {n} long" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(docs, "documents")
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and kept.where("label = 7 and row_at = 7").count() == kept.count()
+        docs = kept
+    assert corpus_pipeline.STAGES[-1][1](spark, stored(docs, "documents"), "").count() > 0
+
+
 def test_whole_run(spark, tmp_path):
     spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate join, mixing, packing.
 
 A stage is a function of (spark, docs, sf_dir) and works on all that its predecessor kept, as documents written to
-Parquet and read again; all but the last return the columns of documents. SQL cannot express the stages (trained
+Parquet and read again; all but the last return the columns of documents, those that it does not know among them. Rows
+that repeat a doc_id are documents of their own, very long texts are read whole, ties go to the smallest doc_id, and an
+empty table stays empty. SQL cannot express the stages (trained
 spans, hashed draws, token ids), so ORACLE_SQL is None and tests/llm compare with brute force.
 """
 
@@ -20,7 +22,7 @@ SHINGLE, NUM, DEN = 5, 4, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; where `lang` is null it becomes the language found."""
+    """Documents with a language; where `lang` is null it becomes the language found. Null, empty and letterless texts go."""
     model = language_id.train(docs.where(~held_out()))
     own = unused(docs, "_folio_")
     found = language_id.identify(docs, model, prefix=own)
@@ -29,12 +31,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, white space aside, the one with the smallest doc_id."""
+    """Of documents with equal texts, white space aside, the one with the smallest doc_id; null texts count as empty ones."""
     return exact_dedup.kept_rows(docs).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of near copies connect, the document with the smallest doc_id. Rows without a doc_id stay."""
+    """Of each group that links of near copies connect, the document with the smallest doc_id. Rows without a doc_id or without words stay."""
     classes = ngram_join.similarity_classes(docs, SHINGLE, NUM, DEN)
     key = unused(docs, "_folio_gone")
     gone = stored(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
@@ -42,12 +44,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the raked shares of sources, languages and topics."""
+    """A sample whose tokens follow the raked shares of sources, languages and topics; a null source or language is one of its own."""
     return mixing.sampled_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, with the sequence and the offset of each."""
+    """Pieces of all documents, with the sequence and the offset of each; a null text is empty and still has its end token."""
     return packing.pack(docs)
 
 

@@ -40,10 +40,14 @@ def dataset_pages(index: DataFrame) -> DataFrame:
 
 def selected(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each request (id, grp, year, page) the page meant: what is asked for if it is there, else the first of its year, year or group."""
-    both = wanted.withColumnsRenamed({"grp": "w_grp", "year": "w_year", "page": "w_page"})
-    hits = both.join(pages, pages.grp == both.w_grp).withColumns({"year_hit": (F.col("year") == F.col("w_year")).cast("int"), "page_hit": ((F.col("year") == F.col("w_year")) & (F.col("page") == F.col("w_page"))).cast("int")})
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc_nulls_last("page_hit"), F.desc_nulls_last("year_hit"), F.desc("year"), F.length("page"), "page"))
-    return hits.withColumn("rank", best).where("rank = 1").select("id", "grp", "year", "page")
+    # Defaults are made before the joins: one row a year and one a group, so no request meets all pages of its group.
+    there = pages.select("grp", "year", "page").distinct()
+    firsts = there.groupBy("grp", "year").agg(F.min(F.struct(F.length("page").alias("n"), "page"))["page"].alias("first"))
+    default = firsts.groupBy("grp").agg(F.max(F.struct("year", "first")).alias("last"))
+    rows = wanted.join(default, "grp").join(firsts, ["grp", "year"], "left").join(there.withColumn("hit", F.lit(True)), ["grp", "year", "page"], "left")
+    known = F.col("first").isNotNull()
+    page = F.when(F.col("hit"), F.col("page")).when(known, F.col("first")).otherwise(F.col("last.first"))
+    return rows.select("id", "grp", F.when(known, F.col("year")).otherwise(F.col("last.year")).alias("year"), page.alias("page"))
 
 
 def math_segments(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import app as A
 from ..operators import detections as D
 from ..operators import exchange as X
 from ..operators import layout as L
@@ -145,6 +146,14 @@ def converted_texts(spark: SparkSession, d: str) -> DataFrame:
     return X.converted(asked, cache, "no such model")
 
 
+def selected_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for pages, some of years or groups that are not there."""
+    li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
+    pages = li.select(F.concat(F.lit("g"), s(F.col("l_suppkey") % 5)).alias("grp"), s(F.col("l_linenumber") + 2020).alias("year"), s(F.col("l_partkey") % 50).alias("page"))
+    asked = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("g"), s(F.col("o_custkey") % 6)).alias("grp"), s(F.col("o_orderkey") % 9 + 2019).alias("year"), s(F.col("o_orderkey") % 70).alias("page"))
+    return A.selected(pages, asked)
+
+
 def checked_ids(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("problem"), (F.col("l_partkey") % 20).alias("id"))
     return X.checked(li, read(spark, d, "orders").select(F.col("o_orderkey").alias("problem"), (F.col("o_custkey") % 20).alias("id")))
@@ -158,7 +167,7 @@ def step_clusters(spark: SparkSession, d: str) -> DataFrame:
     return X.clusters(own, members).select("problem", "place", "shared", md5(F.col("title")).alias("title_md5"), "solvers", "mean_idx_milli", "mean_solver_milli")
 
 
-QUERIES = {f.__name__: f for f in (first_existing_path, page_images, selected_sources, sliced_pages, page_detections, chosen_texts, question_crops, problem_contexts, legacy_page_keys, contour_boxes, message_parts, reply_texts, braced_replies, result_texts, model_logos, missing_keys, converted_texts, checked_ids, step_clusters)}
+QUERIES = {f.__name__: f for f in (first_existing_path, page_images, selected_sources, sliced_pages, page_detections, chosen_texts, question_crops, problem_contexts, legacy_page_keys, contour_boxes, message_parts, reply_texts, braced_replies, result_texts, model_logos, missing_keys, converted_texts, selected_pages, checked_ids, step_clusters)}
 
 BOX = """case when doc_id % 11 in (0, 1) then [0, 0, 0, 0] when doc_id % 11 = 2 then [7, 8, 107, 208] else [doc_id * 31 % 2000, doc_id * 17 % 3000, doc_id * 31 % 2000 + 90, doc_id * 17 % 3000 + 60] end"""
 STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOPWORDS)
@@ -192,6 +201,9 @@ ORACLES = {
     "model_logos": "select c_custkey, (['openai.png', 'claude.png', 'gemini.jpeg', 'grok.png', 'openai.png', 'openai.png'])[c_custkey % 6 + 1] logo from customer",
     "missing_keys": "select event_id problem, user_id model, case when event_type in ('click', 'view') then 'run' else 'error' end as event, case when event_type not in ('click', 'view') then 'KEY_' || upper(event_type) || ' is missing' end message from events",
     "converted_texts": "select 'p ' || doc_id id, case when doc_id % 5 = 0 then '' when doc_id % 6 = 0 then 'cached ' || doc_id || ' ⑤ $12$' else doc_id || ' x ⑤ 12' end as text from documents",
+    "selected_pages": """with p as (select distinct 'g' || (l_suppkey % 5) grp, (l_linenumber + 2020)::varchar as year, (l_partkey % 50)::varchar page from lineitem), w as (select o_orderkey id, 'g' || (o_custkey % 6) grp, (o_orderkey % 9 + 2019)::varchar as year, (o_orderkey % 70)::varchar page from orders),
+        f as (select grp, year, arg_min(page, (length(page), page)) first from p group by all), g as (select grp, max(year) last, arg_max(first, year) first from f group by grp)
+        select w.id, w.grp, coalesce(f.year, g.last) as year, coalesce(p.page, f.first, g.first) page from w join g on w.grp = g.grp left join f on w.grp = f.grp and w.year = f.year left join p on w.grp = p.grp and w.year = p.year and w.page = p.page""",
     "checked_ids": "select distinct l_orderkey problem, l_partkey % 20 id from lineitem join orders on l_orderkey = o_orderkey and l_partkey % 20 = o_custkey % 20",
     "step_clusters": rf"""with r as (select conv_id // 5 problem, conv_id % 5 solver, turn idx, case when turn % 4 = 0 then '' else split_part(text, '.', 1) end title, array_to_string((string_split(text, ' '))[1:12], ' ') body from conversations),
         g as (select problem, idx from r where idx % 2 = 0 group by all having count(distinct solver) >= 2), o as (select r.*, regexp_replace(title, '^\s+|\s+$', '', 'g') t, g.idx is not null shared from r left join g on r.problem = g.problem and r.idx = g.idx),

@@ -91,10 +91,14 @@ def test_cleaning():
 
 def test_blocks(spark):
     raw = "<|ref|>text<|/ref|><|det|>[[1, 2, 3, 4]]<|/det|>\nfirst\n12\nsecond\n<|ref|>image<|/ref|><|det|>[[5, 6, 7, 8]]<|/det|>\nlost<|ref|>text<|/ref|><|det|>[[1,2,3,4],[5,6,7,8]]<|/det|>two boxes"
-    got = S.blocks(spark.createDataFrame([("p", raw)], "page string, raw string")).orderBy("ord", "piece").collect()
-    assert [(r.kind, r.x1, r.txt) for r in got] == [("text", 1, "first"), ("text", 1, "12"), ("text", 1, "second"), ("image", 5, "")]
-    quarters = {r.quadrant: r.txt for r in S.by_quadrant(S.blocks(spark.createDataFrame([("p", raw)], "page string, raw string"))).collect()}
-    assert quarters == {1: "first\n\n12\n\nsecond\n\n", 2: "", 3: "", 4: ""}
+    rows = spark.createDataFrame([("p", raw)], "page string, raw string")
+    first = [("text", 1, "first"), ("text", 1, "12"), ("text", 1, "second"), ("image", 5, "")]
+    shown = lambda found: [(r.kind, r.x1, r.txt) for r in found.orderBy("ord", "piece").collect()]
+    assert shown(S.blocks(rows, several=False)) == first
+    assert shown(S.blocks(rows)) == [*first, ("text", 1, "two boxes"), ("text", 5, "two boxes")]
+    quarters = {r.quadrant: r.txt for r in S.by_quadrant(rows).collect()}
+    tags = [t.strip() for t in raw.replace("<|ref|>", "\u0001<|ref|>").split("\u0001") if t]
+    assert quarters == {1: "\n\n".join(tags), 2: "", 3: "", 4: ""}
 
 
 def test_lines_are_measured_from_their_first_block(spark):

@@ -81,10 +81,16 @@ def swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch: it ends with the row that reaches them, so very long texts travel few at a time.
+ARROW_BYTES = 4 << 20
+
+
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound an Arrow batch: at most `rows` texts travel to a Python worker at a time."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound an Arrow batch: at most `rows` texts, or ARROW_BYTES and one text, travel to a Python worker at a time."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 @contextlib.contextmanager

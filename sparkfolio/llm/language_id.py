@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, held_out, tidy
 
-BUCKETS, MAX_LANGS, PENALTY, BATCH_CHARS = 1 << 16, 64, 12.0, 3_000_000
+BUCKETS, MAX_LANGS, PENALTY, BATCH_CHARS = 1 << 16, 64, 12.0, 1_000_000
 #: Unicode block ranges by script; letters elsewhere count as script 0.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xFF21, 0xFF5A)],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, fingerprints, language_id, mixing, ngram_join, packing, quality_model, suffix_dedup, toxicity
+from . import chat_format, concurrency, exact_dedup, fingerprints, importance, language_id, line_dedup, mixing, ngram_join, packing, quality_model, suffix_dedup, toxicity
 from .common import table
 
 MARKS = "<|im_end|><|im_start|>assistant ok"
@@ -53,9 +53,37 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES = {"op7_nearest_toxic": op7_nearest_toxic, "op4_proportional_fitting": op4_proportional_fitting, "op8_kneser_ney": op8_kneser_ney, "op5_suffix_dedup": op5_suffix_dedup, "op1_weighted_sampling": op1_weighted_sampling, "op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concurrency.op13(spark, sf_dir)
+
+
+QUERIES = {"op11_line_dedup": op11_line_dedup, "op12_importance_resampling": op12_importance_resampling, "op13_peak_concurrency": op13_peak_concurrency, "op7_nearest_toxic": op7_nearest_toxic, "op4_proportional_fitting": op4_proportional_fitting, "op8_kneser_ney": op8_kneser_ney, "op5_suffix_dedup": op5_suffix_dedup, "op1_weighted_sampling": op1_weighted_sampling, "op6_ngram_join": op6_ngram_join, "op2_exact_dedup": op2_exact_dedup, "op3_harmonic_packing": op3_harmonic_packing, "op9_language_id": op9_language_id, "op10_chat_format": op10_chat_format}
 
 ORACLES = {
+    "op11_line_dedup": r"""
+        with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos from documents),
+        k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+        d as (select key, max(doc_id) stays from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+        m as (select k.*, d.key is not null and doc_id <> stays gone from k left join d using (key))
+        select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from m group by doc_id""",
+    "op13_peak_concurrency": """
+        with e as (select sale_id, max(shipped_at) shipped from sale_lines where shipped_at is not null group by sale_id),
+        c as (select client_id, arg_max(nation_id, updated_at) nation_id from clients group by client_id),
+        s as (select coalesce(c.nation_id, -1) nation, epoch_us(sold_at) // 60000000 * 60 s, epoch_us(shipped) // 60000000 * 60 + 604800 e, coalesce(floor(100 * total + 0.5), 0)::bigint cents
+            from sales left join e using (sale_id) left join c using (client_id) where sold_at is not null),
+        f as (select * from s where e is null or e > s union all select -2, s, e, cents from s where e is null or e > s),
+        d as (select nation, s as moment, 1 as n, cents from f union all select nation, e, -1, -cents from f where e is not null),
+        m as (select nation, moment, sum(n) n, sum(cents) cents from d group by nation, moment having sum(n) <> 0 or sum(cents) <> 0),
+        o as (select nation, moment, lead(moment) over w nxt, sum(n) over w n_open, sum(cents) over w open_cents from m window w as (partition by nation order by moment))
+        select nation::int nation_id, moment::bigint from_s, nxt::bigint to_s, n_open::bigint n_open, open_cents::bigint open_cents, max(n_open) over (partition by nation order by moment)::bigint high_open, n_open = max(n_open) over (partition by nation) is_peak from o""",
     "op2_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t from documents)
         select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,

@@ -20,6 +20,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,9 @@ def prefix_folds(rows: DataFrame, keys: list[str], at: str, folds: Folds, span:
         before = prefix_folds(totals, keys, "_block", folds, (span + size - 1) >> TIER, whole=False)
         cells = cells.unionByName(before.withColumn("_cell", F.lit(0).cast("long")))
     asked = rows.select(*keys, F.col(name).alias("_name"), block, F.explode(rounded(slot + int(whole), up=False)).alias("_cell"))
-    on = [a[k].eqNullSafe(b[k]) for a, b in [(asked, cells)] for k in [*keys, "_block", "_cell"]]
-    cond = on[0]
-    for x in on[1:]:
-        cond &= x
-    met = asked.join(cells.hint("shuffle_hash"), cond).select(*(asked[k] for k in keys), asked["_name"].alias(name), *(cells[c] for c in folds))
+    held = cells.select(*(F.col(k).alias(f"_of_{k}") for k in (*keys, "_block", "_cell")), *folds)
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_block", "_cell")))
+    met = asked.join(held.hint("shuffle_hash"), same).select(*keys, F.col("_name").alias(name), *folds)
     return met.groupBy(*keys, name).agg(*(f(F.col(c)).alias(c) for c, f in folds.items()))
 
 
@@ -102,11 +101,11 @@ def seconds(column: str) -> Column:
 
 
 def open_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(nation_id, start, end, cents): each sale twice, for its client's nation and for all. A client_id that repeats counts
-    as its row updated last, of several such the one with the largest nation_id.
+    """(nation_id, start, end, cents): each sale twice, for its client's nation and for all. Of a client_id's rows the
+    largest nation_id counts.
     """
     lines = table(spark, sf_dir, "sale_lines").where("sale_id is not null and shipped_at is not null").groupBy("sale_id").agg(F.max("shipped_at").alias("shipped_at"))
-    clients = table(spark, sf_dir, "clients").where("client_id is not null").groupBy("client_id").agg(F.max(F.struct("updated_at", "nation_id"))["nation_id"].alias("nation_id"))
+    clients = table(spark, sf_dir, "clients").where("client_id is not null").groupBy("client_id").agg(F.max("nation_id").alias("nation_id"))
     sales = table(spark, sf_dir, "sales").where("sold_at is not null").select("sale_id", "client_id", "total", "sold_at")
     timed = sales.join(lines, "sale_id", "left").select("client_id", seconds("sold_at").alias("start"), (seconds("shipped_at") + WEEK).alias("end"), F.coalesce(F.floor(F.col("total") * 100 + 0.5), F.lit(0).cast("long")).alias("cents"))
     placed = timed.where("end is null or end > start").join(clients, "client_id", "left")

@@ -76,7 +76,7 @@ ORACLES = {
         select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from m group by doc_id""",
     "op13_peak_concurrency": """
         with e as (select sale_id, max(shipped_at) shipped from sale_lines where shipped_at is not null group by sale_id),
-        c as (select client_id, arg_max(nation_id, updated_at) nation_id from clients group by client_id),
+        c as (select client_id, max(nation_id) nation_id from clients group by client_id),
         s as (select coalesce(c.nation_id, -1) nation, epoch_us(sold_at) // 60000000 * 60 s, epoch_us(shipped) // 60000000 * 60 + 604800 e, coalesce(floor(100 * total + 0.5), 0)::bigint cents
             from sales left join e using (sale_id) left join c using (client_id) where sold_at is not null),
         f as (select * from s where e is null or e > s union all select -2, s, e, cents from s where e is null or e > s),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import contraction
 
 # Weights of the features in a pair's score, the penalty for distance and the least score of an edge.
 WEIGHTS = {"title": 0.3, "body": 0.3, "math": 0.2, "chars": 0.1}
@@ -120,45 +121,26 @@ def edges(scored: DataFrame, threshold: float = THRESHOLD, top: int = 1) -> Data
     return ranked.where((F.col("score") >= micro(F.lit(threshold))) & (F.col("r") <= top) & (F.col("c") <= top)).select(*PAIR, "score")
 
 
-def node(solver: Column, idx: Column) -> Column:
-    """A step's number within its problem."""
-    return solver * 1000 + idx
+def node(solver: str, idx: str) -> Column:
+    """A step within its problem."""
+    return F.struct(F.col(solver).alias("solver"), F.col(idx).alias("idx"))
 
 
 def components(found: DataFrame) -> DataFrame:
-    """(problem, node, component): least node reachable within the problem.
-
-    Problems are small and independent: labels spread by joins on (problem, node), which stop when none changes.
-    """
-    ends = found.select("problem", node(F.col("s1"), F.col("i")).alias("a"), node(F.col("s2"), F.col("j")).alias("b"))
-    both = ends.union(ends.select("problem", "b", "a")).checkpoint() if _checkpoints(found) else ends.union(ends.select("problem", "b", "a")).cache()
-    labels = both.groupBy("problem", F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), ["problem", "b"]).groupBy("problem", F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, ["problem", "node"]).select("problem", "node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        new = new.checkpoint() if _checkpoints(found) else new.cache()
-        if new.where("old <> component").isEmpty():
-            return new.select("problem", "node", "component")
-        labels = new.select("problem", "node", "component")
-
-
-def _checkpoints(df: DataFrame) -> bool:
-    """Whether the session has a shared checkpoint folder; without one the frames are cached."""
-    return bool(df.sparkSession.sparkContext.getCheckpointDir())
+    """(problem, node, component): the least step (solver, then idx) reachable within the problem."""
+    return contraction.components(found.select("problem", node("s1", "i").alias("a"), node("s2", "j").alias("b")), ["problem"])
 
 
 def members(found: DataFrame) -> DataFrame:
     """(problem, component, solver, idx, best): of each component and solver the step with the best edge inside it;
     components of two solvers at least.
     """
-    labels = components(found)
-    ends = found.select("problem", node(F.col("s1"), F.col("i")).alias("node"), "score").union(found.select("problem", node(F.col("s2"), F.col("j")), "score"))
-    best = ends.groupBy("problem", "node").agg(F.max("score").alias("best")).join(labels, ["problem", "node"])
-    best = best.withColumns({"solver": F.expr("node div 1000"), "idx": F.col("node") % 1000})
-    one = F.row_number().over(Window.partitionBy("problem", "component", "solver").orderBy(F.desc("best"), "idx"))
-    kept = best.withColumn("rank", one).where("rank = 1")
-    solvers = F.count(F.lit(1)).over(Window.partitionBy("problem", "component"))
-    return kept.withColumn("solvers", solvers).where("solvers >= 2").select("problem", "component", "solver", "idx", "best", "solvers")
+    ends = found.select("problem", node("s1", "i").alias("node"), "score").union(found.select("problem", node("s2", "j"), "score"))
+    best = ends.groupBy("problem", "node").agg(F.max("score").alias("best")).join(components(found), ["problem", "node"])
+    one = best.groupBy("problem", "component", F.col("node.solver").alias("solver")).agg(F.min(F.struct(-F.col("best"), "node.idx")).alias("one"))
+    kept = one.select("problem", "component", "solver", "one.idx", (-F.col("one.col1")).alias("best"))
+    solvers = kept.groupBy("problem", "component").agg(F.count(F.lit(1)).alias("solvers")).where("solvers >= 2")
+    return kept.join(solvers, ["problem", "component"])
 
 
 def labels(found: DataFrame, steps: DataFrame) -> DataFrame:
@@ -169,8 +151,8 @@ def labels(found: DataFrame, steps: DataFrame) -> DataFrame:
     titled = own.join(steps, ["problem", "solver", "idx"])
     t = T.tokens(F.col("title"))
     words = F.when(F.size(t) > 0, t).otherwise(F.slice(T.tokens(F.col("body")), 1, 6))
-    seen = titled.select("problem", "component", F.posexplode(words).alias("pos", "token"), (F.col("solver") * 1_000_000 + F.col("idx") * 1000).alias("base"))
-    freq = seen.groupBy("problem", "component", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("base") + F.col("pos")).alias("first"))
+    seen = titled.select("problem", "component", "solver", "idx", F.posexplode(words).alias("pos", "token"))
+    freq = seen.groupBy("problem", "component", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("solver", "idx", "pos")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("problem", "component").orderBy(F.desc("n"), "first"))
     top = freq.withColumn("rank", rank).where("rank <= 2").groupBy("problem", "component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), " ").alias("label"))
     sizes = own.groupBy("problem", "component").agg(F.max("solvers").alias("solvers"))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .records import natural_key
+
 # Places of the step drawing, in its own units.
 COLUMN_GAP, ROW_GAP, MARGIN = 260, 120, 60
+# The groups of dataset pages in their order, the one whose years go backwards, and what stands in for a missing year or page.
+GROUPS, DESCENDING = ("csat", "sat"), "csat"
+NO_YEAR, NO_PAGE = {"csat": "2025", "sat": "8"}, "001"
 
 
 def solve_key(problem: Column, modality: Column, group: Column, year: Column, page: Column, uploaded: Column) -> Column:
@@ -39,15 +44,29 @@ def dataset_pages(index: DataFrame) -> DataFrame:
 
 
 def selected(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each request (id, grp, year, page) the page meant: what is asked for if it is there, else the first of its year, year or group."""
+    """For each request (id, grp, year, page) the page meant, from pages (grp, year, page): group, year and page are each what is asked
+    for if it is there, else the first one; where there is none at all, a constant. Every request gives a row.
+
+    Years and pages are ordered by their numbers; the newest year comes first in the group DESCENDING. A request for the year
+    `sat` names test and page as `<test>_<page>`.
+    """
+    there = pages.where(F.col("grp").isin(*GROUPS)).select("grp", "year", "page").distinct()
+    held = {r.grp for r in there.select("grp").distinct().collect()}  # two at most
+    first_group = next((g for g in GROUPS if g in held), None)
+    group = F.when(F.col("grp").isin(*held), F.col("grp")).otherwise(F.lit(first_group)) if held else F.coalesce("grp", F.lit(GROUPS[0]))
     # Defaults are made before the joins: one row a year and one a group, so no request meets all pages of its group.
-    there = pages.select("grp", "year", "page").distinct()
-    firsts = there.groupBy("grp", "year").agg(F.min(F.struct(F.length("page").alias("n"), "page"))["page"].alias("first"))
-    default = firsts.groupBy("grp").agg(F.max(F.struct("year", "first")).alias("last"))
-    rows = wanted.join(default, "grp").join(firsts, ["grp", "year"], "left").join(there.withColumn("hit", F.lit(True)), ["grp", "year", "page"], "left")
-    known = F.col("first").isNotNull()
-    page = F.when(F.col("hit"), F.col("page")).when(known, F.col("first")).otherwise(F.col("last.first"))
-    return rows.select("id", "grp", F.when(known, F.col("year")).otherwise(F.col("last.year")).alias("year"), page.alias("page"))
+    place = lambda c: F.struct(*(x.alias(f"k{i}") for i, x in enumerate(natural_key(F.lower(F.col(c))))), F.col(c).alias("own"))
+    firsts = there.groupBy("grp", "year").agg(F.min(place("page"))["own"].alias("first"))
+    ends = firsts.groupBy("grp").agg(F.min(place("year"))["own"].alias("low"), F.max(place("year"))["own"].alias("high"))
+    default = ends.select("grp", F.when(F.col("grp") == DESCENDING, F.col("high")).otherwise(F.col("low")).alias("default"))
+
+    old = (F.col("grp") == "sat") & (F.col("year") == "sat") & F.contains("page", F.lit("_"))
+    asked = wanted.select("id", group.alias("grp"), "year", "page").withColumns({"year": F.when(old, F.substring_index("page", "_", 1)).otherwise(F.col("year")), "page": F.when(old, F.regexp_extract("page", "^[^_]*_(.*)$", 1)).otherwise(F.col("page"))})
+    known = asked.join(firsts.drop("first").withColumn("known", F.lit(True)), ["grp", "year"], "left").join(default, "grp", "left")
+    year = F.when(F.col("known"), F.col("year")).otherwise(F.coalesce("default", F.when(F.col("grp") == "sat", NO_YEAR["sat"]).otherwise(NO_YEAR["csat"])))
+    dated = known.select("id", "grp", year.alias("year"), "page")
+    rows = dated.join(firsts, ["grp", "year"], "left").join(there.withColumn("hit", F.lit(True)), ["grp", "year", "page"], "left")
+    return rows.select("id", "grp", "year", F.when(F.col("hit"), F.col("page")).otherwise(F.coalesce("first", F.lit(NO_PAGE))).alias("page"))
 
 
 def math_segments(text: Column) -> Column:

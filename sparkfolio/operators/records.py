@@ -100,16 +100,6 @@ def exact_pages(uploads: DataFrame, known: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.min("page_id").alias("page_id"))
 
 
-def nearest_pages(uploads: DataFrame, known: DataFrame, group: str, most: float) -> DataFrame:
-    """Uploads (id, thumb, group) to the known page (page_id, thumb, group) of the least difference, at most `most`; the first of equals.
-
-    Only pages of one group (size and shape) are compared.
-    """
-    pairs = uploads.join(known.withColumnRenamed("thumb", "other"), group).withColumn("off", mean_abs_diff(F.col("thumb"), F.col("other"))).where(F.col("off") <= most)
-    w = Window.partitionBy("id").orderBy("off", "page_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("id", "page_id", "off")
-
-
 def crop_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
     """Pixel box of a detection, whose unit is the page if all of it lies in 0..1; clamped, at least a pixel."""
     unit = x.between(0, 1) & y.between(0, 1) & (w > 0) & (w <= 1) & (h > 0) & (h <= 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import app as A
 from ..operators import models
 from ..sources.tables import read
-from .text_queries import _low, sql_members
+from .text_queries import _flat, _low, sql_members
 
 
 def cache_split(spark: SparkSession, d: str) -> DataFrame:
@@ -35,13 +35,13 @@ def math_segments(spark: SparkSession, d: str) -> DataFrame:
 def drawn_nodes(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import align
 
-    return A.drawn(align.members(_low(spark, d)))
+    return _flat(A.drawn(align.members(_low(spark, d))), "component")
 
 
 def drawn_chains(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import align
 
-    return A.chains(align.members(_low(spark, d)))
+    return _flat(A.chains(align.members(_low(spark, d))), "from_component", "to_component")
 
 
 def upload_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +65,8 @@ ORACLES = {
     "math_segments": r"""with r as (select doc_id, case doc_id % 4 when 0 then [('text', 'a '), ('inline', 'x_' || doc_id), ('text', ' b '), ('display', 'y'), ('text', ' c')] when 1 then [('display', 'z' || doc_id)]
             when 2 then [('inline', 'p'), ('inline', 'q' || doc_id), ('text', ' end')] else [('text', 'plain')] end s from documents), e as (select doc_id, unnest(s) x, generate_subscripts(s, 1) - 1 pos from r)
         select doc_id, pos, x[1] kind, x[2] body from e""",
-    "drawn_nodes": f"{sql_members()}, nodes as (select problem, component, floor(avg(idx) + 0.5)::bigint stage, avg(solver) ms from members group by problem, component), rws as (select *, row_number() over (partition by problem, stage order by ms, component) - 1 row_no from nodes) select problem, component, stage, row_no, stage * 260 + 60 x, row_no * 120 + 60 y from rws",
-    "drawn_chains": f"{sql_members()} select problem, solver, lag(component) over (partition by problem, solver order by idx) from_component, component to_component from members",
+    "drawn_nodes": f"{sql_members()}, nodes as (select problem, component, floor(avg(idx) + 0.5)::bigint stage, avg(solver) ms from members group by problem, component), rws as (select *, row_number() over (partition by problem, stage order by ms, component) - 1 row_no from nodes) select problem, component.solver component_solver, component.idx component_idx, stage, row_no, stage * 260 + 60 x, row_no * 120 + 60 y from rws",
+    "drawn_chains": f"{sql_members()} select problem, solver, lag(component.solver) over w from_component_solver, lag(component.idx) over w from_component_idx, component.solver to_component_solver, component.idx to_component_idx from members window w as (partition by problem, solver order by idx)",
     "upload_sizes": """with p as (select p_partkey, p_partkey * 37 % 9000 + 1 w, p_partkey * 53 % 9000 + 1 h, p_partkey * 1000003 % 16000000 b from part)
         select p_partkey, case when b < 8388608 then w else floor(w * least(1.0::double, 4200.0::double / greatest(w, h)) + 0.5) end::bigint width, case when b < 8388608 then h else floor(h * least(1.0::double, 4200.0::double / greatest(w, h)) + 0.5) end::bigint height from p""",
     "model_replies": "select conv_id, turn, text reply, null::varchar error from conversations where role = 'assistant'",

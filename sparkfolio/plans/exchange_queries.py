@@ -147,11 +147,15 @@ def converted_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selected_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Requests for pages, some of years or groups that are not there."""
+    """Requests of which groups, years and pages are there or not, older ones that name test and page together among them."""
     li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
-    pages = li.select(F.concat(F.lit("g"), s(F.col("l_suppkey") % 5)).alias("grp"), s(F.col("l_linenumber") + 2020).alias("year"), s(F.col("l_partkey") % 50).alias("page"))
-    asked = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("g"), s(F.col("o_custkey") % 6)).alias("grp"), s(F.col("o_orderkey") % 9 + 2019).alias("year"), s(F.col("o_orderkey") % 70).alias("page"))
-    return A.selected(pages, asked)
+    csat, text = F.col("l_suppkey") % 2 == 0, lambda x: x.cast("string")
+    pages = li.select(F.when(F.col("l_suppkey") % 10 == 9, "draft").when(csat, "csat").otherwise("sat").alias("grp"), text(F.when(csat, F.col("l_linenumber") + 2020).otherwise(F.col("l_linenumber") * 3)).alias("year"), F.when(csat, F.lpad(text(F.col("l_partkey") % 50 + 2), 3, "0")).otherwise(text(F.col("l_partkey") % 50 + 2)).alias("page"))
+    n, old = F.col("o_custkey") % 5, F.col("o_custkey") % 5 == 3
+    grp = F.when(n < 2, "csat").when(n < 4, "sat").otherwise("draft")
+    year = F.when(old, "sat").when(n == 1, None).when(n == 2, text(F.col("o_orderkey") % 9 * 2)).otherwise(text(F.col("o_orderkey") % 9 + 2019))
+    page = F.when(old, F.concat_ws("_", text(F.col("o_orderkey") % 9 * 2), text(F.col("o_orderkey") % 60))).when(n == 2, text(F.col("o_orderkey") % 60)).otherwise(F.lpad(text(F.col("o_orderkey") % 60), 3, "0"))
+    return A.selected(pages, o.select(F.col("o_orderkey").alias("id"), grp.alias("grp"), year.alias("year"), page.alias("page")))
 
 
 def checked_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -201,9 +205,13 @@ ORACLES = {
     "model_logos": "select c_custkey, (['openai.png', 'claude.png', 'gemini.jpeg', 'grok.png', 'openai.png', 'openai.png'])[c_custkey % 6 + 1] logo from customer",
     "missing_keys": "select event_id problem, user_id model, case when event_type in ('click', 'view') then 'run' else 'error' end as event, case when event_type not in ('click', 'view') then 'KEY_' || upper(event_type) || ' is missing' end message from events",
     "converted_texts": "select 'p ' || doc_id id, case when doc_id % 5 = 0 then '' when doc_id % 6 = 0 then 'cached ' || doc_id || ' ⑤ $12$' else doc_id || ' x ⑤ 12' end as text from documents",
-    "selected_pages": """with p as (select distinct 'g' || (l_suppkey % 5) grp, (l_linenumber + 2020)::varchar as year, (l_partkey % 50)::varchar page from lineitem), w as (select o_orderkey id, 'g' || (o_custkey % 6) grp, (o_orderkey % 9 + 2019)::varchar as year, (o_orderkey % 70)::varchar page from orders),
-        f as (select grp, year, arg_min(page, (length(page), page)) first from p group by all), g as (select grp, max(year) last, arg_max(first, year) first from f group by grp)
-        select w.id, w.grp, coalesce(f.year, g.last) as year, coalesce(p.page, f.first, g.first) page from w join g on w.grp = g.grp left join f on w.grp = f.grp and w.year = f.year left join p on w.grp = p.grp and w.year = p.year and w.page = p.page""",
+    "selected_pages": """with p as (select distinct case when l_suppkey % 2 = 0 then 'csat' else 'sat' end grp, (case when l_suppkey % 2 = 0 then l_linenumber + 2020 else l_linenumber * 3 end)::varchar as year,
+            case when l_suppkey % 2 = 0 then lpad((l_partkey % 50 + 2)::varchar, 3, '0') else (l_partkey % 50 + 2)::varchar end page from lineitem where l_suppkey % 10 <> 9),
+        w as (select o_orderkey id, case when o_custkey % 5 in (2, 3) then 'sat' else 'csat' end grp, case o_custkey % 5 when 1 then null when 2 then (o_orderkey % 9 * 2)::varchar when 3 then (o_orderkey % 9 * 2)::varchar else (o_orderkey % 9 + 2019)::varchar end as year,
+            case when o_custkey % 5 in (2, 3) then (o_orderkey % 60)::varchar else lpad((o_orderkey % 60)::varchar, 3, '0') end page from orders),
+        y as (select grp, case when grp = 'csat' then max(year::int) else min(year::int) end::varchar first_year from p group by grp),
+        r as (select w.id, w.grp, case when exists (select 1 from p where p.grp = w.grp and p.year = w.year) then w.year else y.first_year end as year, w.page from w join y using (grp))
+        select r.id, r.grp, r.year, case when exists (select 1 from p where p.grp = r.grp and p.year = r.year and p.page = r.page) then r.page else (select arg_min(p.page, p.page::int) from p where p.grp = r.grp and p.year = r.year) end page from r""",
     "checked_ids": "select distinct l_orderkey problem, l_partkey % 20 id from lineitem join orders on l_orderkey = o_orderkey and l_partkey % 20 = o_custkey % 20",
     "step_clusters": rf"""with r as (select conv_id // 5 problem, conv_id % 5 solver, turn idx, case when turn % 4 = 0 then '' else split_part(text, '.', 1) end title, array_to_string((string_split(text, ' '))[1:12], ' ') body from conversations),
         g as (select problem, idx from r where idx % 2 = 0 group by all having count(distinct solver) >= 2), o as (select r.*, regexp_replace(title, '^\s+|\s+$', '', 'g') t, g.idx is not null shared from r left join g on r.problem = g.problem and r.idx = g.idx),

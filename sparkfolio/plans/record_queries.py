@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify as C
+from ..operators import known_pages as P
 from ..operators import network as N
 from ..operators import records as R
 from ..sources.tables import read, steps
@@ -107,11 +108,28 @@ def known_page_match(spark: SparkSession, d: str) -> DataFrame:
     return R.exact_pages(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("content")))
 
 
+def _known_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, width, height, thumb): each vector is a thumbnail of whole numbers; some pages look like others but for their size."""
+    v, n = read(spark, d, "embeddings"), F.col("page_id")
+    thumb = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100 + 128))
+    pages = v.select(F.col("vec_id").alias("page_id"), thumb.alias("thumb"))
+    twice = pages.where("page_id % 4 = 0").withColumn("page_id", n + 1_000_000)
+    return pages.unionByName(twice).withColumns({"width": F.when(n >= 1_000_000, 1654).otherwise(1240 + n % 3), "height": F.when(n >= 1_000_000, 2339).otherwise(F.lit(1754))})
+
+
+def _uploads(spark: SparkSession, d: str) -> DataFrame:
+    """The same looks, some of whose points are brighter by one, of the same size, the same shape or another shape."""
+    v, n = read(spark, d, "embeddings"), F.col("id")
+    k = F.element_at(F.array(*map(F.lit, (64, 8, 4, 2))), (n % 4 + 1).cast("int"))
+    thumb = F.transform("embedding", lambda x, i: F.floor(x.cast("double") * 100 + 128) + F.when(i % k == n % k, 1).otherwise(0))
+    size = n.cast("long") % 5
+    width = F.when(size < 3, 1240 + n % 3).when(size == 3, 2 * (1240 + n % 3)).otherwise(F.lit(1000))
+    return v.select(F.col("vec_id").alias("id"), "embedding").select("id", thumb.alias("thumb"), width.alias("width"), F.when(size == 3, 3508).otherwise(F.lit(1754)).alias("height"))
+
+
 def known_page_nearest(spark: SparkSession, d: str) -> DataFrame:
-    thumb = lambda df, name: df.select(F.col("vec_id").alias(name), F.transform("embedding", lambda x: F.floor(x.cast("double") * 100)).alias("thumb"), "label")
-    v = read(spark, d, "embeddings")
-    found = R.nearest_pages(thumb(v.where("vec_id % 2 = 1"), "id"), thumb(v.where("vec_id % 2 = 0"), "page_id"), "label", 20.0)
-    return found.select("id", "page_id", F.floor(F.col("off") * 1000 + 0.5).cast("long").alias("off_milli"))
+    found = P.nearest_pages(_uploads(spark, d), _known_pages(spark, d))
+    return found.select("id", "page_id", F.floor(F.col("off") * 10_000 + 0.5).cast("long").alias("off_e4"), "same_size")
 
 
 def page_id_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -209,8 +227,11 @@ ORACLES = {
     "gt_left_join_pivot": r"""with l as (select doc_id, 'q' || arg_max(quality, toxic) "desc" from labels group by 1), c as (select doc_id, doc_id % 4 k, md5(trim(regexp_replace(text, '\r\n|\r|\n', ' ', 'g'))) cell from documents)
         select doc_id, case when k = 0 then cell end a, case when k = 1 then cell end b, case when k = 2 then cell end c, case when k = 3 then cell else 'again' end d, coalesce("desc", '') "desc" from c left join l using (doc_id)""",
     "known_page_match": "select d.doc_id id, min(k.doc_id) page_id from documents d join documents k on d.text = k.text group by d.doc_id",
-    "known_page_nearest": """with t as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 100)) e from embeddings), p as (select a.vec_id id, b.vec_id page_id, list_sum(list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))) / len(a.e) off from t a join t b on a.label = b.label and a.vec_id % 2 = 1 and b.vec_id % 2 = 0)
-        select id, page_id, floor(off * 1000 + 0.5)::bigint off_milli from p where off <= 20 qualify row_number() over (partition by id order by off, page_id) = 1""",
+    "known_page_nearest": """with t as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 100 + 128)) e, vec_id % 3 k3, vec_id % 5 k5, ([64, 8, 4, 2])[vec_id % 4 + 1] k from embeddings),
+        known as (select vec_id page_id, 1240 + k3 w, 1754 h, e from t union all select vec_id + 1000000, 1654, 2339, e from t where vec_id % 4 = 0),
+        uploads as (select vec_id id, case when k5 < 3 then 1240 + k3 when k5 = 3 then 2 * (1240 + k3) else 1000 end w, case when k5 = 3 then 3508 else 1754 end h, list_transform(e, lambda x, i: x + case when (i - 1) % k = vec_id % k then 1 else 0 end) e from t),
+        p as (select u.id, n.page_id, u.w = n.w and u.h = n.h same_size, list_sum(list_transform(list_zip(u.e, n.e), lambda z: abs(z[1] - z[2]))) / len(u.e) off from uploads u join known n on (u.w = n.w and u.h = n.h) or abs(u.w::double / u.h - n.w::double / n.h) <= 0.005::double)
+        select id, page_id, floor(off * 10000 + 0.5)::bigint off_e4, same_size from p where off <= case when same_size then 0.35 else 0.20 end qualify row_number() over (partition by id order by off, page_id) = 1""",
     "page_id_parse": f"""with {SPEC} select page_id, key, qid, case when sp <> '' then 'sat' when y <> '' then 'csat' end document_type, case when sp <> '' then 'sat-practice-test-' || t || '-math' when y <> '' then y || '_math_odd' end subject_key, case when sp <> '' then t || '_' || sz when y <> '' then cz end stored_page_key,
         case when sp <> '' then 'sat_' || t || '_' || sz || '_' || qid when y = '' then null when y = '2026' or q is null then y || '_math_odd_page_' || cz || '_' || qid when q <= 22 then y || '_odd_common_' || q
             when cz::int between 1 and 8 then y || '_odd_common_' || q when cz::int between 9 and 12 then y || '_odd_probability_' || q when cz::int between 13 and 16 then y || '_odd_calculus_' || q when cz::int between 17 and 20 then y || '_odd_geometry_' || q

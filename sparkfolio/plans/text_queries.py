@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import align
+from ..sources.shared import Stored
 from ..sources.tables import read, steps
 
 
@@ -104,14 +105,14 @@ LOW = 0.2
 
 
 def sql_components() -> str:
-    return f"""{sql_edges(1, LOW).replace("with ", "with recursive ", 1)}, ends as (select problem, s1 * 1000 + i a, s2 * 1000 + j b from edges), both_ as (select * from ends union select problem, b, a from ends),
+    return f"""{sql_edges(1, LOW).replace("with ", "with recursive ", 1)}, ends as (select problem, {{solver: s1, idx: i}} a, {{solver: s2, idx: j}} b from edges), both_ as (select * from ends union select problem, b, a from ends),
         reach(problem, a, b) as (select problem, a, a from both_ union select r.problem, r.a, e.b from reach r join both_ e on r.problem = e.problem and r.b = e.a),
         comp as (select problem, a node, min(b) component from reach group by all)"""
 
 
 def sql_members() -> str:
-    return f"""{sql_components()}, best as (select problem, node, max(score) best from (select problem, s1 * 1000 + i node, score from edges union all select problem, s2 * 1000 + j, score from edges) group by all),
-        one as (select c.problem, component, c.node // 1000 solver, c.node % 1000 idx, best, row_number() over (partition by c.problem, component, c.node // 1000 order by best desc, c.node % 1000) rk from best b join comp c on b.problem = c.problem and b.node = c.node),
+    return f"""{sql_components()}, best as (select problem, node, max(score) best from (select problem, {{solver: s1, idx: i}} node, score from edges union all select problem, {{solver: s2, idx: j}}, score from edges) group by all),
+        one as (select c.problem, component, c.node.solver solver, c.node.idx idx, best, row_number() over (partition by c.problem, component, c.node.solver order by best desc, c.node.idx) rk from best b join comp c on b.problem = c.problem and b.node = c.node),
         kept as (select problem, component, solver, idx, best, count(*) over (partition by problem, component) solvers from one where rk = 1), members as (select * from kept where solvers >= 2)"""
 
 
@@ -154,19 +155,26 @@ def mutual_topk_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _low(spark: SparkSession, d: str) -> DataFrame:
-    return align.edges(align.scores(steps(spark, d)), LOW).cache()
+    """Edges at the lower threshold, as a table: components read them twice."""
+    return Stored(align.edges(align.scores(steps(spark, d)), LOW), "edges").df
+
+
+def _flat(df: DataFrame, *names: str) -> DataFrame:
+    """Steps within a problem as two columns each."""
+    own = [c for n in names for c in (F.col(f"{n}.solver").alias(f"{n}_solver"), F.col(f"{n}.idx").alias(f"{n}_idx"))]
+    return df.select(*(c for c in df.columns if c not in names), *own)
 
 
 def alignment_components(spark: SparkSession, d: str) -> DataFrame:
-    return align.components(_low(spark, d))
+    return _flat(align.components(_low(spark, d)), "node", "component")
 
 
 def alignment_best_member(spark: SparkSession, d: str) -> DataFrame:
-    return align.members(_low(spark, d))
+    return _flat(align.members(_low(spark, d)), "component")
 
 
 def alignment_labels(spark: SparkSession, d: str) -> DataFrame:
-    return align.labels(_low(spark, d), steps(spark, d))
+    return _flat(align.labels(_low(spark, d), steps(spark, d)), "component")
 
 
 def step_pair_score_embedded(spark: SparkSession, d: str) -> DataFrame:
@@ -202,15 +210,15 @@ ORACLES = {
     "step_pair_score_embedded": f"{sql_scores(True)} select * from scores",
     "mutual_best_edges": f"{sql_edges(1)} select * from edges",
     "mutual_topk_edges": f"{sql_edges(align.TOP)} select * from edges",
-    "alignment_components": f"{sql_components()} select problem, node, component from comp",
-    "alignment_best_member": f"{sql_members()} select problem, component, solver, idx, best, solvers from members",
+    "alignment_components": f"{sql_components()} select problem, node.solver node_solver, node.idx node_idx, component.solver component_solver, component.idx component_idx from comp",
+    "alignment_best_member": f"{sql_members()} select problem, component.solver component_solver, component.idx component_idx, solver, idx, best, solvers from members",
     "alignment_labels": f"""{sql_members()}, words as (select m.problem, component, m.solver, m.idx, case when len({sql_tokens("title")}) > 0 then {sql_tokens("title")} else ({sql_tokens("body")})[1:6] end w
             from members m join steps s on m.problem = s.problem and m.solver = s.solver and m.idx = s.idx),
-        seen as (select problem, component, unnest(w) token, solver * 1000000 + idx * 1000 + generate_subscripts(w, 1) pos from words),
+        seen as (select problem, component, unnest(w) token, {{solver: solver, idx: idx, pos: generate_subscripts(w, 1)}} pos from words),
         freq as (select problem, component, token, count(*) n, min(pos) p from seen group by all),
         top as (select *, row_number() over (partition by problem, component order by n desc, p) rk from freq),
         named as (select m.problem, m.component, max(solvers) solvers, coalesce((select string_agg(token, ' ' order by rk) from top t where t.problem = m.problem and t.component = m.component and rk <= 2), 'Step-Layer') label from members m group by m.problem, m.component)
-        select problem, component, row_number() over (partition by problem order by solvers desc, label, component) group_no, label, solvers from named""",
+        select problem, component.solver component_solver, component.idx component_idx, row_number() over (partition by problem order by solvers desc, label, component) group_no, label, solvers from named""",
     "dense_cosine_pairs": """select a.vec_id v1, b.vec_id v2, floor(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))) * 10000 + 0.5)::bigint cosine_e4
         from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id - a.vec_id <= 10""",
 }

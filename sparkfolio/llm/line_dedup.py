@@ -56,8 +56,9 @@ def frequent(lines: DataFrame) -> list[int]:
     """First hashes of the keys that hold HOT_SHARE of all lines, and maybe of a few that hold little less."""
     most = int(1 / HOT_SHARE)
     parts = lines.groupBy((F.spark_partition_id() % SKETCHES).alias("part")).agg(F.expr(f"approx_top_k_accumulate(h1, {TRACKED})").alias("sketch"), F.count(F.lit(1)).alias("n"))
-    row = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {most})").alias("top"), F.sum("n").alias("n")).head()
-    return [x["item"] for x in row["top"] or () if x["count"] >= row["n"] * HOT_SHARE]
+    # Grouped by a constant: a task without sketches then makes no group, where it would fail on an empty state.
+    merged = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {most})").alias("top"), F.sum("n").alias("n"))
+    return [x["item"] for row in merged.collect() for x in row["top"] if x["count"] >= row["n"] * HOT_SHARE]
 
 
 def dropped_lines(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import replies as R
 from ..operators import solve as S
 from ..sources.shared import shared_dir
 from ..sources.tables import read, steps
@@ -69,16 +70,28 @@ def json_repair(spark: SparkSession, d: str) -> DataFrame:
     n, q = F.col("event_id"), F.col("event_id").cast("string")
     whole = F.concat(F.lit('{"steps": [{"step_idx": 1, "title": "t'), q, F.lit('", "content": "a \\\\frac b"}], "final_answer": "'), q, F.lit('", "confidence": "high"}'))
     hurt = F.when(n % 5 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(n % 5 == 2, F.regexp_replace(whole, r"\}\]", "},]")).when(n % 5 == 3, F.concat(F.lit("Here: "), whole, F.lit(" done"))).when(n % 5 == 4, F.expr("substring(w, 1, length(w) - 24)")).otherwise(whole)
-    rows = read(spark, d, "events").withColumn("w", whole).select("event_id", S.repair_json(hurt).alias("r"))
+    rows = R.parsed(read(spark, d, "events").withColumn("w", whole).select("event_id", hurt.alias("reply")), "reply", "r")
     return rows.select("event_id", F.size("r.steps").cast("long").alias("n_steps"), F.col("r.final_answer").alias("final_answer"), F.col("r.confidence").alias("confidence"))
 
 
 def json_valid(spark: SparkSession, d: str) -> DataFrame:
-    text = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("title"), F.col("props").alias("content")), F.struct(F.lit(None).cast("string").alias("title"), F.lit("x").alias("content"))).alias("steps"), F.col("event_id").cast("string").alias("final_answer")))
-    rows = read(spark, d, "events").select("event_id", S.structured_steps(F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("no "), text)).otherwise(text)).alias("s"))
+    """Solutions that are JSON as a whole, or not; answers are those of problems with options."""
+    text = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("title"), F.col("props").alias("content")), F.struct(F.lit(None).cast("string").alias("title"), F.lit("x").alias("content"))).alias("steps"), F.when(F.col("event_id") % 7 > 0, F.col("event_id").cast("string")).alias("final_answer")))
+    rows = read(spark, d, "events").select("event_id", R.solution(F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("no "), text)).otherwise(text), F.col("event_id") % 2 == 0, F.lit(OPTIONS)).alias("s"))
     return rows.select("event_id", F.size("s.steps").cast("long").alias("n_steps"), F.array_join(F.transform("s.steps", lambda x: x["title"]), "|").alias("titles"), F.col("s.final_answer").alias("final_answer"))
 
 
+def message_items(spark: SparkSession, d: str) -> DataFrame:
+    """Messages whose items are texts, embedded images, numbers and what no rule knows, for either kind of call."""
+    turn = F.col("turn").cast("string")
+    items = F.concat(F.lit('[{"type": "image", "source": {"type": "base64", "data": "'), turn, F.lit('"}}, '), turn, F.lit(', {"type": "odd", "deep": ['), turn, F.lit(', {"a": null}]}, {"type": "text", "text": "'), turn, F.lit('"}]'))
+    message = F.concat(F.lit('[{"role": "'), F.col("role"), F.lit('", "content": '), items, F.lit('}, {"content": '), turn, F.lit("}]"))
+    v = F.try_parse_json(message)
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "role", R.chat_messages(v).alias("c"), R.response_messages(F.lit("solve"), v).alias("r"))
+    said = F.array_join(F.flatten(F.transform("r", lambda m: F.transform(m["content"], lambda x: F.concat_ws("=", m["role"], x["type"], F.coalesce(x["text"], x["image_url"]))))), "|")
+    return rows.select("conv_id", "turn", "role", F.to_json(F.col("c")[0]["content"]).alias("chat"), F.concat_ws(" ", F.col("c")[1]["role"], F.to_json(F.col("c")[1]["content"])).alias("chat_next"), said.alias("responses"))
+
+
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     """One page of tagged blocks for each order, from its lines."""
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
@@ -182,7 +195,7 @@ def stream_solver_states(spark: SparkSession, d: str) -> DataFrame:
     return solver_state.run(stream, shared_dir(spark), IDLE_DAYS * 86_400_000, f"{DELAY_DAYS} days", problems)
 
 
-QUERIES = {f.__name__: f for f in (chunk_reassemble, solutions_prompt, request_routing, text_clean, fifth_option, answer_normalize, json_repair, json_valid, tag_parse, raw_by_quadrant, tags_stripped, fnv_jitter, stream_state_fold, stream_state_fold_live, stream_barrier, stream_chain, stream_stops, stream_solver_states)}
+QUERIES = {f.__name__: f for f in (chunk_reassemble, solutions_prompt, request_routing, text_clean, fifth_option, answer_normalize, json_repair, json_valid, message_items, tag_parse, raw_by_quadrant, tags_stripped, fnv_jitter, stream_state_fold, stream_state_fold_live, stream_barrier, stream_chain, stream_stops, stream_solver_states)}
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 ROWS = """r as (select l_orderkey page, l_linenumber::bigint * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 o, case when l_suppkey % 5 = 0 then 'image' else 'text' end kind,
@@ -206,7 +219,10 @@ ORACLES = {
     "answer_normalize": f"""with k as (select doc_id, doc_id % {len(ANSWER_CASES)} n from documents), c(n, answer, opt, bare, plain) as (values {", ".join(f"({i}, {q(a)}, {q(o)}, {q(b)}, {q(p)})" for i, ((a, o, b), p) in enumerate(zip(ANSWER_CASES, ["B", "(c)", "option d", "2", "answer 3", "\\frac{1}{2}", "12", "x + 1.", "99", "", "5", "a)"])))})
         select doc_id, answer, case when doc_id % 5 = 0 then plain when doc_id % 2 = 0 then opt else bare end as final from k join c using (n)""",
     "json_repair": """select event_id, 1::bigint n_steps, case when event_id % 5 = 4 then '' else event_id::varchar end final_answer, case when event_id % 5 = 4 then 'low' else 'high' end confidence from events""",
-    "json_valid": "select event_id, case when event_id % 9 = 0 then 0 else 2 end::bigint n_steps, case when event_id % 9 = 0 then '' else event_type || '|' end titles, case when event_id % 9 = 0 then '' else event_id::varchar end final_answer from events",
+    "json_valid": """select event_id, case when event_id % 9 = 0 then 0 else 2 end::bigint n_steps, case when event_id % 9 = 0 then '' else event_type || '|' end titles,
+        case when event_id % 9 = 0 or event_id % 7 = 0 then '' when event_id % 2 = 1 then event_id::varchar when event_id in (2, 4) then chr(64 + event_id::int) when event_id = 12 then 'A' else event_id::varchar end final_answer from events""",
+    "message_items": """select conv_id, turn, role, '[{"image_url":{"url":"data:image/png;base64,' || turn || '"},"type":"image_url"},' || turn || ',{"deep":[' || turn || ',{"a":null}],"type":"odd"},"' || turn || '"]' chat, 'user ' || turn chat_next,
+        'system=input_text=solve|' || role || '=input_image=data:image/png;base64,' || turn || '|' || role || '=input_text=' || turn || '|' || role || '=input_text={"deep":[' || turn || ',{"a":null}],"type":"odd"}|' || role || '=input_text=' || turn || '|user=input_text=' || turn responses from conversations""",
     "tag_parse": f"""with {ROWS}, n as (select page, count(*) n from r group by page) select page, row_number() over (partition by page order by o) - 1 ord, 0::bigint piece, kind, x1, y1, x1 + 40 x2, y1 + 30 y2, txt from r
         union all select page, n, i, 'equation', 11 + 4 * i, 12 + 4 * i, 13 + 4 * i, 14 + 4 * i, 'x = 1' from n, (select unnest([0, 1]) i)
         union all select page, n + 1, i, 'text', case i when 0 then 1 else 5 end, case i when 0 then 2 else 6 end, case i when 0 then 3 else 7 end, case i when 0 then 4 else 8 end, (['above', '7', 'below <|ref |>'])[i + 1] from n, (select unnest([0, 1, 2]) i)""",

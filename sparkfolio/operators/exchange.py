@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import models, solve
+from . import models, network, solve
 
 # Logos by the beginning of a model's id, and the one for all others; titles of clusters.
 LOGOS = (("openai/", "openai.png"), ("anthropic/", "claude.png"), ("google/", "gemini.jpeg"), ("x-ai/", "grok.png"))
@@ -99,27 +99,40 @@ def title_tokens(text: Column) -> Column:
     return T.tokens(text, T.TITLE_STOPWORDS)
 
 
-def clusters(steps: DataFrame, members: DataFrame) -> DataFrame:
-    """steps (problem, solver, idx, title, body), members (problem, component, solver, idx) -> (problem, place, shared,
-    title, solvers, mean_idx_milli, mean_solver_milli): shared clusters and, of all other steps, one each, in order of their
-    mean places.
+def clusters(steps: DataFrame, members: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """steps (problem, solver, idx, title, body), members (problem, component, solver, idx) -> (problem, key, place, shared, title,
+    solvers, models, members, mean_idx, mean_solver): components, and of all other steps one cluster each, in order of their
+    mean steps, then their mean solvers (each solver once), then their first members.
 
-    A shared cluster's title is the one that all its steps have, or its three most frequent tokens (first seen first).
+    A component is shared if two solvers at least have steps of it. Its title is the template (place, title, keywords) that its
+    texts match, if it is shared and `templates` are given; else the one that all its steps have, or its three most frequent tokens
+    (first seen first).
     """
-    step = ["problem", "solver", "idx"]
+    step, group = ["problem", "solver", "idx"], ["problem", "component"]
     title = T.trim_ws(F.coalesce("title", F.lit("")))
     own = steps.join(members.select(*step, "component"), step, "left").withColumn("t", title)
-    shared, solo = own.where("component is not null"), own.where("component is null")
-    group = ["problem", "component"]
-    milli = lambda c: F.floor(F.avg(c) * 1000 + 0.5).cast("long")
-    heads = shared.groupBy(*group).agg(F.array_sort(F.collect_set(F.nullif("t", F.lit("")))).alias("titles"), F.min(F.when(F.col("t") != "", F.struct("solver", "idx", "t")))["t"].alias("first"), F.countDistinct("solver").alias("solvers"), milli("idx").alias("mean_idx_milli"), milli("solver").alias("mean_solver_milli"))
-    said = shared.select(*group, "solver", "idx", F.posexplode(title_tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))).alias("pos", "token"))
+    grouped, solo = own.where("component is not null"), own.where("component is null")
+    line = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
+    heads = grouped.groupBy(*group).agg(
+        F.array_sort(F.collect_set(F.nullif("t", F.lit("")))).alias("titles"), F.min(F.when(F.col("t") != "", F.struct("solver", "idx", "t")))["t"].alias("first"),
+        F.array_sort(F.collect_set("solver")).alias("models"), F.array_sort(F.collect_list(F.struct("solver", "idx"))).alias("members"), F.avg("idx").alias("mean_idx"),
+    )
+    heads = heads.withColumns({"solvers": F.size("models").cast("long"), "shared": F.size("models") >= 2, "mean_solver": F.aggregate("models", F.lit(0.0), lambda a, x: a + x) / F.size("models")})
+    said = grouped.select(*group, "solver", "idx", F.posexplode(title_tokens(line)).alias("pos", "token"))
     freq = said.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("solver", "idx", "pos")).alias("seen"))
     top = freq.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "seen"))).where("rank <= 3")
     top = top.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), " · ").alias("tokens"))
     named = F.when(F.size("titles") == 1, F.col("titles")[0]).when(F.col("tokens").isNotNull(), F.concat(F.lit(SHARED_TITLE), "tokens")).otherwise(F.coalesce("first", F.lit(UNTITLED)))
-    cols = ["problem", "shared", "title", "solvers", "mean_idx_milli", "mean_solver_milli"]
-    one = heads.join(top, group, "left").withColumns({"title": named, "shared": F.lit(True)}).select(*cols)
-    other = solo.select("problem", F.lit(False).alias("shared"), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Step "), (F.col("idx") + 1).cast("string"))).alias("title"), F.lit(1).cast("long").alias("solvers"), (F.col("idx") * 1000).cast("long").alias("mean_idx_milli"), (F.col("solver") * 1000).cast("long").alias("mean_solver_milli"))
-    order = Window.partitionBy("problem").orderBy("mean_idx_milli", "mean_solver_milli", F.desc("shared"), "title")
-    return one.unionByName(other).withColumn("place", F.row_number().over(order).cast("long"))
+    found = heads.join(top, group, "left").withColumn("title", named)
+    if templates is not None:
+        texts = grouped.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("solver", "idx", line.alias("line")))), lambda x: x["line"]), " ").alias("body"))
+        hits = network.template_match(texts.select(F.struct(*group).alias("id"), "body"), templates).select("id.problem", "id.component", F.col("title").alias("template"))
+        found = found.join(hits, group, "left").withColumn("title", F.when(F.col("shared"), F.coalesce("template", "title")).otherwise(F.col("title")))
+    cols = ["problem", "key", "shared", "title", "solvers", "models", "members", "mean_idx", "mean_solver", "is_solo"]
+    one = found.withColumns({"key": F.concat(F.lit("shared:"), F.col("component").cast("string")), "is_solo": F.lit(False)}).select(*cols)
+    other = solo.select(
+        "problem", F.concat_ws(":", F.lit("solo"), F.col("solver").cast("string"), F.col("idx").cast("string")).alias("key"), F.lit(False).alias("shared"), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Step "), (F.col("idx") + 1).cast("string"))).alias("title"),
+        F.lit(1).cast("long").alias("solvers"), F.array("solver").alias("models"), F.array(F.struct("solver", "idx")).alias("members"), F.col("idx").cast("double").alias("mean_idx"), F.col("solver").cast("double").alias("mean_solver"), F.lit(True).alias("is_solo"),
+    )
+    order = Window.partitionBy("problem").orderBy("mean_idx", "mean_solver", "is_solo", "members")
+    return one.unionByName(other).withColumn("place", F.row_number().over(order).cast("long")).drop("is_solo")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import app as A
 from ..operators import detections as D
+from ..operators import drawing as W
 from ..operators import exchange as X
 from ..operators import layout as L
 from ..sources.tables import HEIGHT, WIDTH, read, steps
@@ -163,19 +164,90 @@ def checked_ids(spark: SparkSession, d: str) -> DataFrame:
     return X.checked(li, read(spark, d, "orders").select(F.col("o_orderkey").alias("problem"), (F.col("o_custkey") % 20).alias("id")))
 
 
+#: Titles of shared clusters by the words of their texts.
+CLUSTER_TEMPLATES = [(1, "first template", ["the", "qu"]), (2, "second template", ["sch", "und", "der"])]
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Steps and the clusters' members: steps of one even place, and places of the third kind, of which one solver's come in twos."""
+    own = steps(spark, d).withColumn("title", F.when(F.col("idx") % 4 == 0, "").otherwise(F.col("title")))
+    alone = own.where("idx % 2 = 1 and solver = 1").select("problem", F.lit("own").alias("component"), "solver", "idx")
+    return own, own.where("idx % 2 = 0").select("problem", s(F.col("idx")).alias("component"), "solver", "idx").unionByName(alone)
+
+
 def step_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Steps of even places that several solvers have are shared, all others stand alone."""
-    own = steps(spark, d).withColumns({"title": F.when(F.col("idx") % 4 == 0, "").otherwise(F.col("title")), "body": F.substring_index("body", " ", 12)})
-    both = own.where("idx % 2 = 0").groupBy("problem", "idx").agg(F.countDistinct("solver").alias("n")).where("n >= 2").select("problem", "idx")
-    members = own.join(both, ["problem", "idx"]).select("problem", F.col("idx").alias("component"), "solver", "idx")
-    return X.clusters(own, members).select("problem", "place", "shared", md5(F.col("title")).alias("title_md5"), "solvers", "mean_idx_milli", "mean_solver_milli")
+    """Clusters over whole texts: shared ones, one solver's, and steps that stand alone; some titles by template."""
+    own, members = _clustered(spark, d)
+    found = X.clusters(own, members, spark.createDataFrame(CLUSTER_TEMPLATES, "place int, title string, keywords array<string>"))
+    listed = F.array_join(F.transform("members", lambda m: F.concat_ws("/", s(m["solver"]), s(m["idx"]))), ",")
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
+    return found.select("problem", "key", "place", "shared", md5(F.col("title")).alias("title_md5"), "solvers", listed.alias("members"), milli("mean_idx").alias("mean_idx_milli"), milli("mean_solver").alias("mean_solver_milli"))
+
+
+def _flow(spark: SparkSession, d: str, depth: int) -> tuple[DataFrame, DataFrame]:
+    own, members = _clustered(spark, d)
+    answer = F.when(F.col("solver") == 3, "").when(F.col("solver") % 2 == 0, F.concat(F.lit(" X "), s(F.col("problem") % 3))).otherwise(s(F.col("solver")))
+    results = own.select("problem", "solver").distinct().select("problem", "solver", F.concat(F.lit("m"), s(F.col("solver"))).alias("model"), answer.alias("answer"))
+    return W.drawn(results, X.clusters(own, members), depth)
+
+
+def flow_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the drawings at depths 2 and 3."""
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
+    rows = [_flow(spark, d, k)[0].withColumn("depth", F.lit(k)) for k in (2, 3)]
+    return rows[0].unionByName(rows[1]).select("problem", "depth", "node", "kind", milli("x").alias("x_milli"), milli("y").alias("y_milli"), "width", "height", "shared")
+
+
+def flow_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = [_flow(spark, d, k)[1].withColumn("depth", F.lit(k)) for k in (1, 2, 3)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-QUERIES = {f.__name__: f for f in (first_existing_path, page_images, selected_sources, sliced_pages, page_detections, chosen_texts, question_crops, problem_contexts, legacy_page_keys, contour_boxes, message_parts, reply_texts, braced_replies, result_texts, model_logos, missing_keys, converted_texts, selected_pages, checked_ids, step_clusters)}
+QUERIES = {f.__name__: f for f in (first_existing_path, page_images, selected_sources, sliced_pages, page_detections, chosen_texts, question_crops, problem_contexts, legacy_page_keys, contour_boxes, message_parts, reply_texts, braced_replies, result_texts, model_logos, missing_keys, converted_texts, selected_pages, checked_ids, step_clusters, flow_nodes, flow_edges)}
 
 BOX = """case when doc_id % 11 in (0, 1) then [0, 0, 0, 0] when doc_id % 11 = 2 then [7, 8, 107, 208] else [doc_id * 31 % 2000, doc_id * 17 % 3000, doc_id * 31 % 2000 + 90, doc_id * 17 % 3000 + 60] end"""
 STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOPWORDS)
 TOKENS = rf"""list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(said), '\\[a-zA-Z]+', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '' and w not in ({STOP}))"""
+#: CTEs up to clustered (problem, key, place, shared, title, solvers, members, owner, mean_idx, mean_solver).
+CLUSTERED = rf"""r as (select conv_id // 5 problem, conv_id % 5 solver, turn idx, case when turn % 4 = 0 then '' else split_part(text, '.', 1) end title, text body from conversations),
+        o as (select *, regexp_replace(coalesce(title, ''), '^\s+|\s+$', '', 'g') t, case when idx % 2 = 0 then idx::varchar when solver = 1 then 'own' end component, concat_ws(' ', coalesce(title, ''), coalesce(body, '')) said from r),
+        h as (select problem, component, list_distinct(list(t) filter (t <> '')) titles, arg_min(t, (solver, idx, t)) filter (t <> '') first, count(distinct solver) solvers, sum(distinct solver) / count(distinct solver) mean_solver, avg(idx) mean_idx,
+            string_agg(solver || '/' || idx, ',' order by solver, idx) members, min(solver) owner, regexp_replace(lower(string_agg(said, ' ' order by solver, idx)), '\s+|\\', '', 'g') n, list((solver, idx) order by solver, idx) ms from o where component is not null group by all),
+        w as (select problem, component, solver, idx, {TOKENS} ws from o where component is not null), x as (select problem, component, solver, idx, unnest(ws) token, generate_subscripts(ws, 1) pos from w),
+        f as (select problem, component, token, count(*) n, min((solver, idx, pos)) seen from x group by all), k as (select *, row_number() over (partition by problem, component order by n desc, seen) rk from f), tt as (select problem, component, string_agg(token, ' · ' order by rk) tokens from k where rk <= 3 group by all),
+        hits as (select *, contains(n, 'the')::int + contains(n, 'qu')::int a, contains(n, 'sch')::int + contains(n, 'und')::int + contains(n, 'der')::int b from h),
+        u as (select h.problem, 'shared:' || h.component as key, solvers >= 2 shared, case when solvers >= 2 and greatest(a, b) >= 2 then case when a >= b then 'first template' else 'second template' end when len(titles) = 1 then titles[1] when tokens is not null then '{X.SHARED_TITLE}' || tokens else coalesce(first, '{X.UNTITLED}') end title,
+                solvers, members, owner, mean_idx, mean_solver, 0 lone, ms from hits h left join tt on h.problem = tt.problem and h.component = tt.component
+            union all select problem, 'solo:' || solver || ':' || idx, false, coalesce(nullif(title, ''), 'Step ' || (idx + 1)), 1, solver || '/' || idx, solver, idx, solver, 1, [(solver, idx)] from o where component is null),
+        clustered as (select *, row_number() over (partition by problem order by mean_idx, mean_solver, lone, ms) place from u)"""
+
+
+def sql_jitter(seed: str, amount: int) -> str:
+    code = f"list_reduce(list_transform(string_split({seed}, ''), lambda c: ascii(c)::bigint), lambda h, c: (xor(h, c) * 16777619) % 4294967296, 2166136261::bigint)"
+    return f"((({code} % 10000) / 10000.0::double - 0.5) * {amount}.0::double)"
+
+
+def sql_placed(depth: int) -> str:
+    v = W.LEVELS[depth]
+    x = f"case when shared then centre + ({list(v.slots)})[row_ % {len(v.slots)} + 1] + row_ // {len(v.slots)} * {v.band_x} + {sql_jitter(f"'{v.seed}-shared-x-' || key", v.jitter_shared)} else centre + case when no <= mid then -1 else 1 end * ({v.solo} + abs(no - mid) * {v.solo_step}) + {sql_jitter(f"'{v.seed}-solo-x-' || key", v.jitter_solo)} end"
+    y = f"{v.top} + stage * {v.gap} + {sql_jitter(f"'{v.seed}-y-' || key", v.jitter_y)} + case when shared then row_ // {len(v.slots)} * {v.band_y} else {'solo_stage_row' if v.by_stage else 'solo_row'} * {v.row} end"
+    return f"select problem, {depth} depth, key, shared, {x} x, {y} y from ranked"
+
+
+#: CTEs up to nodes, groups and each_ (a row a depth, model and step), after CLUSTERED.
+FLOW = rf"""results as (select distinct problem, solver, 'm' || solver model, case when solver = 3 then '' when solver % 2 = 0 then ' X ' || (problem % 3) else solver::varchar end answer from o),
+        models as (select *, greatest(980, 68 + n * 176 + (n - 1) * 16) flow, greatest(980, 68 + n * 176 + (n - 1) * 16) / 2 centre, (n - 1) / 2 mid from (select *, row_number() over (partition by problem order by solver) - 1 as no, count(*) over (partition by problem) n from results)),
+        ranked as (select c.*, m.no, m.mid, m.centre, row_number() over (partition by c.problem, shared, stage order by place) - 1 row_, row_number() over (partition by c.problem, shared, owner order by place) - 1 solo_row, row_number() over (partition by c.problem, shared, owner, stage order by place) - 1 solo_stage_row
+            from (select *, floor(mean_idx + 0.5) stage from clustered) c join models m on c.problem = m.problem and c.owner = m.solver),
+        stood as ({sql_placed(2)} union all {sql_placed(3)}),
+        each_ as (select p.problem, p.depth, p.key, p.shared, p.x, p.y, len(c.ms) n, unnest(c.ms)[2] idx, 'm' || unnest(c.ms)[1] model, generate_subscripts(c.ms, 1) - 1 pos from stood p join clustered c on p.problem = c.problem and p.key = c.key),
+        given as (select *, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(answer), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}.\-+/]', '', 'g')), ''), '(empty)') as key from models),
+        groups as (select *, row_number() over (partition by problem order by first) - 1 i, count(*) over (partition by problem) g from (select problem, key, min(no) first, any_value(flow) flow from given group by all)),
+        nodes as (select problem, depth, 'problem' node, 'problem' kind, (flow - 320) / 2 x, 36.0::double y, 320 width, 96 height, false shared from models, (select unnest([2, 3]) depth) where no = 0
+            union all select problem, depth, 'model-' || model, 'model', 34 + no * 192, 186, 176, 104, false from models, (select unnest([2, 3]) depth)
+            union all select problem, depth, 'strategy-' || model, 'strategy', 34 + no * 192 + {sql_jitter("'strategy-' || model", 28)}, 330 + {sql_jitter("'strategy-y-' || model", 18)}, 176, 84, false from models, (select unnest([2, 3]) depth)
+            union all select problem, 2, 'cluster-title-' || replace(key, ':', '-'), 'step', x, y, 236, 82, shared from stood where depth = 2
+            union all select problem, 3, 'step-' || model || '-' || idx, 'step', x + (pos % ceil(sqrt(n)) - (ceil(sqrt(n)) - 1) / 2) * case when shared then 42 else 16 end, y + (floor(pos / ceil(sqrt(n))) - (ceil(n / ceil(sqrt(n))) - 1) / 2) * case when shared then 30 else 18 end, 236, 118, shared from each_ where depth = 3)"""
 ORACLES = {
     "first_existing_path": "select l_orderkey id, arg_min('p' || l_partkey, l_linenumber::bigint * 1000000000 + l_partkey) filter (l_partkey % 3 = 0 and l_partkey in (select p_partkey from part)) path from lineitem group by 1",
     "page_images": "select 'img_' || page_id id, '/d/img_' || page_id || '.png' path from pages where page_id % 5 > 0 and page_id % 4 > 0",
@@ -213,12 +285,12 @@ ORACLES = {
         r as (select w.id, w.grp, case when exists (select 1 from p where p.grp = w.grp and p.year = w.year) then w.year else y.first_year end as year, w.page from w join y using (grp))
         select r.id, r.grp, r.year, case when exists (select 1 from p where p.grp = r.grp and p.year = r.year and p.page = r.page) then r.page else (select arg_min(p.page, p.page::int) from p where p.grp = r.grp and p.year = r.year) end page from r""",
     "checked_ids": "select distinct l_orderkey problem, l_partkey % 20 id from lineitem join orders on l_orderkey = o_orderkey and l_partkey % 20 = o_custkey % 20",
-    "step_clusters": rf"""with r as (select conv_id // 5 problem, conv_id % 5 solver, turn idx, case when turn % 4 = 0 then '' else split_part(text, '.', 1) end title, array_to_string((string_split(text, ' '))[1:12], ' ') body from conversations),
-        g as (select problem, idx from r where idx % 2 = 0 group by all having count(distinct solver) >= 2), o as (select r.*, regexp_replace(title, '^\s+|\s+$', '', 'g') t, g.idx is not null shared from r left join g on r.problem = g.problem and r.idx = g.idx),
-        h as (select problem, idx, list_distinct(list(t) filter (t <> '')) titles, arg_min(t, (solver, idx, t)) filter (t <> '') first, count(distinct solver) solvers, floor(avg(idx) * 1000 + 0.5)::bigint mean_idx_milli, floor(avg(solver) * 1000 + 0.5)::bigint mean_solver_milli from o where shared group by all),
-        w as (select problem, idx, solver, {TOKENS} ws from (select *, title || ' ' || body said from o where shared)), x as (select problem, idx, solver, unnest(ws) token, generate_subscripts(ws, 1) pos from w),
-        f as (select problem, idx, token, count(*) n, min((solver, pos)) seen from x group by all), k as (select *, row_number() over (partition by problem, idx order by n desc, seen) rk from f), tt as (select problem, idx, string_agg(token, ' · ' order by rk) tokens from k where rk <= 3 group by all),
-        u as (select h.problem, true shared, case when len(titles) = 1 then titles[1] when tokens is not null then '{X.SHARED_TITLE}' || tokens else coalesce(first, '{X.UNTITLED}') end title, solvers, mean_idx_milli, mean_solver_milli from h left join tt on h.problem = tt.problem and h.idx = tt.idx
-            union all select problem, false, coalesce(nullif(title, ''), 'Step ' || (idx + 1)), 1, idx * 1000, solver * 1000 from o where not shared)
-        select problem, row_number() over (partition by problem order by mean_idx_milli, mean_solver_milli, shared desc, title) place, shared, md5(title) title_md5, solvers, mean_idx_milli, mean_solver_milli from u""",
+    "step_clusters": f"""with {CLUSTERED} select problem, key, place, shared, md5(title) title_md5, solvers, members, floor(mean_idx * 1000 + 0.5)::bigint mean_idx_milli, floor(mean_solver * 1000 + 0.5)::bigint mean_solver_milli from clustered""",
+    "flow_nodes": f"""with {CLUSTERED}, {FLOW}, low as (select problem, depth, max(y + height) low from nodes group by all),
+        every as (select * from nodes union all select g.problem, l.depth, 'answer-' || g.key, 'answer', greatest(24, (g.flow - g.g * 246 - (g.g - 1) * 24) / 2) + g.i * 270, l.low + 170, 246, 118, false from groups g join low l using (problem))
+        select problem, depth, node, kind, floor(x * 1000 + 0.5)::bigint x_milli, floor(y * 1000 + 0.5)::bigint y_milli, width, height, shared from every""",
+    "flow_edges": f"""with {CLUSTERED}, {FLOW}, way as (select problem, depth, model, -9 as at_, 'problem' node from models, (select unnest([1, 2, 3]) depth) union all select problem, depth, model, -8, 'model-' || model from models, (select unnest([1, 2, 3]) depth)
+            union all select problem, depth, model, -7, 'strategy-' || model from models, (select unnest([2, 3]) depth) union all select problem, depth, model, idx, case when depth = 2 then 'cluster-title-' || replace(key, ':', '-') else 'step-' || model || '-' || idx end from each_
+            union all select problem, depth, model, 1099511627776, 'answer-' || key from given, (select unnest([1, 2, 3]) depth)),
+        e as (select problem, depth, model, lag(node) over w from_node, node to_node, row_number() over w - 2 as "at" from way window w as (partition by problem, depth, model order by at_, node)) select * from e where "at" >= 0""",
 }

@@ -145,7 +145,7 @@ def members(found: DataFrame) -> DataFrame:
 
 def labels(found: DataFrame, steps: DataFrame) -> DataFrame:
     """(problem, component, group_no, label, solvers): the two most frequent title tokens (first seen wins a tie);
-    groups are numbered by size, then label, then component.
+    groups are numbered by size, then label (without case and accents first), then component.
     """
     own = members(found)
     titled = own.join(steps, ["problem", "solver", "idx"])
@@ -157,5 +157,5 @@ def labels(found: DataFrame, steps: DataFrame) -> DataFrame:
     top = freq.withColumn("rank", rank).where("rank <= 2").groupBy("problem", "component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), " ").alias("label"))
     sizes = own.groupBy("problem", "component").agg(F.max("solvers").alias("solvers"))
     named = sizes.join(top, ["problem", "component"], "left").withColumn("label", F.coalesce("label", F.lit("Step-Layer")))
-    number = F.row_number().over(Window.partitionBy("problem").orderBy(F.desc("solvers"), "label", "component"))
+    number = F.row_number().over(Window.partitionBy("problem").orderBy(F.desc("solvers"), F.collate("label", "UNICODE_CI_AI"), "label", "component"))
     return named.select("problem", "component", number.cast("long").alias("group_no"), "label", "solvers")

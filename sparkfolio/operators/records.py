@@ -112,3 +112,11 @@ def natural_key(text: Column) -> list[Column]:
     """Sort keys: the letters before a number, the number, the rest."""
     rule = r"^(\D*)(\d*)(.*)$"
     return [F.regexp_extract(text, rule, 1), F.regexp_extract(text, rule, 2).try_cast("long"), F.regexp_extract(text, rule, 3)]
+
+
+def collated_key(text: Column) -> Column:
+    """A sort key that reads runs of digits as numbers wherever they stand and letters without case and accents, as
+    people order titles; digits come before letters. Texts that differ in case or accents only have equal keys.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.transform(runs, lambda r: F.struct(F.when(r.rlike(r"^\d"), 0).otherwise(1).alias("kind"), r.try_cast("decimal(38,0)").alias("number"), F.collate(r, "UNICODE_CI_AI").alias("letters")))

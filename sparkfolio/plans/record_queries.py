@@ -167,6 +167,21 @@ def natural_order(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("place", F.row_number().over(Window.partitionBy(F.col("p_partkey") % 10).orderBy(*R.natural_key(F.col("name")), "p_partkey")).cast("long")).select("p_partkey", "name", "place")
 
 
+#: Words that differ in case, accents and place in the alphabet.
+WORDS = ("Étape ", "etape ", "Zebra", "alpha-", "Über", "uber", "Ébauche ", "10 ", "9 ")
+
+
+def collated_order(spark: SparkSession, d: str) -> DataFrame:
+    """Parts in the order of made titles, within ten groups: words of either case, with and without accents, and numbers at both ends."""
+    from pyspark.sql import Window
+
+    n, s = F.col("p_partkey"), lambda c: c.cast("string")
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (n % len(WORDS) + 1).cast("int"))
+    rows = read(spark, d, "part").select("p_partkey", F.concat(word, s(n * 7919 % 103)).alias("title"))
+    place = F.row_number().over(Window.partitionBy(n % 10).orderBy(R.collated_key(F.col("title")), "p_partkey"))
+    return rows.select("p_partkey", "title", place.cast("long").alias("place"))
+
+
 def classify_rules(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
     text = F.when(n % 17 == 0, F.concat(F.lit("수학 영역 "), F.col("text"))).when(n % 17 == 1, F.concat(F.lit("한글 머리글입니다 가나다라 "), F.col("text"))).when(n % 17 == 2, F.concat(F.lit("module 1 "), F.col("text"))).otherwise(F.col("text"))
@@ -185,7 +200,7 @@ def document_types(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", R.document_type(given, pid).alias("document_type"))
 
 
-QUERIES = {f.__name__: f for f in (step_flows, step_layers, group_refs, group_transitions, group_row_offsets, answer_vote, answer_agreement, answer_color_rank, latency_badges, problem_status, template_match, dedup_longest_text, dedup_hash_largest, gt_left_join_pivot, known_page_match, known_page_nearest, page_id_parse, source_priority, stored_text_by_position, crop_geometry, natural_order, classify_rules, class_counts, document_types)}
+QUERIES = {f.__name__: f for f in (step_flows, step_layers, group_refs, group_transitions, group_row_offsets, answer_vote, answer_agreement, answer_color_rank, latency_badges, problem_status, template_match, dedup_longest_text, dedup_hash_largest, gt_left_join_pivot, known_page_match, known_page_nearest, page_id_parse, source_priority, stored_text_by_position, crop_geometry, natural_order, collated_order, classify_rules, class_counts, document_types)}
 
 CELLS = "cells as (select user_id model, event_type grp, count(*) n from events group by all)"
 NORM_ANSWER = r"trim(regexp_replace(regexp_replace(lower(answer), '\s+', ' ', 'g'), '[^\p{L}\p{N}.\-+/]', '', 'g'))"
@@ -245,6 +260,8 @@ ORACLES = {
         c as (select *, greatest(0, least(px, 2479)) x, greatest(0, least(py, 3507)) y from p)
         select l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, greatest(1, least(pw, 2480 - x)) w, greatest(1, least(ph, 3508 - y)) h from c""",
     "natural_order": "with p as (select p_partkey, 'p' || (p_partkey * 7919 % 100003) as name from part) select p_partkey, name, row_number() over (partition by p_partkey % 10 order by substr(name, 2)::bigint, p_partkey) place from p",
+    "collated_order": f"""with t as (select p_partkey, ({list(WORDS)})[p_partkey % {len(WORDS)} + 1] w, p_partkey * 7919 % 103 n from part), k as (select *, case when w[1] between '0' and '9' then w[:-2]::int end first from t)
+        select p_partkey, w || n title, row_number() over (partition by p_partkey % 10 order by coalesce(first, 1000000), lower(strip_accents(w)), n, p_partkey) place from k""",
     "classify_rules": f"""with {LABEL} select doc_id, label, floor(conf * 1000 + 0.5)::bigint confidence_milli, case when conf >= 0.6 then label when doc_id % 2 = 0 then 'sat' else 'csat' end hybrid,
         case when doc_id % 10 / 10 >= 0.8 then case when doc_id % 2 = 0 then 'sat' else 'csat' end else label end model_first from l""",
     "class_counts": f"with {LABEL} select label, count(*) pages from l group by label",

@@ -218,7 +218,7 @@ ORACLES = {
         freq as (select problem, component, token, count(*) n, min(pos) p from seen group by all),
         top as (select *, row_number() over (partition by problem, component order by n desc, p) rk from freq),
         named as (select m.problem, m.component, max(solvers) solvers, coalesce((select string_agg(token, ' ' order by rk) from top t where t.problem = m.problem and t.component = m.component and rk <= 2), 'Step-Layer') label from members m group by m.problem, m.component)
-        select problem, component.solver component_solver, component.idx component_idx, row_number() over (partition by problem order by solvers desc, label, component) group_no, label, solvers from named""",
+        select problem, component.solver component_solver, component.idx component_idx, row_number() over (partition by problem order by solvers desc, lower(strip_accents(label)), label, component) group_no, label, solvers from named""",
     "dense_cosine_pairs": """select a.vec_id v1, b.vec_id v2, floor(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::double[], b.embedding::double[]))) * 10000 + 0.5)::bigint cosine_e4
         from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id and b.vec_id - a.vec_id <= 10""",
 }

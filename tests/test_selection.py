@@ -31,3 +31,11 @@ def test_a_group_that_is_missing_is_the_other_one(spark):
 def test_constants_where_nothing_is_there(spark):
     got = selected(spark, [])
     assert got[1] == ("csat", "2025", "001") and got[5] == ("sat", "8", "001") and got[11] == ("csat", "2025", "001")
+
+
+def test_collated_order(spark):
+    from sparkfolio.operators.records import collated_key
+
+    want = ["2 a", "10 a", "Abend 9", "abend 10", "Ébauche", "étape 2 b", "Etape 2 c", "etape 10", "page 123456789012345678901", "page 123456789012345678902", "Zug"]
+    rows = spark.createDataFrame([(t,) for t in want[::-1]], "t string")
+    assert [r.t for r in rows.orderBy(collated_key(rows.t), "t").collect()] == want

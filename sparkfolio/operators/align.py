@@ -79,15 +79,34 @@ def cosines(steps: DataFrame, kind: str = "body") -> DataFrame:
     return pairs(steps).join(dots(vectors(steps, kind), kind), PAIR, "left").select(*PAIR, F.coalesce(kind, F.lit(0.0)).alias("cosine"))
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+
+
+def cosine(x: Column, y: Column) -> Column:
+    """Between 0 and 1; 0 for vectors of different lengths or without length."""
+    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    return F.when((F.size(x) != F.size(y)) | (norm == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / norm)))
+
+
+def near_cosines(vectors: DataFrame, group: str, within: int) -> DataFrame:
+    """vectors (vec_id, group, embedding) -> (v1, v2, cosine) of the pairs of a group whose ids differ by 1 to `within`.
+
+    Ids fall into buckets as wide as that, and the smaller of a pair is put beside its own bucket and the next one, so a pair
+    meets once and a vector meets two buckets, however large its group is.
+    """
+    bucket = F.expr(f"vec_id div {within}")
+    low = vectors.select(F.col("vec_id").alias("v1"), F.col(group).alias("g"), F.col("embedding").alias("x"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    high = vectors.select(F.col("vec_id").alias("v2"), F.col(group).alias("g"), F.col("embedding").alias("y"), bucket.alias("bucket"))
+    pairs = low.join(high, ["g", "bucket"]).where(F.col("v2") - F.col("v1") >= 1).where(F.col("v2") - F.col("v1") <= within)
+    return pairs.select("v1", "v2", cosine(F.col("x"), F.col("y")).alias("cosine"))
+
+
 def embedding_cosines(embedded: DataFrame) -> DataFrame:
     """embedded (problem, solver, idx, embedding) -> cosines between 0 and 1 of the pairs whose steps both have one."""
     a, b = embedded.alias("a"), embedded.alias("b")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    x, y = F.col("a.embedding"), F.col("b.embedding")
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)))
     on = (F.col("a.problem") == F.col("b.problem")) & (F.col("a.solver") < F.col("b.solver"))
-    return a.join(b, on).select("a.problem", F.col("a.solver").alias("s1"), F.col("a.idx").alias("i"), F.col("b.solver").alias("s2"), F.col("b.idx").alias("j"), cosine.alias("embedding"))
+    return a.join(b, on).select("a.problem", F.col("a.solver").alias("s1"), F.col("a.idx").alias("i"), F.col("b.solver").alias("s2"), F.col("b.idx").alias("j"), cosine(F.col("a.embedding"), F.col("b.embedding")).alias("embedding"))
 
 
 def scores(steps: DataFrame, embedded: DataFrame | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def absent_pages(pages: DataFrame, stored: DataFrame) -> DataFrame:
 
 def page_texts(questions: DataFrame) -> DataFrame:
     """questions (page, ord, qid, text) -> (page, texts map<qid, text>); questions without a qid go, of equal ones the last counts."""
-    named = questions.where("qid is not null and qid not in ('', '0')").groupBy("page", "qid").agg(F.max_by("text", "ord").alias("text"))
+    named = questions.where("qid is not null and qid <> ''").groupBy("page", "qid").agg(F.max_by("text", "ord").alias("text"))
     return named.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("qid", F.coalesce("text", F.lit("")).alias("text")))).alias("texts"))
 
 

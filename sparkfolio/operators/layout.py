@@ -52,16 +52,21 @@ def top_cut(blocks: DataFrame, height: int) -> DataFrame:
     return blocks.groupBy("page").agg(F.coalesce(F.least(F.least(low, first), F.lit(int(height * 0.15))), F.lit(0)).cast("int").alias("y_cut"), F.least(low, first).isNotNull().alias("had")).select("page", F.when(F.col("had"), F.col("y_cut")).otherwise(0).alias("y_cut"))
 
 
+def page_cut(blocks: DataFrame, height: int, sat: bool = False) -> DataFrame:
+    """(page, y_cut): the top cut, or 8 % of a page that has none, but not in SAT mode."""
+    least = F.lit(0 if sat else max(1, int(height * 0.08)))
+    return top_cut(blocks, height).withColumn("y_cut", F.when(F.col("y_cut") <= 0, least).otherwise(F.col("y_cut")))
+
+
 def without_margins(blocks: DataFrame, height: int, bottom: float = 0.80, sat: bool = False) -> DataFrame:
     """Blocks between the top cut (8 % of the page where there is none, but not in SAT mode) and the bottom ratio, without footers."""
-    cut = F.when((F.col("y_cut") <= 0) & ~F.lit(sat), max(1, int(height * 0.08))).otherwise(F.col("y_cut"))
     digits = F.length(F.regexp_replace("txt", "[^0-9]", ""))
     footer = (F.col("y1") > height * 0.6) & (F.col("txt").rlike("|".join(FOOTER_WORDS)) | F.col("txt").rlike(r"^[○•*]"))
     number = F.col("txt").rlike(r"^\s*\d{1,2}\s*[\s/–-]\s*\d{1,3}\s*$")
     scrap = (F.col("y1") > height * 0.82) & (F.length("txt") < 10) & (digits / F.greatest(F.lit(1), F.length("txt")) > 0.6)
     keep = (F.col("y1") < height * 0.3) | (F.col("kind") != "text") | ((F.col("txt") != "") & ~footer & ~number & ~scrap)
     kinds = ~F.col("kind").isin("title", "header") & ~((F.col("kind") == "sub_title") & F.col("txt").rlike(NOT_ANCHORS))
-    return blocks.join(top_cut(blocks, height), "page").where((F.col("y1") >= cut) & (F.col("y1") < height * bottom) & keep & kinds).drop("y_cut")
+    return blocks.join(page_cut(blocks, height, sat), "page").where((F.col("y1") >= F.col("y_cut")) & (F.col("y1") < height * bottom) & keep & kinds).drop("y_cut")
 
 
 def columns(blocks: DataFrame, width: int) -> DataFrame:
@@ -243,7 +248,8 @@ def with_contours(blocks: DataFrame, contours: DataFrame, share: float = 0.25) -
 def problems(blocks: DataFrame, width: int, height: int, ratio: float = 0.02, contours: DataFrame | None = None) -> DataFrame:
     """Whole pages to problems: (page, qnum, merged, bx1, by1, bx2, by2, n_blocks), the chain of the operators above.
 
-    With contours (page, ord, num, x1, y1, x2, y2) in SAT mode: their numbers join the blocks, a page without a top cut is not cut.
+    With contours (page, ord, num, x1, y1, x2, y2) in SAT mode: their numbers join the blocks, a page without a top cut is not cut, and boxes
+    may reach above the cut; else they begin there at the highest.
     """
     blocks = dedup_grid(blocks)
     if contours is not None:
@@ -260,4 +266,6 @@ def problems(blocks: DataFrame, width: int, height: int, ratio: float = 0.02, co
     wide = G.expand(*(F.col(c) for c in BOX), F.lit(width), F.lit(height), ratio)
     groups = groups.select("page", "qnum", "col", "merged", "n_blocks", *(b.alias("b" + c) for b, c in zip(wide, BOX)))
     a, b = G.enforce_column(F.col("bx1"), F.col("bx2"), F.col("col"), F.lit(0.5 * width), F.lit(width))
+    if contours is None:
+        groups = groups.join(page_cut(blocks, height), "page").withColumn("by1", F.greatest("by1", "y_cut"))
     return groups.select("page", F.col("qnum").cast("long").alias("qnum"), "merged", a.alias("bx1"), "by1", b.alias("bx2"), "by2", "n_blocks")

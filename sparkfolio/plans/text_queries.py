@@ -187,14 +187,8 @@ def step_pair_score_embedded(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors of one label at most 10 ids apart: cosines between 0 and 1."""
-    v = read(spark, d, "embeddings")
-    a, b = v.alias("a"), v.alias("b")
-    near = (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")) & (F.col("b.vec_id") - F.col("a.vec_id") <= 10)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    x, y = F.col("a.embedding"), F.col("b.embedding")
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    cosine = F.when((F.size(x) != F.size(y)) | (norm == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / norm)))
-    return a.join(b, near).select(F.col("a.vec_id").alias("v1"), F.col("b.vec_id").alias("v2"), F.floor(cosine * 10_000 + 0.5).cast("long").alias("cosine_e4"))
+    found = align.near_cosines(read(spark, d, "embeddings"), "label", 10)
+    return found.select("v1", "v2", F.floor(F.col("cosine") * 10_000 + 0.5).cast("long").alias("cosine_e4"))
 
 
 QUERIES = {f.__name__: f for f in (text_normalize_tokens, char_bigrams, math_tokens, tfidf_weights, step_pair_cosine, step_pair_score, step_pair_score_embedded, mutual_best_edges, mutual_topk_edges, alignment_components, alignment_best_member, alignment_labels, dense_cosine_pairs)}

@@ -90,6 +90,15 @@ def test_wide_digits_and_contours(spark):
     assert sorted(r.qnum for r in layout.problems(blocks, 2480, 3508, contours=contours).collect()) == [7, 8]
 
 
+@pytest.mark.parametrize("contours", [False, True])
+def test_boxes_begin_at_the_top_cut(spark, contours):
+    """A problem's margin would reach above the page's cut; in SAT mode it may."""
+    rows = [(1, 1, "header", 10, 100, 900, 380, "head", 0), (1, 2, "text", 10, 378, 900, 2378, "1. what", 0), (2, 1, "text", 10, 300, 900, 2300, "plain", 0)]
+    none = spark.createDataFrame([], "page long, ord long, num int, x1 int, y1 int, x2 int, y2 int") if contours else None
+    got = {r.page: r.by1 for r in layout.problems(spark.createDataFrame(rows, SCHEMA).drop("col"), 2480, 3508, ratio=0.05, contours=none).collect()}
+    assert got == ({1: 278, 2: 200} if contours else {1: 360, 2: 280})
+
+
 def test_tags_of_several_boxes(spark):
     raw = "<|ref|>text<|/ref|><|det|>[1, 2, 3, 4]<|/det|>\none<|ref|>text<|/ref|><|det|>[[1, 2, 3, 4], [5, 6, 7]]<|/det|>\ntwo<|ref|>image<|/ref|><|det|>[[9, 9, 9, 9]]<|/det|>\nthree<|ref|>text<|/ref|><|det|>[[]]<|/det|>"
     rows = spark.createDataFrame([(1, raw), (2, ""), (3, None)], "page long, raw string")

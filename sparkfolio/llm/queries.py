@@ -74,6 +74,22 @@ ORACLES = {
         d as (select key, max(doc_id) stays from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
         m as (select k.*, d.key is not null and doc_id <> stays gone from k left join d using (key))
         select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256 from m group by doc_id""",
+    "op12_importance_resampling": r"""
+        with t0 as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) crc),
+        texts as (select true ours, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') s from documents union all select false, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+        words as (select ours, doc_id, regexp_extract_all(s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from texts),
+        f as (select ours, doc_id, len(w) n_words, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) feature from words),
+        g as (select ours, doc_id, feature, count(*) n from f group by all),
+        d as (select distinct feature from g), h as (select feature, hex(encode(feature)) x from d),
+        b as (select feature, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::bigint), lambda c, y: xor(c >> 8, crc[xor(c, y) % 256 + 1]), 4294967295), 4294967295) % 10000 bucket from h, t0),
+        n as (select ours, doc_id, bucket, sum(n)::bigint n from g join b using (feature) group by all),
+        c as (select bucket, coalesce(sum(n) filter (ours), 0)::double s, coalesce(sum(n) filter (not ours), 0)::double t from n group by bucket), z as (select sum(s) s_all, sum(t) t_all from c),
+        gain as (select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint gain from c, z),
+        w as (select doc_id, sum(n)::bigint n_features, floor(sum(n * gain) / sum(n))::bigint weight from n join gain using (bucket) where ours group by doc_id),
+        a as (select doc_id, len(w) n_words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::bigint h from words left join w using (doc_id) where ours),
+        q as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint score from a),
+        r as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) place, count(*) over (partition by n_words >= 20) many from q)
+        select doc_id, n_features, weight, score, case when n_words >= 20 and place <= many * 25 // 100 then place end as rank from r""",
     "op13_peak_concurrency": """
         with e as (select sale_id, max(shipped_at) shipped from sale_lines where shipped_at is not null group by sale_id),
         c as (select client_id, max(nation_id) nation_id from clients group by client_id),

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sinks import _exists, _folder
+from .shared import exists, folder
 
 BUCKETS = 64
 
@@ -34,7 +34,7 @@ class KeyedTable(NamedTuple):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def _all(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(self.path) if _exists(spark, self.path) else spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(self.path) if exists(spark, self.path) else spark.createDataFrame([], self.schema)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self._all(spark).where("not cleared").drop("cleared", "bucket")
@@ -72,5 +72,5 @@ class KeyedTable(NamedTuple):
         self._merge(keys.select(*self.keys, *(F.lit(None).cast(c.dataType).alias(c.name) for c in held), "written", F.lit(True).alias("cleared")))
 
     def clear_all(self, spark: SparkSession) -> None:
-        fs, where = _folder(spark, self.path)
+        fs, where = folder(spark, self.path)
         fs.delete(where, True)

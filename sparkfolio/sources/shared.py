@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def folder(spark: SparkSession, path: str):
+    """The file system and the path, as Hadoop knows them."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = folder(spark, path)
+    return fs.exists(where)
+
+
 class Stored:
     """A frame written to the shared folder: lineage ends there, and lost executors cost nothing that is not on disk."""
 
@@ -32,6 +44,5 @@ class Stored:
 
     def drop(self) -> None:
         """Remove the files; the frame must not be read any more."""
-        sc = self.df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = folder(self.df.sparkSession, self.path)
+        fs.delete(where, True)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import exists, folder
 
 # Columns of the comparison table and of the table of raw texts.
 RESULT_COLUMNS = ("prob_id", "ground_truth", "prob_desc_deepseek", "prob_desc_deepseek2", "prob_desc_qwen", "prob_desc_paddle")
@@ -47,7 +48,7 @@ class Sink(NamedTuple):
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The columns and `batch`; with none yet an empty frame."""
-        if not _exists(spark, f"{self.path}/committed"):
+        if not exists(spark, f"{self.path}/committed"):
             return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in self.columns) + ", batch long")
         schema = ", ".join(f"`{c}` string" for c in (*self.columns, "attempt"))
         if self.kind == "csv":
@@ -59,35 +60,24 @@ class Sink(NamedTuple):
 
     def vacuum(self, spark: SparkSession) -> int:
         """Remove attempts that no batch names; no batch may be under way. Returns their number."""
-        held = {r.attempt for r in self.batches(spark).collect()} if _exists(spark, f"{self.path}/committed") else set()
-        fs, there = _folder(spark, f"{self.path}/data")
+        held = {r.attempt for r in self.batches(spark).collect()} if exists(spark, f"{self.path}/committed") else set()
+        fs, there = folder(spark, f"{self.path}/data")
         gone = [s.getPath() for s in fs.listStatus(there) if s.getPath().getName().removeprefix("attempt=") not in held] if fs.exists(there) else []
         for p in gone:
             fs.delete(p, True)
         return len(gone)
 
 
-def _folder(spark: SparkSession, path: str):
-    sc = spark.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _folder(spark, path)
-    return fs.exists(where)
-
-
-def result_sinks(folder: str) -> tuple[Sink, Sink]:
+def result_sinks(base: str) -> tuple[Sink, Sink]:
     """The comparison table, and the raw texts beside it."""
-    return Sink(f"{folder}/results", RESULT_COLUMNS), Sink(f"{folder}/raw", META_COLUMNS)
+    return Sink(f"{base}/results", RESULT_COLUMNS), Sink(f"{base}/raw", META_COLUMNS)
 
 
-def results_writer(folder: str, dry_run: bool = False) -> Callable[[DataFrame, int], None]:
+def results_writer(base: str, dry_run: bool = False) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for rows (prob_id, ground_truth, one column a model, raw texts): cells of results are put on
     one line, raw texts stay as they are and are written for rows that have one. A dry run writes ids and ground truth only.
     """
-    results, raw = result_sinks(folder)
+    results, raw = result_sinks(base)
 
     def write(batch: DataFrame, n: int) -> None:
         line: Callable[[str], Column] = lambda c: T.one_line(F.col(c)) if c != "prob_id" else F.col(c)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records
 from .files import decoded
-from .sinks import _exists
+from .shared import exists
 
 SCHEMA = "year int, prob_id string, image string, content binary, ground_truth string"
 
@@ -30,7 +30,7 @@ def bare(path: Column) -> Column:
 
 def listing(spark: SparkSession, *folders: str) -> DataFrame:
     """(path) of all files below some folders, those that are there; no file is opened. Files without a byte are left out."""
-    there = [f for f in folders if _exists(spark, f)]
+    there = [f for f in folders if exists(spark, f)]
     if not there:
         return spark.createDataFrame([], "path string")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
@@ -67,7 +67,7 @@ def truths(rows: DataFrame) -> DataFrame:
 
 def year_rows(spark: SparkSession, data_dir: str, year: int, root: str) -> DataFrame:
     at = lambda end: f"{data_dir}/{year}_math_odd{end}"
-    here = lambda end: _exists(spark, at(end))
+    here = lambda end: exists(spark, at(end))
     none = spark.createDataFrame([], SCHEMA)
     empty, no_image = F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("image")
 

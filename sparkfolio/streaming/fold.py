@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import exists
+
 KEY = ["problem", "model"]
 STATE = "status string, text string, started long, finished long"
 OUT = f"problem long, model long, {STATE}"
@@ -90,8 +92,9 @@ def spread_stops(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     wide = (F.col("event") == "stop") & F.col("model").isNull()
     own = keys.select(F.col("problem").alias("k_problem"), F.col("model").alias("k_model")).distinct()
     one = chunks.where(wide & F.col("problem").isNotNull()).join(own, F.col("problem") == F.col("k_problem"))
-    # Few rows stop everything; each meets every key.
-    every = chunks.where(wide & F.col("problem").isNull()).withColumn("all", F.lit(1)).join(own.withColumn("all", F.lit(1)), "all").drop("all")
+    # The few rows that stop everything are the side that is broadcast; the keys stay where they are.
+    stops = chunks.where(wide & F.col("problem").isNull()).withColumn("all", F.lit(1))
+    every = own.withColumn("all", F.lit(1)).join(F.broadcast(stops), "all").drop("all")
     back = lambda df: df.withColumns({"problem": F.col("k_problem"), "model": F.col("k_model")}).select(*chunks.columns)
     return chunks.where(~F.coalesce(wide, F.lit(False))).unionByName(back(one)).unionByName(back(every))
 
@@ -138,7 +141,8 @@ def run_chain(stream: DataFrame, folder: str, stages: list[tuple[str, Stage]]) -
 
     query = barrier_stream(stream).writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
-    rows = spark.read.schema("problem long, message string, batch long, stage string").parquet(f"{out}/data")
+    said = "problem long, message string, batch long, stage string"
+    rows = spark.read.schema(said).parquet(f"{out}/data") if exists(spark, f"{out}/data") else spark.createDataFrame([], said)
     return rows.select("problem", "stage", F.when(F.col("message").isNull(), "done").otherwise("error").alias("status"), "message")
 
 
@@ -148,7 +152,8 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     write = lambda df, n: df.withColumn("trigger", F.lit(n)).write.mode("overwrite").parquet(f"{out}/data/batch={n}")
     query = fold_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    rows = spark.read.parquet(f"{out}/data")
+    held = f"{OUT}, trigger long"
+    rows = spark.read.schema(held).parquet(f"{out}/data") if exists(spark, f"{out}/data") else spark.createDataFrame([], held)
     return rows.groupBy(*KEY).agg(F.max_by(F.struct("status", "text", "started", "finished"), "trigger").alias("s")).select(*KEY, "s.*")
 
 

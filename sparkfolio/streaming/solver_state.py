@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shared import exists
+
 TERMINAL = ("done", "error", "stopped")
 OUT = "problem long, model long, status string, started long, finished long, text string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -159,5 +161,6 @@ def run(chunks: DataFrame, folder: str, idle_ms: int, delay: str, problems: Data
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(f"{OUT}, trigger long, batch int").parquet(path)
+    held = f"{OUT}, trigger long, batch int"
+    rows = spark.read.schema(held).parquet(path) if exists(spark, path) else spark.createDataFrame([], held)
     return rows.groupBy("problem", "model").agg(F.max_by(F.struct("status", "started", "finished", "text"), "trigger").alias("s")).select("problem", "model", "s.*")

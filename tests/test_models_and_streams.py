@@ -64,3 +64,11 @@ def test_idle_keys_expire(spark, tmp_path):
     finally:
         query.stop()
     assert seen.count((1, 1, "error")) == 1 and (1, 2, "done") in seen and (1, 2, "error") not in seen
+
+
+def test_streams_of_which_nothing_has_come(spark, tmp_path):
+    schema = "problem long, model long, seq long, kind string, event string, text string, at long"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    assert fold.run_available(stream, str(tmp_path)).count() == 0
+    assert fold.run_chain(stream, str(tmp_path), []).count() == 0

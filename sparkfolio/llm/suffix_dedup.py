@@ -16,7 +16,9 @@ cover [p - L, p + R).
 3. A gram with more than LOCAL different contexts is not gathered in one task: its windows are hashed, counted by
    offset and hash across the cluster, and give the same L and R.
 
-Defined cases: null text is empty; texts under WINDOW bytes keep everything unless they repeat inside; rows that repeat
+No join gathers the rows of a common gram, context, half or window either: met() deals such keys in parts.
+
+Defined cases: null text is empty; very long texts are processed whole, one at a time; texts under WINDOW bytes keep everything unless they repeat inside; rows that repeat
 a doc_id are documents of their own; columns besides doc_id and text are not read; an empty table gives an empty
 result. docs must give the same rows when read again, as a table does.
 """
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, filtered_joins, stored, tidy
 
 WINDOW, GRAM, SHALLOW, LOCAL, BATCH_BYTES = 400, 32, 64, 50_000, 2_000_000
+#: A key with 1/COMMON of all repeated keys' rows or more, of which there are COMMON at most, is joined in PARTS parts.
+COMMON, PARTS = 2048, 64
 BYTES = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -241,6 +245,20 @@ def extents(lefts: list[bytes], rights: list[bytes], window: int) -> tuple[list[
     return most_l, most_r
 
 
+def met(rows: DataFrame, keys: DataFrame, by: list[str], uses: str, how: str = "inner") -> DataFrame:
+    """rows (with row_at and pos) joined by `by` with keys, a stored frame of distinct keys that says in `uses` how many rows each has.
+
+    The common keys are broadcast, COMMON at most, so that their rows know to be dealt in parts by row_at and pos; on
+    the other side such a key is repeated once a part.
+    """
+    often = F.col(uses) * COMMON >= keys.agg(F.sum(uses)).head()[0] if not keys.isEmpty() else F.lit(False)
+    common = F.broadcast(keys.where(often).select(*by, F.lit(True).alias("common")))
+    part = F.when(F.col("common"), F.pmod(F.xxhash64("row_at", "pos"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.join(common, by, "left").withColumn("part", part).drop("common")
+    parts = F.explode(F.when(often, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(keys.withColumn("part", parts), [*by, "part"], how).drop("part")
+
+
 def _settle(window: int):
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(group: list[tuple]) -> list[tuple]:
@@ -272,8 +290,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for row_at, text, wanted in zip(*(batch[c].to_pylist() for c in ("row_at", "text", "wanted"))):
             data = (text or "").encode("utf-8", "surrogatepass")
-            rows += [(w["gram"], row_at, w["pos"], data[w["pos"] - w["left"] : w["pos"]], data[w["pos"] : w["pos"] + w["right"]], w["n"]) for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["gram", "row_at", "pos", "lhs", "rhs", "n"])
+            rows += [(w["gram"], row_at, w["pos"], data[w["pos"] - w["left"] : w["pos"]], data[w["pos"] : w["pos"] + w["right"]], w["n"], w["hot"]) for w in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], names=["gram", "row_at", "pos", "lhs", "rhs", "n", "hot"])
 
 
 def _windows(window: int):
@@ -293,33 +311,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, loca
     arrow_rows(spark)
     texts = docs.select(F.monotonically_increasing_id().alias("row_at"), "text")
     found = texts.mapInArrow(tidy(_scan(window, gram)), ANCHORS)
-    often = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("uses")).where("uses > 1").select("gram")
+    often = stored(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("uses")).where("uses > 1"), "often")
     inside = stored(found.where("gram is null").select("row_at", F.col("pos").alias("begin"), (F.col("pos") + F.col("right")).alias("end")), "inside")
-    hits = stored(found.where("gram is not null").join(often, "gram"), "anchors")
+    hits = stored(met(found.where("gram is not null"), often, ["gram"], "uses").drop("uses"), "anchors")
     classes = hits.groupBy("gram", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("row_at", "pos", "left", "right", "a", "b")).alias("one"))
     classes = stored(classes.select("gram", "ctx", "n", "one.*"), "contexts")
-    twice = classes.where("n > 1").select("gram", "ctx")
-    settled = hits.join(twice, ["gram", "ctx"]).select("row_at", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.col("right")).alias("end"))
+    twice = classes.where("n > 1").select("gram", "ctx", F.col("n").alias("uses"))
+    settled = met(hits, twice, ["gram", "ctx"], "uses").select("row_at", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + F.col("right")).alias("end"))
 
-    shared = lambda x: classes.where(F.col(x).isNotNull()).groupBy("gram", x).agg(F.count(F.lit(1)).alias(f"{x}s")).where(f"{x}s > 1")
-    open_ = classes.join(shared("a"), ["gram", "a"], "left").join(shared("b"), ["gram", "b"], "left").where("`as` is not null or bs is not null")
+    shared = lambda x: stored(classes.where(F.col(x).isNotNull()).groupBy("gram", x).agg(F.count(F.lit(1)).alias(f"{x}s")).where(f"{x}s > 1"), "halves")
+    open_ = met(met(classes, shared("a"), ["gram", "a"], "as", "left"), shared("b"), ["gram", "b"], "bs", "left").where("`as` is not null or bs is not null")
     open_ = stored(open_.select("gram", "n", "row_at", "pos", "left", "right"), "open")
-    sizes = open_.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).where("members > 1 and least = 1")
-    wanted = open_.join(sizes.select("gram", (F.col("members") > local).alias("hot")), "gram")
-    wanted = wanted.groupBy("row_at").agg(F.collect_list(F.struct("gram", "n", "pos", "left", "right")).alias("wanted"), F.max("hot").alias("hot"))
+    sizes = stored(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).where("members > 1 and least = 1"), "sizes")
+    wanted = met(open_, sizes, ["gram"], "members").withColumn("hot", F.col("members") > local)
+    wanted = wanted.groupBy("row_at").agg(F.collect_list(F.struct("gram", "n", "pos", "left", "right", "hot")).alias("wanted"), F.max("hot").alias("any_hot"))
     wanted = stored(wanted, "wanted")
-    bytes_ = texts.join(wanted.where("row_at >= 0"), "row_at").select("row_at", "text", "wanted").mapInArrow(tidy(_contexts), "gram long, row_at long, pos int, lhs binary, rhs binary, n long")
+    bytes_ = texts.join(wanted.where("row_at >= 0"), "row_at").select("row_at", "text", "wanted").mapInArrow(tidy(_contexts), "gram long, row_at long, pos int, lhs binary, rhs binary, n long, hot boolean")
     spans = "row_at long, begin int, end int"
-    if wanted.where("hot").isEmpty():
-        parts = bytes_.repartition("gram").sortWithinPartitions("gram")
-        matched = parts.mapInArrow(tidy(_settle(window)), spans)
-    else:
+    some_hot = not wanted.where("any_hot").isEmpty()
+    if some_hot:
         bytes_ = stored(bytes_, "bytes")
-        hot = sizes.where(F.col("members") > local).select("gram")
-        matched = bytes_.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(_settle(window)), spans)
-        each = stored(bytes_.join(hot, "gram", "left_semi").mapInArrow(tidy(_windows(window)), "gram long, row_at long, pos int, before int, hash long, n long"), "windows")
-        same = each.groupBy("gram", "before", "hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram", "before", "hash")
-        matched = matched.unionByName(each.join(same, ["gram", "before", "hash"]).where("n = 1").groupBy("row_at", "pos").agg(F.max("before").alias("l"), F.min("before").alias("r")).select("row_at", F.expr("pos - l").cast("int").alias("begin"), F.expr(f"pos + {window} - r").cast("int").alias("end")))
+    matched = bytes_.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(tidy(_settle(window)), spans)
+    if some_hot:
+        each = stored(bytes_.where("hot").mapInArrow(tidy(_windows(window)), "gram long, row_at long, pos int, before int, hash long, n long"), "windows")
+        same = stored(each.groupBy("gram", "before", "hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "same")
+        reach = met(each, same, ["gram", "before", "hash"], "k").where("n = 1").groupBy("row_at", "pos").agg(F.max("before").alias("l"), F.min("before").alias("r"))
+        matched = matched.unionByName(reach.select("row_at", F.expr("pos - l").cast("int").alias("begin"), F.expr(f"pos + {window} - r").cast("int").alias("end")))
     every = inside.unionByName(settled).unionByName(matched)
     with filtered_joins(spark):
         return stored(every.groupBy("row_at").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from sparkfolio.llm import suffix_dedup
 from sparkfolio.llm.components import components
 from sparkfolio.llm.ngram_join import similarity_classes
 from sparkfolio.llm.suffix_dedup import blind_trie_order, deep_shallow_order, extents, without_repeats
@@ -172,5 +173,34 @@ def test_removal_equals_brute_force(spark, window, gram, local):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("local", [50_000, 20])
+def test_removal_of_very_common_passages(spark, local):
+    """One gram, one context, one half and one window in a third of all texts and more."""
+    rng = random.Random(9)
+    common = "".join(rng.choice("abcdefgh") for _ in range(120))
+    rows = [(i, "".join(rng.choice("klmnop") for _ in range(rng.randint(0, 90))) + (common if i % 3 else common[:60]) + "".join(rng.choice("qrstuv") for _ in range(rng.randint(0, 90)))) for i in range(150)]
+    rows += [(1000 + i, common * 2 + "the same") for i in range(100)]
+    got = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache(), 48, 8, local).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removal(rows, 48)
+
+
+def test_common_keys_are_met_in_parts(spark):
+    rows = spark.range(3000).selectExpr("id row_at", "cast(id % 7 as int) pos", "if(id % 3 = 0, 0, id) k", "if(id % 5 = 0, null, id % 2) other")
+    keys = suffix_dedup.stored(rows.groupBy("k").count(), "keys")
+    plan = suffix_dedup.met(rows, keys, ["k"], "count")
+    assert plan.count() == 3000 and Counter(r.k for r in plan.collect())[0] == 1000
+    assert suffix_dedup.met(rows, keys.where("false"), ["k"], "count").count() == 0
+    others = suffix_dedup.stored(rows.where("other is not null").groupBy("other").count(), "others")
+    left = suffix_dedup.met(rows, others, ["other"], "count", "left")
+    assert left.count() == 3000 and left.where("count is null").count() == 600
+
+
+def test_removal_of_odd_documents(odd_docs):
+    docs = odd_docs.cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = without_repeats(docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removal(rows, 400)
+
+
 def test_removal_of_no_documents(no_docs):
     assert without_repeats(no_docs).count() == 0

@@ -205,9 +205,11 @@ def clean_merged(text: Column, keep_points: bool = True) -> Column:
     return F.array_join(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""), "\n")
 
 
-def best_groups(groups: DataFrame) -> DataFrame:
-    """Of a page's groups (page, col, qnum, merged, area) with one number, the longest text, then the largest area, then the left one."""
-    order = Window.partitionBy("page", "qnum").orderBy(F.desc(F.length("merged")), F.desc("area"), "col")
+def best_groups(groups: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Of a page's groups (page, col, qnum, merged, area) with one number, the longest text, then the largest area, then
+    the left one, then the first by the columns of ties.
+    """
+    order = Window.partitionBy("page", "qnum").orderBy(F.desc(F.length("merged")), F.desc("area"), "col", *ties)
     return groups.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
@@ -262,7 +264,7 @@ def problems(blocks: DataFrame, width: int, height: int, ratio: float = 0.02, co
     keys = ["page", "col", "anchor_ord", "qnum"]
     bounds = own.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count(F.lit(1)).alias("n_blocks"))
     groups = bounds.join(merged_lines(own, keys), keys, "left").withColumn("merged", F.coalesce("merged", F.lit("")))
-    groups = best_groups(groups.withColumn("area", F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))))
+    groups = best_groups(groups.withColumn("area", F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))), ("anchor_ord",))
     wide = G.expand(*(F.col(c) for c in BOX), F.lit(width), F.lit(height), ratio)
     groups = groups.select("page", "qnum", "col", "merged", "n_blocks", *(b.alias("b" + c) for b, c in zip(wide, BOX)))
     a, b = G.enforce_column(F.col("bx1"), F.col("bx2"), F.col("col"), F.lit(0.5 * width), F.lit(width))

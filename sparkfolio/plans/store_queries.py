@@ -11,7 +11,7 @@ from ..operators import records as R
 from ..sources import sinks
 from ..sources.keyed import KeyedTable
 from ..sources.shared import shared_dir
-from ..sources.tables import read
+from ..sources.tables import read, stream
 
 
 def _fresh(spark: SparkSession, name: str) -> str:
@@ -20,10 +20,9 @@ def _fresh(spark: SparkSession, name: str) -> str:
 
 def incremental_results(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a stream into the table of results, on one line each, and the table of raw texts; both read back whole."""
-    folder, docs = _fresh(spark, "results"), read(spark, d, "documents")
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    folder = _fresh(spark, "results")
     third = F.when(F.col("doc_id") % 3 == 0, F.col("text"))
-    rows = stream.select(F.col("doc_id").cast("string").alias("prob_id"), F.col("lang").alias("ground_truth"), *(F.col("text").alias(c) if c == "prob_desc_qwen" else F.lit(None).cast("string").alias(c) for c in sinks.RESULT_COLUMNS[2:]), third.alias("raw_deepseek_ocr"), F.lit(None).cast("string").alias("raw_deepseek_ocr2"))
+    rows = stream(spark, d, "documents").select(F.col("doc_id").cast("string").alias("prob_id"), F.col("lang").alias("ground_truth"), *(F.col("text").alias(c) if c == "prob_desc_qwen" else F.lit(None).cast("string").alias(c) for c in sinks.RESULT_COLUMNS[2:]), third.alias("raw_deepseek_ocr"), F.lit(None).cast("string").alias("raw_deepseek_ocr2"))
     sinks.run_available(rows, sinks.results_writer(folder), f"{folder}/checkpoint")
     results, raw = (s.read(spark) for s in sinks.result_sinks(folder))
     md5 = lambda c: F.md5(F.col(c).cast("binary"))

@@ -10,6 +10,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files. A table is one file or a folder of them; only a pattern, which the last letter makes of the path, may name either to a stream."""
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(problem, solver, idx, title, body): five conversations are five solvers of a problem, a turn is a step, its first sentence the title."""
     c = read(spark, sf_dir, "conversations")

@@ -32,10 +32,9 @@ def incremental_results(spark: SparkSession, d: str) -> DataFrame:
 
 def ndjson_results(spark: SparkSession, d: str) -> DataFrame:
     """Turns of conversations as lines of JSON, written by a stream and read back."""
-    folder, c = _fresh(spark, "lines"), read(spark, d, "conversations")
+    folder = _fresh(spark, "lines")
     sink = sinks.Sink(folder, ("problemId", "modelId", "text"), "json")
-    stream = spark.readStream.schema(c.schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
-    rows = stream.select(F.col("conv_id").cast("string").alias("problemId"), F.concat_ws("-", F.col("turn").cast("string"), "role").alias("modelId"), "text")
+    rows = stream(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("problemId"), F.concat_ws("-", F.col("turn").cast("string"), "role").alias("modelId"), "text")
     sinks.run_available(rows, sink.write, f"{folder}/checkpoint")
     return sink.read(spark).select("problemId", "modelId", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 

@@ -15,3 +15,10 @@ def test_documents_in_a_folder(spark, tmp_path):
     documents(spark).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["incremental_results"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.raw_md5 is not None) for r in got) == [(k, k % 3 == 0) for k in range(9)]
+
+
+def test_conversations_in_a_folder(spark, tmp_path):
+    rows = [(k // 3, k % 3, "user", f"said {k}") for k in range(9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["ndjson_results"](spark, str(tmp_path)).collect()
+    assert sorted((r.problemId, r.modelId) for r in got) == [(str(c), f"{t}-user") for c, t, *_ in rows]

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import replies as R
 from ..operators import solve as S
 from ..sources.shared import shared_dir
-from ..sources.tables import read, steps
+from ..sources.tables import read, steps, stream
 from ..streaming import fold, solver_state
 from .text_queries import STEPS
 
@@ -143,8 +143,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = read(spark, d, "events").schema
-    return _chunks(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    return _chunks(stream(spark, d, "events"))
 
 
 def stream_barrier(spark: SparkSession, d: str) -> DataFrame:
@@ -190,9 +189,9 @@ def stream_solver_states(spark: SparkSession, d: str) -> DataFrame:
     chunks, wide = _solver_chunks(events), (high - low) // SLICES + 1
     for k in range(SLICES):  # one after the other, so that files come in the order of time; a problem's chunks of a slice lie in one file
         chunks.where(F.col("seq").between(low + k * wide, low + (k + 1) * wide - 1)).repartition("problem").write.parquet(f"{folder}/slice={k}")
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    sliced = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
     problems = chunks.where("problem is not null").select("problem")
-    return solver_state.run(stream, shared_dir(spark), IDLE_DAYS * 86_400_000, f"{DELAY_DAYS} days", problems)
+    return solver_state.run(sliced, shared_dir(spark), IDLE_DAYS * 86_400_000, f"{DELAY_DAYS} days", problems)
 
 
 QUERIES = {f.__name__: f for f in (chunk_reassemble, solutions_prompt, request_routing, text_clean, fifth_option, answer_normalize, json_repair, json_valid, message_items, tag_parse, raw_by_quadrant, tags_stripped, fnv_jitter, stream_state_fold, stream_state_fold_live, stream_barrier, stream_chain, stream_stops, stream_solver_states)}

@@ -66,8 +66,8 @@ def _stepped(idle_ms: int | None):
         if state.hasTimedOut:
             now = expired(now, state.getCurrentProcessingTimeMs())
         else:
-            for frame in frames:  # a frame at a time: a key's chunks need not fit beside one another
-                now = advance(now, frame)
+            # Spark cuts a key's rows into frames anywhere and in no order, so they are sorted together; their texts are in its state anyway.
+            now = advance(now, pd.concat(list(frames)))
         state.update(now)
         if idle_ms and now[0] not in TERMINAL:
             state.setTimeoutDuration(idle_ms)
@@ -77,7 +77,7 @@ def _stepped(idle_ms: int | None):
 
 
 def fold_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """A streaming frame of states that changed; order within a key is seq within a frame, arrival across frames and triggers.
+    """A streaming frame of states that changed; order within a key is seq within a trigger, arrival across triggers.
 
     With idle_ms a key that has not ended becomes an error when nothing comes for so long.
     """
@@ -105,9 +105,10 @@ READY = "problem long, models long, done long"
 def _ready(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     told, known = state.get if state.exists else (False, "{}")
     statuses = {int(m): s for m, s in json.loads(known).items()}
-    for frame in frames:
-        for model, own in frame.groupby("model"):
-            statuses[int(model)] = advance((statuses.get(int(model), "idle"), "", None, None), own[own["kind"] == "event"])[0]
+    # The frames of a trigger are sorted together, as in fold_stream(); of texts only their models are held.
+    held = pd.concat([frame[["model", "seq", "kind", "event", "at"]] for frame in frames]).assign(text="")
+    for model, own in held.groupby("model"):
+        statuses[int(model)] = advance((statuses.get(int(model), "idle"), "", None, None), own[own["kind"] == "event"])[0]
     ended = bool(statuses) and all(s in TERMINAL for s in statuses.values())
     state.update((told or ended, json.dumps(statuses)))
     if ended and not told:

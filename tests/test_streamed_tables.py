@@ -1,5 +1,7 @@
 """Queries that stream a table: it may be one file or a folder of them, and the rows are the same."""
 
+from datetime import datetime, timedelta
+
 import pytest
 
 from sparkfolio.plans import registry
@@ -22,3 +24,26 @@ def test_conversations_in_a_folder(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = registry.QUERIES["ndjson_results"](spark, str(tmp_path)).collect()
     assert sorted((r.problemId, r.modelId) for r in got) == [(str(c), f"{t}-user") for c, t, *_ in rows]
+
+
+def events(spark):
+    """A user's chunks in three files, the later ones first."""
+    moment = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
+    rows = [(k, moment(k), 5, "view" if k < 3 else "click" if k < 27 else "purchase", 0.0, "") for k in range(30)]
+    return [spark.createDataFrame(rows[k : k + 10], EVENTS).coalesce(1) for k in (20, 10, 0)]
+
+
+@pytest.fixture
+def small_frames(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    yield
+    spark.conf.set(key, was)
+
+
+def test_chain_over_events_in_a_folder(spark, tmp_path, small_frames):
+    for part in events(spark):
+        part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["stream_chain"](spark, str(tmp_path)).collect()
+    assert sorted((r.problem, r.stage, r.status) for r in got) == [(5, "map", "done"), (5, "results", "done"), (5, "summary", "done")]

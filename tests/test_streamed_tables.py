@@ -47,3 +47,10 @@ def test_chain_over_events_in_a_folder(spark, tmp_path, small_frames):
         part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got = registry.QUERIES["stream_chain"](spark, str(tmp_path)).collect()
     assert sorted((r.problem, r.stage, r.status) for r in got) == [(5, "map", "done"), (5, "results", "done"), (5, "summary", "done")]
+
+
+def test_states_over_events_in_a_folder(spark, tmp_path, small_frames):
+    for part in events(spark):
+        part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = {r.model: r for r in registry.QUERIES["stream_state_fold_live"](spark, str(tmp_path)).collect()}
+    assert {m: (r.status, r.text) for m, r in got.items()} == {m: ("done", "".join(f"t{k}" for k in range(3, 27) if k % 3 == m)) for m in range(3)}

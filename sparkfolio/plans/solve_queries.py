@@ -184,14 +184,15 @@ def _solver_chunks(e: DataFrame) -> DataFrame:
 
 def stream_solver_states(spark: SparkSession, d: str) -> DataFrame:
     """The state machine over a stream in slices of time, with stops, expired models and texts of those that have ended."""
-    events, folder = read(spark, d, "events"), f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
-    low, high = events.agg(F.min("event_id"), F.max("event_id")).head()
-    chunks, wide = _solver_chunks(events), (high - low) // SLICES + 1
-    for k in range(SLICES):  # one after the other, so that files come in the order of time; a problem's chunks of a slice lie in one file
-        chunks.where(F.col("seq").between(low + k * wide, low + (k + 1) * wide - 1)).repartition("problem").write.parquet(f"{folder}/slice={k}")
-    sliced = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
-    problems = chunks.where("problem is not null").select("problem")
-    return solver_state.run(sliced, shared_dir(spark), IDLE_DAYS * 86_400_000, f"{DELAY_DAYS} days", problems)
+    chunks, folder = _solver_chunks(read(spark, d, "events")), f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    low, high = chunks.agg(F.min("at"), F.max("at")).head()
+    out, problems = f"{folder}/out", chunks.where("problem is not null").select("problem")
+    wide = ((high or 0) - (low or 0)) // SLICES + 1
+    for k in range(SLICES):  # a slice comes as a whole, however many files it has, and the stream goes on before the next one comes
+        chunks.where(F.col("at").between((low or 0) + k * wide, (low or 0) + (k + 1) * wide - 1)).write.parquet(f"{folder}/in/slice={k}")
+        sliced = spark.readStream.schema(chunks.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        solver_state.go_on(sliced, out, IDLE_DAYS * 86_400_000, f"{DELAY_DAYS} days", problems)
+    return solver_state.latest(spark, f"{out}/data")
 
 
 QUERIES = {f.__name__: f for f in (chunk_reassemble, solutions_prompt, request_routing, text_clean, fifth_option, answer_normalize, json_repair, json_valid, message_items, tag_parse, raw_by_quadrant, tags_stripped, fnv_jitter, stream_state_fold, stream_state_fold_live, stream_barrier, stream_chain, stream_stops, stream_solver_states)}
@@ -234,12 +235,12 @@ ORACLES = {
     "stream_state_fold_live": f"with {FOLD} select * from f",
     "stream_solver_states": f"""with c as (select case when ev and event_id % 2503 = 700 then null else user_id end problem, case when ev and (event_id % 2503 = 700 or stop and user_id % 3 = 0) then null else event_id % 3 end model, event_id seq, epoch_us(ts) // 1000 at_ms, 't' || event_id as text,
             case when not ev then 'text' when event_id % 2503 = 700 or stop then 'stop' when event_type = 'view' then 'start' when event_type = 'purchase' then 'done' when event_type = 'error' then 'error' else 'other' end event from (select *, event_type <> 'click' ev, event_type = 'signup' and event_id % 4 = 0 stop from events)),
-        k as (select problem, model, min(seq) filter (event = 'stop') ends_at from c where model is not null group by all),
+        k as (select problem, model, min({{at_ms: at_ms, seq: seq}}) filter (event = 'stop') ends_at from c where model is not null group by all),
         w as (select max(at_ms) - {DELAY_DAYS * 86_400_000} mark from c),
         x as (select k.problem, k.model, c.seq, c.at_ms, c.event from k join c on c.problem = k.problem and c.model = k.model
             union all select k.problem, k.model, c.seq, c.at_ms, 'halt' from k join c on c.model is null and coalesce(c.problem, k.problem) = k.problem and c.event = 'stop'
             union all select k.problem, k.model, 1099511627776, greatest(any_value(w.mark), max(c.at_ms)), 'end' from k join c on coalesce(c.problem, k.problem) = k.problem, w group by k.problem, k.model),
-        l as (select problem, model, list({{event: event, at_ms: at_ms, status: 'idle', started: null::bigint, finished: null::bigint, last: null::bigint, dropped: false}} order by seq) steps from x group by all),
+        l as (select problem, model, list({{event: event, at_ms: at_ms, status: 'idle', started: null::bigint, finished: null::bigint, last: null::bigint, dropped: false}} order by at_ms, seq) steps from x group by all),
         r as (select problem, model, list_reduce(steps, lambda a, b: case
             when a.dropped then a
             when a.status in ('idle', 'streaming') and b.at_ms - a.last >= {IDLE_DAYS * 86_400_000} then
@@ -249,7 +250,7 @@ ORACLES = {
             else {{event: '', at_ms: b.at_ms, status: case b.event when 'start' then 'streaming' when 'stop' then 'stopped' when 'halt' then 'stopped' when 'done' then 'done' when 'error' then 'error' else a.status end, started: case when b.event = 'start' then b.at_ms else a.started end,
                     finished: case when b.event = 'start' then null when b.event in ('stop', 'halt', 'done', 'error') then b.at_ms else a.finished end, last: case when b.event = 'halt' then a.last else b.at_ms end, dropped: b.event = 'stop'}} end,
             {{event: '', at_ms: 0::bigint, status: 'idle', started: null::bigint, finished: null::bigint, last: null::bigint, dropped: false}}) s from l),
-        t as (select problem, model, string_agg(text, '' order by seq) as text from c join k using (problem, model) where event = 'text' and (ends_at is null or seq < ends_at) group by all)
+        t as (select problem, model, string_agg(text, '' order by at_ms, seq) as text from c join k using (problem, model) where event = 'text' and (ends_at is null or {{at_ms: at_ms, seq: seq}} < ends_at) group by all)
         select r.problem, r.model, s.status, s.started, s.finished, case when s.status in ('done', 'error', 'stopped') then coalesce(t.text, '') end as text from r left join t using (problem, model)""",
     "stream_chain": f"""with {FOLD}, r as (select problem from f group by problem having bool_and(status in ('done', 'error', 'stopped')))
         select problem, stage, case when stage = 'map' and problem % 7 = 0 then 'error' else 'done' end status, case when stage = 'map' and problem % 7 = 0 then 'no map for ' || problem end message

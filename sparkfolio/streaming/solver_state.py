@@ -11,7 +11,7 @@ null) stops its models that are streaming, a stop of everything (problem null) t
 and of which nothing comes for `idle_ms` of event time is an error as of then: the next chunk of its problem says so,
 or else a timer once the watermark has passed. So the outcome does not depend on where triggers cut the stream.
 
-Chunks of a problem that one trigger brings are sorted by seq together; across triggers they count as they arrive. Rows
+Chunks of a problem that one trigger brings are sorted by time, then seq, together; across triggers they count as they arrive. Rows
 later than the watermark are dropped by Spark.
 """
 
@@ -94,7 +94,7 @@ class SolverStates(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         states = self._known()
         before, pieces = dict(states), []
-        for model, kind, event, text, at in pd.concat(list(rows)).sort_values("seq")[["model", "kind", "event", "text", "at"]].itertuples(index=False):
+        for model, kind, event, text, at in pd.concat(list(rows)).sort_values(["at", "seq"])[["model", "kind", "event", "text", "at"]].itertuples(index=False):
             states = {m: expired(s, at, self.idle_ms) for m, s in states.items()}
             if pd.isna(model):
                 if kind == "event" and event == "stop":
@@ -143,12 +143,11 @@ def states(chunks: DataFrame, idle_ms: int, delay: str, problems: DataFrame | No
     return timed.groupBy("problem").transformWithStateInPandas(SolverStates(idle_ms), OUT, "Update", "EventTime")
 
 
-def run(chunks: DataFrame, folder: str, idle_ms: int, delay: str, problems: DataFrame | None = None) -> DataFrame:
-    """The latest state of each model after all that is there now. Each trigger writes its rows under its own number, so a trigger
-    that is repeated writes the same rows in the same place.
+def go_on(chunks: DataFrame, out: str, idle_ms: int, delay: str, problems: DataFrame | None = None) -> None:
+    """Take in all that is there now; called again with the same out, what has come since. Each trigger writes its rows under its
+    own number, so a trigger that is repeated writes the same rows in the same place.
     """
-    spark = chunks.sparkSession
-    out, key = f"{folder}/solver-states-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    spark, key = chunks.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(key)
     spark.conf.set(key, ROCKS)
     try:
@@ -157,7 +156,13 @@ def run(chunks: DataFrame, folder: str, idle_ms: int, delay: str, problems: Data
         query.awaitTermination()
     finally:
         spark.conf.set(key, was)
-    return latest(spark, f"{out}/data")
+
+
+def run(chunks: DataFrame, folder: str, idle_ms: int, delay: str, problems: DataFrame | None = None) -> DataFrame:
+    """The latest state of each model after all that is there now."""
+    out = f"{folder}/solver-states-{uuid.uuid4().hex}"
+    go_on(chunks, out, idle_ms, delay, problems)
+    return latest(chunks.sparkSession, f"{out}/data")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:

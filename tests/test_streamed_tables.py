@@ -1,11 +1,13 @@
 """Queries that stream a table: it may be one file or a folder of them, and the rows are the same."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
 
 from sparkfolio.plans import registry
 
+DATA = "/root/testdata/sf0.001"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -54,3 +56,14 @@ def test_states_over_events_in_a_folder(spark, tmp_path, small_frames):
         part.write.mode("append").parquet(f"{tmp_path}/events.parquet")
     got = {r.model: r for r in registry.QUERIES["stream_state_fold_live"](spark, str(tmp_path)).collect()}
     assert {m: (r.status, r.text) for m, r in got.items()} == {m: ("done", "".join(f"t{k}" for k in range(3, 27) if k % 3 == m)) for m in range(3)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_solver_states_of_events_whose_ids_are_not_in_the_order_of_time(spark, tmp_path):
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"create view events as select e.* replace ((event_id + x * 100000)::bigint as event_id, (user_id + x * 1500)::bigint as user_id) from '{DATA}/events.parquet' e, range(2) r(x)")
+    os.mkdir(f"{tmp_path}/events.parquet")
+    con.execute(f"copy events to '{tmp_path}/events.parquet/part-0.parquet' (format parquet)")
+    name, columns = "stream_solver_states", ("problem", "model", "status", "started", "finished", "text")
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.sql(registry.ORACLES[name]).select(*columns).fetchall(), key=repr)

@@ -181,8 +181,10 @@ def final_answer(answer: Column, is_sat: Column, problem_text: Column) -> Column
 
 
 def slug(text: Column) -> Column:
-    s = F.btrim(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
-    return F.when(s == "", "unknown").otherwise(s)
+    # Each step reads the one before it once; a run of marks is tried at its beginning only, so long ones cost no more.
+    s = F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_")
+    s = F.regexp_replace(s, r"^[._-]++|(?<![._-])[._-]++$", "")
+    return F.regexp_replace(s, "^$", "unknown")
 
 
 def one_line(text: Column) -> Column:

@@ -129,3 +129,9 @@ def test_gaps_and_suppression(spark):
         if len(kept) < 6 and not any(cover(a) > 0.5 * min(area(a), area(b)) for a in kept):
             kept.append(b)
     assert {r.ord for r in L.suppressed(spark.createDataFrame(boxes, schema)).collect()} == {b[1] for b in kept}
+
+
+def test_a_slug_reads_its_text_once(spark):
+    rows = spark.createDataFrame([("._a b._",), ("--.__",), ("",), (None,), ("x" + "-" * 200_000 + "y.",)], "text string").select(T.slug(F.col("text")).alias("s"))
+    assert [r.s for r in rows.collect()] == ["a_b", "unknown", "unknown", None, "x" + "-" * 200_000 + "y"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9._-]+") == 1

@@ -177,7 +177,7 @@ def final_answer(answer: Column, is_sat: Column, problem_text: Column) -> Column
         )
 
     raw = strip_answer_decorations(answer)
-    return let(F.struct(raw.alias("raw"), option_value(raw).alias("value"), is_multiple_choice(text).alias("has"), option_values(text).alias("values")), chosen)
+    return let(F.struct(raw.alias("raw"), option_value(raw).alias("value"), is_multiple_choice(text).alias("has"), F.when(F.coalesce(is_sat, F.lit(True)), option_values(text)).alias("values")), chosen)
 
 
 def slug(text: Column) -> Column:

@@ -56,13 +56,16 @@ def solution(text: Column, is_sat: Column, problem_text: Column) -> Column:
     Elements of steps that are objects or arrays are steps; titles and contents that are no strings are empty. The answer is what
     final_answer() makes of it for a problem.
     """
-    v = F.try_parse_json(text)
     step = lambda s: F.struct(only_text(member(s, "title")).alias("title"), only_text(member(s, "content")).alias("body"))
-    steps = F.transform(F.filter(items(member(v, "steps")), lambda s: kind(s).rlike("^(OBJECT|ARRAY)")), step)
-    answer = value_text(member(v, "final_answer"))
     none = F.array().cast("array<struct<title:string,body:string>>")
-    final = F.when(answer.isNotNull(), T.final_answer(answer, is_sat, problem_text)).otherwise("")
-    return F.struct(F.coalesce(steps, none).alias("steps"), final.alias("final_answer"))
+
+    def read(v: Column) -> Column:
+        steps = F.transform(F.filter(items(member(v, "steps")), lambda s: kind(s).rlike("^(OBJECT|ARRAY)")), step)
+        final = T.let(T.let(member(v, "final_answer"), value_text), lambda a: F.when(a.isNotNull(), T.final_answer(a, is_sat, problem_text)).otherwise(""))
+        return F.struct(F.coalesce(steps, none).alias("steps"), final.alias("final_answer"))
+
+    # Parsed once: what is in a lambda is computed anew wherever it stands.
+    return T.let(F.try_parse_json(text), read)
 
 
 def _plain(v: Column, *kinds: str) -> Column:

@@ -86,3 +86,10 @@ def test_response_messages(spark):
 def test_messages_that_are_no_list(spark, text):
     (got,) = column(spark, [text], lambda t: R.chat_messages(F.try_parse_json(t)))
     assert got is None
+
+
+def test_a_solution_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"steps": [{"title": "a"}], "final_answer": 2}', True, "A) 1\nB) 2"), ("no", True, None)], "t string, sat boolean, p string")
+    got = rows.select(R.solution(F.col("t"), F.col("sat"), F.col("p")).alias("s"))
+    assert [(len(r.s.steps), r.s.final_answer) for r in got.collect()] == [(1, "B"), (0, "")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1

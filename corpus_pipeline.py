@@ -37,7 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of near copies connect, the document with the smallest doc_id. Rows without a doc_id or without words stay."""
-    classes = ngram_join.similarity_classes(docs, SHINGLE, NUM, DEN)
+    classes = ngram_join.similarity_classes(docs, SHINGLE, NUM, DEN, count_links=False)
     key = unused(docs, "_folio_gone")
     gone = stored(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")

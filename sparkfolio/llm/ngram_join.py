@@ -8,7 +8,8 @@ counts what both prefixes share at that level. What is left is verified on the w
 
 Large groups of near copies are not expanded into pairs: before the join, star rounds verify each member of a
 bucket against a few centres, drawn anew each time, and merge what links; the join then only meets pairs of different
-components. Each such pair still is verified if its prefixes ask for it, so no link between components is lost.
+components. Each such pair still is verified if its prefixes ask for it, so no link between components is lost. Links within
+a component are counted at last: all its pairs are compared, whole blocks of its sets with one another.
 
 The order puts first the shingles of rare words, last those that are frequent themselves. Words and shingles are counted
 over all texts; those go by their counts that are frequent in some batch of ARROW_ROWS texts (at least FREQUENT times),
@@ -38,6 +39,8 @@ ARROW_ROWS, FREQUENT, HEAVY, MOST_MATCHES, NO_ID = 2048, 8, 1 << 16, 8, (1 << 63
 #: of each, pairs tested for a link beyond which they end, shingles that the join looks back.
 ROUNDS, WIDE, CENTRES, LEAST_YIELD, BEFORE = 6, 16, 4, 20, 16
 BITS = [f"bits{i}" for i in range(4)]
+#: A block of a component's sets: sets and shingles that it has on average at most; shingles compared at a time.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 
 
 class WordHashes(dict):
@@ -181,6 +184,69 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return rows.select("a", "b", "x", "y").mapInArrow(tidy(test), "a long, b long")
 
 
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many items each of xs has in common with each of ys; a set has an item once."""
+    items = np.concatenate([*xs, *ys])
+    rows = np.repeat(np.arange(len(xs) + len(ys)), [len(s) for s in (*xs, *ys)])
+    order = np.argsort(items, kind="stable")
+    items, rows = items[order], rows[order]
+    first = np.concatenate([[True], items[1:] != items[:-1]])
+    several = ~(first & np.concatenate([first[1:], [True]]))
+    rows, ids = rows[several], np.cumsum(first[several]) - 1
+    out = np.zeros((len(xs), len(ys)))
+    for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, COLUMNS):
+        part = slice(*np.searchsorted(ids, (low, low + COLUMNS)))
+        held = np.zeros((len(xs) + len(ys), COLUMNS), np.float32)
+        held[rows[part], ids[part] - low] = 1
+        out += held[: len(xs)] @ held[len(xs) :].T
+    return out
+
+
+def link_counts(sets: DataFrame, labels: DataFrame, num: int, den: int, most: int = BLOCK_SETS) -> DataFrame:
+    """(cid, n_links): with how many other sets (cid, items) of its component (node, label) each one links.
+
+    A component's sets are dealt in blocks of a bounded size, and each two blocks meet in a group of their own, so that a
+    large component is neither gathered nor expanded into rows of pairs; the number of groups is the square of the blocks'.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: list[tuple]) -> list[tuple[int, int]]:
+            sides = [[(cid, np.frombuffer(x, np.uint64)) for *_, own, cid, x in group if own == side] for side in dict.fromkeys(group[0][1:3])]
+            xs, ys = sides[0], sides[-1]
+            if not xs or not ys:
+                return []
+            n, m = (np.array([len(x) for _, x in s]) for s in (xs, ys))
+            shared = shared_counts([x for _, x in xs], [y for _, y in ys])
+            linked = den * shared >= num * (n[:, None] + m[None, :] - shared)
+            if xs is ys:
+                np.fill_diagonal(linked, False)
+            out = list(zip((cid for cid, _ in xs), linked.sum(axis=1).tolist()))
+            return out if xs is ys else out + list(zip((cid for cid, _ in ys), linked.sum(axis=0).tolist()))
+
+        def told(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["cid", "n"])
+
+        group: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch[c].to_pylist() for c in ("label", "i", "j", "own", "cid", "items"))):
+                if group and group[0][:3] != row[:3]:
+                    out += done(group)
+                    group = []
+                group.append(row)
+            yield told(out)
+        if group:
+            yield told(done(group))
+
+    own = labels.select(F.col("node").alias("cid"), "label").join(sets, "cid")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum(F.length("items")) / (8 * BLOCK_SHINGLES)))
+    dealt = own.join(own.groupBy("label").agg(blocks.alias("blocks")), "label").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "items")
+    met = met.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return met.mapInArrow(tidy(count), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n_links"))
+
+
 def _level(n: str, num: int, den: int) -> Column:
     """The level of a prefix's place `at`: the least number of matches whose prefix holds it."""
     return F.expr(f"cast(greatest(1, at - ({n} - ({num} * {n} + {den - 1}) div {den}) + 1) as int)")
@@ -264,15 +330,23 @@ class _Links:
                 dropped(old)
         return n
 
+    def counts(self, labels: DataFrame) -> DataFrame:
+        """(cid, n_links) of the classes in components (node, label)."""
+        self.read_sets(labels.select(F.col("node").alias("cid")))
+        if not self.sets:  # no component
+            return labels.select(F.col("node").alias("cid"), F.lit(0).cast("long").alias("n_links"))
+        return link_counts(_all(self.sets), labels, self.num, self.den)
+
     def done(self) -> None:
         for frame in (*self.tested, *self.sets):
             dropped(frame)
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, most: int = MOST_MATCHES, rounds: int = ROUNDS) -> DataFrame:
+def similarity_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, most: int = MOST_MATCHES, rounds: int = ROUNDS, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links: documents that chains of links with J >= num / den reach have one component_id.
 
-    n_links counts the links of the document's class that were verified (star rounds and join), 0 if only copies link.
+    n_links is the number of other classes that the document's class links with, 0 if only copies link; without count_links
+    it is left out, and so is the comparison of all pairs of a component.
     """
     spark = docs.sparkSession
     arrow_rows(spark, ARROW_ROWS)
@@ -347,21 +421,21 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     swept(spark)
     if not pairs.isEmpty():
         links.test(pairs)
-    edges = stored(_all(links.edges).distinct(), "all-links")
+    labels = links.labels if links.labels is not None else components(_all(links.edges))
+    degree = stored(links.counts(labels) if count_links else labels.select(F.col("node").alias("cid"), F.lit(0).cast("long").alias("n_links")), "degrees")
     links.done()
-    labels = links.labels if links.labels is not None else components(edges)
 
-    degree = edges.select(F.col("a").alias("cid")).union(edges.select("b")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     ids = classes.select("cid", "sig", F.col("least_id").alias("first_id"), "copies")
     linked = ids.join(labels.withColumnRenamed("node", "cid"), "cid")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(least, "label").join(degree, "cid", "left").select("sig", "component_id", "n_links")
     alone = ids.where("copies > 1").join(labels.select(F.col("node").alias("cid")), "cid", "left_anti").select("sig", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     said = stored(linked.unionByName(alone), "said")
-    for done in (classes, chosen, edges, labels, *links.edges):
+    for done in (classes, chosen, degree, labels, *links.edges):
         dropped(done)
     swept(spark)
-    return signed.select("doc_id", "n_shingles", "sig").join(said, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = signed.select("doc_id", "n_shingles", "sig").join(said, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:

@@ -3,11 +3,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sparkfolio.llm import suffix_dedup
 from sparkfolio.llm.components import components
-from sparkfolio.llm.ngram_join import similarity_classes
+from sparkfolio.llm.ngram_join import link_counts, similarity_classes
 from sparkfolio.llm.suffix_dedup import blind_trie_order, deep_shallow_order, extents, without_repeats
 
 
@@ -60,6 +61,29 @@ def test_components_equal_brute_force(spark, k, num, den):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, k, num, den))
 
 
+def test_every_link_of_a_component_is_counted(spark):
+    rng, words = random.Random(5), [f"w{i}" for i in range(300)]
+    base, rows = [rng.choice(words) for _ in range(150)], []
+    for i in range(60):  # a star and what lies between its points: copies of one text, each changed in up to three places
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, f"{rows[i][1]}") for i in range(3)] + [(200, "alone here with words"), (201, None)]
+    sets = word_sets(rows, 3)
+    classes = {frozenset(s) for s in sets if s}
+    links = {x: sum(x != y and 100 * len(x & y) >= 90 * len(x | y) for y in classes) for x in classes}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in similarity_classes(docs, 3, 90, 100).collect()}
+    assert got == {d: links.get(frozenset(s), 0) for (d, _), s in zip(rows, sets)}
+    # The same in blocks of seven sets.
+    keyed = [(i, np.fromiter({abs(hash(w)) for w in x}, np.uint64)) for i, x in enumerate(links)]
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in keyed], "cid long, items binary")
+    labels = spark.createDataFrame([(i, 0) for i, _ in keyed], "node long, label long")
+    counted = {r.cid: r.n_links for r in link_counts(frame, labels, 90, 100, most=7).collect()}
+    assert counted == dict(enumerate(links.values()))
+
+
 def longer_copies(seed, k, added):
     """Texts of common words, and copies with rare words appended, put in front or inserted; those sort before all others."""
     rng, rows = random.Random(seed), []

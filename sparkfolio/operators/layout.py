@@ -45,28 +45,42 @@ def dedup_grid(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("ord"))).where("rank = 1").drop("rank")
 
 
+def _header_bottom() -> Column:
+    return F.max(F.when(F.col("kind").isin("title", "sub_title", "header"), F.col("y2")))
+
+
+def _first_anchor_top() -> Column:
+    return F.min(F.when((F.col("kind") == "text") & anchor(F.col("txt")).isNotNull(), F.col("y1")))
+
+
+def _top_cut(low: Column, first: Column, height: int) -> Column:
+    cut = F.least(low + 8, first - 18)
+    return F.when(cut.isNotNull(), F.least(cut, F.lit(int(height * 0.15))).cast("int")).otherwise(0)
+
+
 def top_cut(blocks: DataFrame, height: int) -> DataFrame:
     """(page, y_cut): under the headers and above the first anchor, at most 15 % of the page; 0 without either."""
-    low = F.max(F.when(F.col("kind").isin("title", "sub_title", "header"), F.col("y2"))) + 8
-    first = F.min(F.when((F.col("kind") == "text") & anchor(F.col("txt")).isNotNull(), F.col("y1"))) - 18
-    return blocks.groupBy("page").agg(F.coalesce(F.least(F.least(low, first), F.lit(int(height * 0.15))), F.lit(0)).cast("int").alias("y_cut"), F.least(low, first).isNotNull().alias("had")).select("page", F.when(F.col("had"), F.col("y_cut")).otherwise(0).alias("y_cut"))
+    found = blocks.groupBy("page").agg(_header_bottom().alias("low"), _first_anchor_top().alias("first"))
+    return found.select("page", _top_cut(F.col("low"), F.col("first"), height).alias("y_cut"))
 
 
-def page_cut(blocks: DataFrame, height: int, sat: bool = False) -> DataFrame:
-    """(page, y_cut): the top cut, or 8 % of a page that has none, but not in SAT mode."""
-    least = F.lit(0 if sat else max(1, int(height * 0.08)))
-    return top_cut(blocks, height).withColumn("y_cut", F.when(F.col("y_cut") <= 0, least).otherwise(F.col("y_cut")))
+def with_page_cut(blocks: DataFrame, height: int, sat: bool = False) -> DataFrame:
+    """Adds y_cut: the top cut, or 8 % of a page that has none, but not in SAT mode."""
+    least, page = F.lit(0 if sat else max(1, int(height * 0.08))), Window.partitionBy("page")
+    rows = blocks.where("page is not null").withColumns({"low": _header_bottom().over(page), "first": _first_anchor_top().over(page)})
+    cut = _top_cut(F.col("low"), F.col("first"), height)
+    return rows.withColumn("y_cut", F.when(cut <= 0, least).otherwise(cut)).drop("low", "first")
 
 
 def without_margins(blocks: DataFrame, height: int, bottom: float = 0.80, sat: bool = False) -> DataFrame:
-    """Blocks between the top cut (8 % of the page where there is none, but not in SAT mode) and the bottom ratio, without footers."""
+    """Blocks, with their page's y_cut, between the top cut (8 % of the page where there is none, but not in SAT mode) and the bottom ratio, without footers."""
     digits = F.length(F.regexp_replace("txt", "[^0-9]", ""))
     footer = (F.col("y1") > height * 0.6) & (F.col("txt").rlike("|".join(FOOTER_WORDS)) | F.col("txt").rlike(r"^[○•*]"))
     number = F.col("txt").rlike(r"^\s*\d{1,2}\s*[\s/–-]\s*\d{1,3}\s*$")
     scrap = (F.col("y1") > height * 0.82) & (F.length("txt") < 10) & (digits / F.greatest(F.lit(1), F.length("txt")) > 0.6)
     keep = (F.col("y1") < height * 0.3) | (F.col("kind") != "text") | ((F.col("txt") != "") & ~footer & ~number & ~scrap)
     kinds = ~F.col("kind").isin("title", "header") & ~((F.col("kind") == "sub_title") & F.col("txt").rlike(NOT_ANCHORS))
-    return blocks.join(page_cut(blocks, height, sat), "page").where((F.col("y1") >= F.col("y_cut")) & (F.col("y1") < height * bottom) & keep & kinds).drop("y_cut")
+    return with_page_cut(blocks, height, sat).where((F.col("y1") >= F.col("y_cut")) & (F.col("y1") < height * bottom) & keep & kinds)
 
 
 def columns(blocks: DataFrame, width: int) -> DataFrame:
@@ -126,14 +140,20 @@ def grouped(blocks: DataFrame, tolerance: int = 8) -> DataFrame:
     total = F.count("own").over(whole)
     rows = rows.withColumn("fills", (heads <= 1) | (heads < F.floor(total / 2))).drop("n_own", "text_seq", "said")
 
-    anchors = rows.where("own is not null").select(*column, F.col("ord").alias("anchor_ord"), F.col("own").alias("qnum"), F.col("y1").alias("top"), F.col("seq").alias("anchor_seq"), "fills")
-    by_seq = Window.partitionBy(*column).orderBy("anchor_seq")
-    anchors = anchors.withColumns({"below": F.lead("top", 1, 1_000_000_000).over(by_seq), "next": F.lead("qnum").over(by_seq), "nth": F.row_number().over(by_seq)})
-    anchors = anchors.withColumn("parts", F.when(F.col("fills") & (F.col("next") - F.col("qnum") > 1), F.col("next") - F.col("qnum")).otherwise(1))
-    near = (F.col("y1") >= F.col("top") - tolerance) & (F.col("y1") < F.col("below") + tolerance)
-    above = (F.col("nth") == 1) & (F.col("y1") < F.col("top") - tolerance) & (F.col("qnum") > 1)
-    mine = F.when(F.col("own").isNotNull(), F.col("ord") == F.col("anchor_ord")).otherwise(near | above)
-    rows = rows.drop("fills").join(anchors, column).where(mine).withColumn("above", F.col("own").isNull() & above)
+    # A column's anchors in their order, beside each of its blocks: the first that takes a block is picked without a join.
+    own = F.when(F.col("own").isNotNull(), F.struct(F.col("seq").alias("anchor_seq"), F.col("ord").alias("anchor_ord"), F.col("own").alias("qnum"), F.col("y1").alias("top"), "fills"))
+    rows = rows.withColumn("anchors", F.array_sort(F.collect_list(own).over(whole)))
+
+    def taken(x: Column, i: Column) -> Column:
+        after = F.get("anchors", i + 1)
+        near = (F.col("y1") >= x["top"] - tolerance) & (F.col("y1") < F.coalesce(after["top"], F.lit(1_000_000_000)) + tolerance)
+        above = (i == 0) & (F.col("y1") < x["top"] - tolerance) & (x["qnum"] > 1)
+        mine = F.when(F.col("own").isNotNull(), F.col("ord") == x["anchor_ord"]).otherwise(near | above)
+        parts = F.when(x["fills"] & (after["qnum"] - x["qnum"] > 1), after["qnum"] - x["qnum"]).otherwise(1)
+        return F.when(mine, F.struct(x["anchor_seq"].alias("anchor_seq"), x["anchor_ord"].alias("anchor_ord"), x["qnum"].alias("qnum"), parts.alias("parts"), (F.col("own").isNull() & above).alias("above")))
+
+    first = F.get(F.filter(F.transform("anchors", taken), lambda x: x.isNotNull()), F.lit(0))
+    rows = rows.where("page is not null").withColumn("first", first).where("first is not null").drop("fills", "anchors").select("*", "first.*").drop("first")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*column, "ord").orderBy("anchor_seq"))).where("rank = 1")
 
     # A part of an anchor's blocks: its own block, those to be cut by missing numbers, those above.
@@ -184,7 +204,17 @@ def merged_lines(blocks: DataFrame, keys: list[str], reach: int = 16, kinds: tup
 
     The fold runs over a page's few blocks in one aggregate; what precedes a block decides its line, so no window can.
     """
-    rows = blocks.where(F.col("kind").isin(*kinds) & (F.col("txt") != "")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "ord", "txt"))).alias("all"))
+    rows = blocks.where(_in_lines(kinds)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "ord", "txt"))).alias("all"))
+    folded = rows.select(*keys, _lines(reach).alias("fold"))
+    return folded.select(*keys, F.col("fold.n").cast("long").alias("n_lines"), clean_merged(F.col("fold.out")).alias("merged"))
+
+
+def _in_lines(kinds: tuple[str, ...] = ("text", "equation")) -> Column:
+    return F.col("kind").isin(*kinds) & (F.col("txt") != "")
+
+
+def _lines(reach: int = 16) -> Column:
+    """struct(top, n, out) of the sorted blocks in column `all`."""
 
     def step(acc: Column, b: Column) -> Column:
         same = F.abs(b["y1"] - acc["top"]) <= reach
@@ -193,8 +223,7 @@ def merged_lines(blocks: DataFrame, keys: list[str], reach: int = 16, kinds: tup
         ).otherwise(F.struct(b["y1"].alias("top"), (acc["n"] + 1).alias("n"), F.concat(acc["out"], F.lit("\n"), b["txt"]).alias("out")))
 
     start = F.struct(F.lit(0).alias("top"), F.lit(0).alias("n"), F.lit("").alias("out"))
-    folded = rows.select(*keys, F.aggregate("all", start, step).alias("fold"))
-    return folded.select(*keys, F.col("fold.n").cast("long").alias("n_lines"), clean_merged(F.col("fold.out")).alias("merged"))
+    return F.aggregate("all", start, step)
 
 
 def clean_merged(text: Column, keep_points: bool = True) -> Column:
@@ -253,7 +282,8 @@ def problems(blocks: DataFrame, width: int, height: int, ratio: float = 0.02, co
     With contours (page, ord, num, x1, y1, x2, y2) in SAT mode: their numbers join the blocks, a page without a top cut is not cut, and boxes
     may reach above the cut; else they begin there at the highest.
     """
-    blocks = dedup_grid(blocks)
+    # A page's blocks are brought together once; every later step is within a page and needs no other shuffle.
+    blocks = dedup_grid(blocks.repartition("page"))
     if contours is not None:
         blocks = with_contours(blocks, contours)
     own = grouped(columns(without_margins(blocks, height, sat=contours is not None), width))
@@ -262,12 +292,13 @@ def problems(blocks: DataFrame, width: int, height: int, ratio: float = 0.02, co
     own = own.withColumns({"cx1": x1, "cx2": x2}).where(fits)
     own = own.drop("x1", "x2").withColumnsRenamed({"cx1": "x1", "cx2": "x2"})
     keys = ["page", "col", "anchor_ord", "qnum"]
-    bounds = own.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count(F.lit(1)).alias("n_blocks"))
-    groups = bounds.join(merged_lines(own, keys), keys, "left").withColumn("merged", F.coalesce("merged", F.lit("")))
+    said = F.array_sort(F.collect_list(F.when(_in_lines(), F.struct("y1", "x1", "ord", "txt"))))
+    bounds = own.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count(F.lit(1)).alias("n_blocks"), F.max("y_cut").alias("y_cut"), said.alias("all"))
+    groups = bounds.withColumn("merged", F.coalesce(clean_merged(_lines()["out"]), F.lit(""))).drop("all")
     groups = best_groups(groups.withColumn("area", F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))), ("anchor_ord",))
     wide = G.expand(*(F.col(c) for c in BOX), F.lit(width), F.lit(height), ratio)
-    groups = groups.select("page", "qnum", "col", "merged", "n_blocks", *(b.alias("b" + c) for b, c in zip(wide, BOX)))
+    groups = groups.select("page", "qnum", "col", "merged", "n_blocks", "y_cut", *(b.alias("b" + c) for b, c in zip(wide, BOX)))
     a, b = G.enforce_column(F.col("bx1"), F.col("bx2"), F.col("col"), F.lit(0.5 * width), F.lit(width))
     if contours is None:
-        groups = groups.join(page_cut(blocks, height), "page").withColumn("by1", F.greatest("by1", "y_cut"))
+        groups = groups.withColumn("by1", F.greatest("by1", "y_cut"))
     return groups.select("page", F.col("qnum").cast("long").alias("qnum"), "merged", a.alias("bx1"), "by1", b.alias("bx2"), "by2", "n_blocks")

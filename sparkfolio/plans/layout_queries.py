@@ -83,7 +83,7 @@ def greedy_suppression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_questions(spark: SparkSession, d: str) -> DataFrame:
-    return L.grouped(L.columns(boxes(spark, d), WIDTH)).select("page", F.col("col").cast("long").alias("col"), "ord", "anchor_ord", F.col("qnum").cast("long").alias("qnum"))
+    return L.grouped(L.columns(boxes(spark, d).repartition("page"), WIDTH)).select("page", F.col("col").cast("long").alias("col"), "ord", "anchor_ord", F.col("qnum").cast("long").alias("qnum"))
 
 
 def page_problems(spark: SparkSession, d: str) -> DataFrame:

@@ -112,3 +112,10 @@ def test_quadrants(spark, x, y, quadrant):
     got = {r.quadrant: r.txt for r in solve.by_quadrant(spark.createDataFrame([(1, raw)], "page long, raw string")).collect()}
     assert len(got) == 4 and got[quadrant] == f"<|ref|>text<|/ref|><|det|>[[{x}, {y}, 999, 999]]<|/det|>\nwords"
     assert not any(t for q, t in got.items() if q != quadrant)
+
+
+@pytest.mark.parametrize("chain", [lambda b: layout.problems(b, 1000, 1400), lambda b: layout.grouped(layout.columns(b.repartition("page"), 1000))])
+def test_a_page_is_shuffled_once(spark, chain):
+    rows = spark.createDataFrame([(1, 1, "text", 10, 200, 90, 240, "1. one"), (1, 2, "text", 10, 300, 90, 340, "more of it")], "page long, ord long, kind string, x1 int, y1 int, x2 int, y2 int, txt string")
+    plan = chain(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1

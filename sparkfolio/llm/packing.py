@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, stored, tidy
 
 CAPACITY, FINE, END, TOKENIZER = 2048, 16, 1, "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers, and characters of a word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 450_000, 40
+#: Words whose ids a task remembers in each of two generations, and characters of a word that it remembers.
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, at long"
 
@@ -118,7 +118,7 @@ class WordIds:
 
 @lru_cache(1)
 def word_ids(path: str) -> WordIds:
-    """One for each Python worker, kept from task to task."""
+    """One for each Python worker, kept from task to task; the words are not."""
     return WordIds(path)
 
 
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                     start += n
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "at"])
-        ids.old = {}  # between tasks a worker holds one generation
+        ids.known, ids.old = {}, {}  # a worker outlives its task, and the tasks of other stages need the room
 
     arrow_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(cut), PIECES)

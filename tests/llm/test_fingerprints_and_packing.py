@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from sparkfolio.llm.fingerprints import compared, fingerprints, with_fingerprints
-from sparkfolio.llm.packing import CAPACITY, TOKENIZER, cuts, pack, tokenizer_path, word_ids
+from sparkfolio.llm.packing import CAPACITY, TOKENIZER, cuts, pack, pieces, tokenizer_path, word_ids
 
 
 def likeness(x, y):
@@ -96,3 +96,18 @@ def test_word_ids_equal_the_tokenizers(text):
 
     want = Tokenizer.from_file(tokenizer_path(TOKENIZER)).encode(text, add_special_tokens=False).ids
     assert list(np.frombuffer(list(word_ids(tokenizer_path(TOKENIZER))([text]))[0], "<u4")) == want
+
+
+def test_workers_keep_no_words_between_tasks(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{j}" for j in range(50))) for i in range(40)], "doc_id long, text string").repartition(4)
+    pieces(docs).collect()
+    path = tokenizer_path(TOKENIZER)
+
+    def held(batches):
+        for batch in batches:
+            ids = word_ids(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(ids.known) + len(ids.old)])], names=["n"])
+
+    assert {r.n for r in docs.select("doc_id").mapInArrow(held, "n long").collect()} == {0}

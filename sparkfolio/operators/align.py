@@ -1,7 +1,8 @@
 """Alignment of the solvers' steps: features, pair scores, mutual best edges, components and their labels.
 
 Steps are (problem, solver, idx, title, body); everything happens within a problem, which is the key of every shuffle.
-Pairs only arise between solvers of one problem, dot products through shared tokens.
+Pairs only arise between solvers of one problem, dot products through shared tokens. Steps are dealt by problem once; tokens, their
+counts, vectors and pairs are made where the steps lie.
 """
 
 from __future__ import annotations
@@ -17,57 +18,64 @@ WEIGHTS = {"title": 0.3, "body": 0.3, "math": 0.2, "chars": 0.1}
 PENALTY, THRESHOLD, TOP, EMBEDDING_WEIGHT = 0.05, 0.35, 2, 0.1
 
 STEP = ["problem", "solver", "idx"]
+#: The kind of the one token that every step has.
+MET = "met"
 
 
 def features(steps: DataFrame, *kinds: str) -> DataFrame:
-    """(problem, solver, idx, kind, token, tf, total): how often a step has each token of each kind; the steps are read once."""
+    """(problem, solver, idx, kind, token, tf, total, n, own): how often a step has each token of each kind, and the steps of its problem and of
+    its solver there; the steps are read once, and dealt by problem before their texts are taken apart.
+    """
     title = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("body"))
     tokens = {
         "title": lambda: T.tokens(title),
         "body": lambda: T.tokens(F.col("body")),
         "math": lambda: T.math_tokens(T.step_signature(F.col("title"), F.col("body"))),
         "chars": lambda: T.char_ngrams(title),
+        MET: lambda: F.array(F.lit("")),
     }
+    size = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    dealt = steps.where("problem is not null").withColumn("own", size("problem", "solver")).withColumn("n", size("problem"))
     sets = F.array(*[F.struct(F.lit(k).alias("kind"), tokens[k]().alias("all")) for k in kinds])
-    rows = steps.select(*STEP, F.explode(sets).alias("s")).select(*STEP, "s.kind", F.size("s.all").alias("total"), F.explode("s.all").alias("token"))
-    return rows.groupBy(*STEP, "kind", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("total").alias("total"))
+    rows = dealt.select(*STEP, "n", "own", F.explode(sets).alias("s")).select(*STEP, "n", "own", "s.kind", F.size("s.all").alias("total"), F.explode("s.all").alias("token"))
+    return rows.groupBy(*STEP, "kind", "token").agg(F.count(F.lit(1)).alias("tf"), *(F.first(c).alias(c) for c in ("total", "n", "own")))
 
 
 def vectors(steps: DataFrame, *kinds: str) -> DataFrame:
-    """(problem, solver, idx, kind, token, weight): unit TF-IDF vectors of each kind (characters: unit count vectors)."""
-    tf = features(steps, *kinds)
-    n = steps.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("problem", "kind", "token").agg(F.count(F.lit(1)).alias("df"))
+    """(problem, solver, idx, kind, token, weight, tf, df, own): unit TF-IDF vectors of each kind (characters: unit count vectors); df: steps
+    of the problem that have the token. After the steps are dealt nothing is shuffled.
+    """
+    rows = features(steps, *kinds).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("problem", "kind", "token")))
     idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
     raw = F.when(F.col("kind") == "chars", F.col("tf").cast("double")).otherwise(F.col("tf") / F.col("total") * idf)
-    rows = tf.join(df, ["problem", "kind", "token"]).join(n, "problem").withColumn("raw", raw)
+    rows = rows.withColumn("raw", raw)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*STEP, "kind")))
-    return rows.select(*STEP, "kind", "token", F.when(norm > 0, F.col("raw") / norm).otherwise(F.col("raw")).alias("weight"))
+    return rows.select(*STEP, "kind", "token", F.when(norm > 0, F.col("raw") / norm).otherwise(F.col("raw")).alias("weight"), "tf", "df", "own")
 
 
 def weights(steps: DataFrame, kind: str) -> DataFrame:
     """vectors() of one kind, without it."""
-    return vectors(steps, kind).drop("kind")
-
-
-def pairs(steps: DataFrame) -> DataFrame:
-    """All pairs of steps of two solvers of a problem, the smaller solver first."""
-    a, b = steps.alias("a"), steps.alias("b")
-    on = (F.col("a.problem") == F.col("b.problem")) & (F.col("a.solver") < F.col("b.solver"))
-    return a.join(b, on).select("a.problem", F.col("a.solver").alias("s1"), F.col("a.idx").alias("i"), F.col("b.solver").alias("s2"), F.col("b.idx").alias("j"))
+    return vectors(steps, kind).select(*STEP, "token", "weight")
 
 
 PAIR = ["problem", "s1", "i", "s2", "j"]
 
 
-def dots(found: DataFrame, *kinds: str) -> DataFrame:
-    """Pairs that share a token of some kind, and for each kind their dot product, between 0 and 1: one join for all kinds."""
-    a, b = found.alias("a"), found.alias("b")
-    on = (F.col("a.problem") == F.col("b.problem")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.solver") < F.col("b.solver"))
-    rows = a.join(b, on).groupBy("a.problem", F.col("a.solver").alias("s1"), F.col("a.idx").alias("i"), F.col("b.solver").alias("s2"), F.col("b.idx").alias("j"))
-    product = F.col("a.weight") * F.col("b.weight")
-    one = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("a.kind") == k, product)), F.lit(0.0)))).alias(k)
-    return rows.agg(*map(one, kinds))
+def compared(steps: DataFrame, *kinds: str) -> DataFrame:
+    """All pairs of steps of two solvers of a problem, the smaller solver first: (PAIR, longest, and for each kind the dot product, between
+    0 and 1). longest: steps of the solver that has more. Rows that repeat a step repeat its pairs.
+
+    The steps that have a token are one list; a list is no longer than the square root of the pairs that it makes and that the
+    result holds. All steps of a problem have the token of MET in common, so pairs without another one are there, too.
+    """
+    held = vectors(steps, *kinds, MET).where("df > 1").groupBy("problem", "kind", "token").agg(F.collect_list(F.struct("solver", "idx", "weight", "own", "tf")).alias("all"))
+    each = held.select("problem", "kind", "all", F.explode("all").alias("x"))
+    met = each.select("problem", "kind", "x", F.explode("all").alias("y")).where("x.solver < y.solver")
+    of = lambda k, value: F.when(F.col("kind") == k, value)
+    one = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.sum(of(k, F.col("x.weight") * F.col("y.weight"))), F.lit(0.0)))).alias(k)
+    rows = met.groupBy("problem", F.col("x.solver").alias("s1"), F.col("x.idx").alias("i"), F.col("y.solver").alias("s2"), F.col("y.idx").alias("j"))
+    found = rows.agg(F.max(of(MET, F.greatest("x.own", "y.own"))).alias("longest"), F.sum(of(MET, F.col("x.tf") * F.col("y.tf"))).alias("times"), *map(one, kinds))
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times")
 
 
 def micro(x: Column) -> Column:
@@ -76,7 +84,7 @@ def micro(x: Column) -> Column:
 
 
 def cosines(steps: DataFrame, kind: str = "body") -> DataFrame:
-    return pairs(steps).join(dots(vectors(steps, kind), kind), PAIR, "left").select(*PAIR, F.coalesce(kind, F.lit(0.0)).alias("cosine"))
+    return compared(steps, kind).select(*PAIR, F.col(kind).alias("cosine"))
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -115,20 +123,17 @@ def scores(steps: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
     embedded (problem, solver, idx, embedding) adds one more cosine to pairs whose steps both have a vector.
     """
     kinds = dict(WEIGHTS)
-    out = pairs(steps).join(dots(vectors(steps, *WEIGHTS), *WEIGHTS), PAIR, "left")
+    out = compared(steps, *WEIGHTS)
     if embedded is not None:
         out, kinds["embedding"] = out.join(embedding_cosines(embedded), PAIR, "left"), EMBEDDING_WEIGHT
     total = sum(WEIGHTS.values()) + (F.when(F.col("embedding").isNotNull(), EMBEDDING_WEIGHT).otherwise(0.0) if embedded is not None else F.lit(0.0))
     out = out.withColumn("total", total)
-    lengths = steps.groupBy("problem", "solver").agg(F.count(F.lit(1)).alias("steps"))
-    for k in "12":
-        out = out.join(lengths.select("problem", F.col("solver").alias("s" + k), F.col("steps").alias("n" + k)), ["problem", "s" + k])
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     # The parts are rounded before they are weighted, so that any engine gets the same sum.
     for kind in kinds:
         out = out.withColumn(kind, micro(F.coalesce(kind, F.lit(0.0))) / 1_000_000.0)
     raw = sum((F.col(k) * w for k, w in kinds.items()), F.lit(0.0)) / F.col("total")
-    far = F.abs(F.col("i") - F.col("j")) / F.greatest("n1", "n2", F.lit(1))
+    far = F.abs(F.col("i") - F.col("j")) / F.greatest("longest", F.lit(1))
     return out.select(*PAIR, micro(unit(unit(raw) - PENALTY * far)).alias("score"))
 
 

@@ -1,9 +1,9 @@
 """Uploads to the known page that looks most alike, over an index of pivots.
 
 The mean absolute difference of two thumbnails is a metric, so the difference of their distances to any pivot is at most
-their own distance. Known pages fall into bands as wide as the largest limit, by their distances to the first two
-pivots, and into bands of their shape; an upload meets only the pages of its own bands and of those beside them. The
-remaining pivots, the shapes and at last the thumbnails themselves are compared for what is left. Equal looks are compared
+their own distance. Known pages fall into bands twice as wide as the largest limit, by their distances to the first four
+pivots, and into bands of their shape; an upload meets only the pages of the bands that its limits touch, two of a kind. All
+pivots, the shapes and at last the thumbnails themselves are compared for what is left. Equal looks are compared
 once, whatever number of uploads or pages has them.
 
 Pivots come from at most `SAMPLE` known pages; which ones decides how many pairs are compared, never which are found.
@@ -22,7 +22,7 @@ from .records import mean_abs_diff
 
 # The largest difference for pages of one size and of one shape, and how far shapes may differ.
 SAME_SIZE, RESIZED, SHAPE = 0.35, 0.20, 0.005
-PIVOTS, SAMPLE = 6, 64
+PIVOTS, SAMPLE, BANDED = 6, 64, 4
 #: Above the rounding errors of a mean of absolute differences of bytes.
 SLACK = 1e-6
 WIDE = SAME_SIZE + SLACK
@@ -64,25 +64,42 @@ def with_distances(looks: DataFrame, found: list[list[float]]) -> DataFrame:
     return looks.withColumn("away", away("thumb"))
 
 
-def _banded(looks: DataFrame, found: list[list[float]]) -> DataFrame:
-    """looks, by thumbnails' length, bands of shape and of the distances to two pivots."""
-    band = lambda i: F.floor(F.coalesce(F.get("away", i), F.lit(0.0)) / WIDE).cast("long")
-    return with_distances(looks, found).withColumns({"long": F.size("thumb"), "shape": F.floor(aspect() / (SHAPE + SLACK)).cast("long"), "near1": band(0), "near2": band(1)})
+#: By thumbnails' length, bands of shape and of the distances to the first pivots.
+CELLS = ["long", "shape", *(f"near{i}" for i in range(BANDED))]
+
+
+def _measured(looks: DataFrame, found: list[list[float]]) -> tuple[DataFrame, dict[str, tuple[Column, float]]]:
+    """looks with their distances, and for each kind of band its measure and how far two looks that are alike may differ in it."""
+    near = {f"near{i}": (F.coalesce(F.get("away", i), F.lit(0.0)), WIDE) for i in range(BANDED)}
+    return with_distances(looks, found).withColumn("long", F.size("thumb")), {"shape": (aspect(), SHAPE + SLACK), **near}
 
 
 def compared(uploads: DataFrame, known: DataFrame) -> DataFrame:
     """(look, page_id, same_size): the pairs of looks that the index leaves to be compared. Both sides: looks of looks_of()."""
+    return _left(met(uploads, known))
+
+
+def met(uploads: DataFrame, known: DataFrame) -> DataFrame:
+    """Uploads beside the known looks of their bands. A band is twice as wide as looks may differ, so what is near a look lies in the bands of
+    its measure less and plus that width, two at most.
+    """
     found = pivots(known)
-    mine, theirs = (_banded(x, found).drop("thumb") for x in (uploads, known))
-    around = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(x, "abc", strict=True))) for x in ((a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))))
-    asked = mine.withColumn("o", F.explode(around)).withColumns({"shape": F.col("shape") + F.col("o.a"), "near1": F.col("near1") + F.col("o.b"), "near2": F.col("near2") + F.col("o.c")}).drop("o")
-    cells = ["long", "shape", "near1", "near2"]
-    held = theirs.select(*cells, F.col("look").alias("page_id"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("away").alias("away_"))
+    asked, measures = _measured(uploads, found)
+    theirs, _ = _measured(known, found)
+    for name, (value, wide) in measures.items():
+        band = lambda v, w=wide: F.floor(v / (2 * w)).cast("long")
+        asked = asked.withColumn(name, F.explode(F.array_distinct(F.array(band(value - wide), band(value + wide)))))
+        theirs = theirs.withColumn(name, band(value))
+    held = theirs.select(*CELLS, F.col("look").alias("page_id"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("away").alias("away_"))
+    return asked.drop("thumb").join(held, CELLS)
+
+
+def _left(pairs: DataFrame) -> DataFrame:
     same = (F.col("width") == F.col("w")) & (F.col("height") == F.col("h"))
     limit = F.when(same, SAME_SIZE).otherwise(RESIZED) + SLACK
     apart = F.aggregate(F.zip_with("away", "away_", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda m, x: F.greatest(m, x))
     alike = same | (F.abs(aspect() - aspect("w", "h")) <= SHAPE)
-    return asked.join(held, cells).where(alike & (apart <= limit)).select("look", "page_id", same.alias("same_size"))
+    return pairs.where(alike & (apart <= limit)).select("look", "page_id", same.alias("same_size"))
 
 
 def looks_of(pages: DataFrame, name: str) -> DataFrame:

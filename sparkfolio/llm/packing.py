@@ -23,6 +23,7 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, stored, tidy
 
 CAPACITY, FINE, END, TOKENIZER = 2048, 16, 1, "word_bpe_49k.json"
-#: Words whose ids a task remembers in each of two generations, and characters of a word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 200_000, 40
+#: Parts of words whose ids a task remembers in each of two generations, and characters of a word that it remembers.
+CACHE_WORDS, CACHE_CHARS = 100_000, 40
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, at long"
 
@@ -48,14 +49,16 @@ def cuts(n: int, capacity: int = CAPACITY, fine: int = FINE) -> list[int]:
 
 class WordIds:
     """Token ids of texts as little-endian bytes. The tokenizer never joins anything across white space, so words
-    are looked up one by one and each is tokenised once while it is remembered: those of the last two generations
-    are, a generation being CACHE_WORDS words. Texts with special tokens or with separators that only some libraries
-    call white space go to the tokenizer whole.
+    are looked up one by one, each once a batch. A word of letters and symbols behind them is looked up in these two
+    parts, A-Z in lower case; a part is tokenised once while it is remembered: those of the last two generations are,
+    a generation being CACHE_WORDS parts. Texts with special tokens go to the tokenizer whole.
     """
 
-    odd = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    special = "<|"
     #: Symbols that the tokenizer parts from the letters before them.
     symbols = ".,;:!?|#%$&*)"
+    #: The one letter that in lower case ends with a mark, which goes with symbols behind it.
+    dotted = "\u0130"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,40 +83,48 @@ class WordIds:
         blob, ends = ids.tobytes(), (4 * ends).tolist()
         return [blob[x:y] for x, y in zip([0, *ends], ends)]
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Look up distinct words that this generation has not met; returned are very long ones, which it does not keep."""
-        known = self.known
-        if self.old:
-            known.update((w, self.old[w]) for w in words if w in self.old)
-            words = [w for w in words if w not in self.old]
-        cores = [w.rstrip(self.symbols) for w in words]
-        plain = [c.isalpha() and len(w) <= CACHE_CHARS for c, w in zip(cores, words)]
-        other = [w for w, p in zip(words, plain) if not p]
-        words, cores = [*compress(words, plain)], [*compress(cores, plain)]
-        tails = [w[len(c) :] for w, c in zip(words, cores)]
-        cores = [c.lower() if c.isascii() else c for c in cores]
-        for own, encode in ((cores, self.encode_letters), (tails, self.encode)):
-            new = [*set(own).difference(known)]
-            known.update(zip(new, encode(new)))
-        known.update(zip(words, [known[c] + known[t] for c, t in zip(cores, tails)]))
+    def looked_up(self, parts: pa.Array) -> pa.Array:
+        """The ids of each part; very long parts are not remembered."""
+        parts = parts.dictionary_encode()
+        names, known, old = parts.dictionary.to_pylist(), self.known, self.old
+        new = [w for w in names if w not in known]
+        if old:
+            known.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in old]
+        letters = [w.isalpha() and len(w) <= CACHE_CHARS and self.dotted not in w for w in new]
+        known.update(zip(own := [*compress(new, letters)], self.encode_letters(own)))
+        other = [w for w, x in zip(new, letters) if not x]
         found = dict(zip(other, self.encode(other)))
-        long = {w: found.pop(w) for w in other if len(w) > CACHE_CHARS}
-        known.update(found)
-        return long
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        known.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
+        long = {w: x for w, x in found.items() if len(w) > CACHE_CHARS}
+        blobs = [known[w] if w in known else long[w] for w in names] if long else [*map(known.__getitem__, names)]
+        return pa.array(blobs, pa.large_binary()).take(parts.indices)
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of each of distinct words."""
+        cores = pc.ascii_rtrim(words, self.symbols)
+        plain = pc.and_not(pc.utf8_is_alpha(cores), pc.match_substring(cores, self.dotted))
+        plain = pc.and_(plain, pc.less_equal(pc.utf8_length(words), CACHE_CHARS))
+        behind = pc.if_else(plain, pc.subtract(pc.binary_length(words), pc.binary_length(cores)), 0).to_numpy()
+        cores = pc.if_else(pc.string_is_ascii(cores), pc.ascii_lower(cores), cores)
+        at = np.flatnonzero(behind)
+        tails = np.full(len(words), "", object)
+        tails[at] = [w[-n:] for w, n in zip(words.take(pa.array(at)).to_pylist(), behind[at].tolist())]
+        heads, tails = self.looked_up(pc.if_else(plain, cores, words)), self.looked_up(pa.array(tails, pa.string()))
+        return pc.binary_join_element_wise(heads, tails, pa.scalar(b"", pa.large_binary()))
+
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known, self.old = {}, self.known
-        whole = [any(x in t for x in self.odd) for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, whole)]
-        long = self.learn(list(set().union(*words).difference(self.known)))
-        for text, o, own in zip(texts, whole, words):
-            if o:
-                yield self.encode([text])[0]
-            elif long:
-                yield b"".join([self.known[w] if w in self.known else long[w] for w in own])
-            else:
-                yield b"".join([*map(self.known.__getitem__, own)])
+        texts = pc.coalesce(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = pc.match_substring(texts, self.special)
+        split = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+        words = split.flatten().dictionary_encode()
+        ids = self.of_words(words.dictionary).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for i, (o, x, y) in enumerate(zip(whole.to_pylist(), ends, ends[1:])):
+            yield self.encode([texts[i].as_py()])[0] if o else bytes(data[x:y])
 
 
 @lru_cache(1)
@@ -136,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, blob in zip(batch["doc_id"].to_pylist(), ids(["" if t is None else t for t in batch["text"].to_pylist()])):
+            for doc_id, blob in zip(batch["doc_id"].to_pylist(), ids(batch["text"])):
                 blob += end
                 start, total = 0, len(blob) // 4
                 for n in cuts(total, capacity, fine):

@@ -98,6 +98,19 @@ def test_word_ids_equal_the_tokenizers(text):
     assert list(np.frombuffer(list(word_ids(tokenizer_path(TOKENIZER))([text]))[0], "<u4")) == want
 
 
+@pytest.mark.parametrize("text", ["\u0130, a\u0130.; \u0130stanbul! x", "A\u0130#% \u0130", "  lead\u2028\u0130|,\x1c."])
+def test_letters_that_become_marks_go_with_the_symbols_behind_them(text):
+    test_word_ids_equal_the_tokenizers(text)
+
+
+def test_a_word_is_remembered_once_whatever_stands_behind_it():
+    ids = word_ids(tokenizer_path(TOKENIZER))
+    ids.known, ids.old = {}, {}
+    found = list(ids(["Tree, tree. TREE!", None, "tree;tree tree"]))
+    assert set(ids.known) == {"tree", "", ",", ".", "!", "tree;tree"} and found[1] == b"" and len(found[0]) == 24
+    ids.known, ids.old = {}, {}
+
+
 def test_workers_keep_no_words_between_tasks(spark):
     import pyarrow as pa
 

@@ -12,8 +12,9 @@ components. Each such pair still is verified if its prefixes ask for it, so no l
 a component are counted at last: all its pairs are compared, whole blocks of its sets with one another.
 
 The order puts first the shingles of rare words, last those that are frequent themselves. Words and shingles are counted
-over all texts; those go by their counts that are frequent in some batch of ARROW_ROWS texts (at least FREQUENT times),
-the HEAVY most frequent of each kind. Any order is right; this one keeps phrases of common words and common
+over all texts; of words those go by their counts that are frequent in some batch of ARROW_ROWS texts (at least FREQUENT
+times), of shingles those that a task has met AGAIN times (counters of a fixed size, halved as they fill up), the HEAVY most
+frequent of each kind. Any order is right; this one keeps phrases of common words and common
 passages out of prefixes, and what is broadcast is at most 32 * HEAVY bytes.
 
 Defined cases: null, empty and white-space texts have no shingles and no links; a text of fewer words than a shingle
@@ -35,9 +36,11 @@ from .common import arrow_rows, dropped, filtered_joins, stored, swept, tidy
 from .components import components
 
 ARROW_ROWS, FREQUENT, HEAVY, MOST_MATCHES, NO_ID = 2048, 8, 1 << 16, 8, (1 << 63) - 1
+#: Counters of shingles, a byte each, that a task has while it looks for frequent ones, and from which count on one is.
+SLOTS, AGAIN = 1 << 24, 4
 #: What decides costs and not links: star rounds after the first, classes of a bucket from which on they look at it, centres
 #: of each, pairs tested for a link beyond which they end, shingles that the join looks back.
-ROUNDS, WIDE, CENTRES, LEAST_YIELD, BEFORE = 6, 16, 4, 20, 16
+ROUNDS, WIDE, CENTRES, LEAST_YIELD, BEFORE = 6, 16, 4, 20, 32
 BITS = [f"bits{i}" for i in range(4)]
 #: A block of a component's sets: sets and shingles that it has on average at most; shingles compared at a time.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
@@ -100,13 +103,20 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, dict[int, int]]:
     """Hashes of frequent shingles, the most frequent last; and of frequent words how common they are, from 1 to 255."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, met, held = WordHashes(), np.zeros(SLOTS, np.uint8), 0
         for batch in batches:
             words = [word_hashes(t, known) for t in batch["text"].to_pylist()]
             for kind, each in ((0, [shingled(w, k)[0] for w in words]), (1, words)):
                 counts = pa.array(np.concatenate(each) if each else np.zeros(0, np.uint64)).value_counts()
                 kinds, n = counts.field("values").to_numpy(zero_copy_only=False), counts.field("counts").to_numpy(zero_copy_only=False)
                 often = n >= FREQUENT
+                if kind == 0:  # what the task has met before counts, too
+                    slots = kinds & np.uint64(SLOTS - 1)
+                    so_far = met[slots] + n
+                    met[slots], held, often = np.minimum(so_far, 255), held + len(kinds), so_far >= AGAIN
+                    if held > SLOTS // 4:
+                        met >>= 1
+                        held //= 2
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), kind), pa.int32()), pa.array(kinds[often].view(np.int64)), pa.array(n[often])], names=["kind", "token", "n"])
 
     found = stored(docs.select("text").mapInArrow(tidy(count), "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "frequent")
@@ -283,6 +293,25 @@ def _fits(num: int, den: int) -> str:
     return f"{den} * {shared} >= {num} * (x.n + y.n - {shared}) and {den + num} * ({differ}) <= {den - num} * (x.n + y.n)"
 
 
+#: How many wide shingles two prefixes share before a common one: those known at least, and those that may be beyond BEFORE.
+SHARED = "size(array_intersect(x.before, y.before))"
+BEYOND = f"(greatest(x.w - {BEFORE}, 0) + greatest(y.w - {BEFORE}, 0))"
+
+
+def _asked_for() -> str:
+    """Whether the common shingle may be the last one that a pair is asked for."""
+    return f"least(x.matches, y.matches) - 1 between {SHARED} and {SHARED} + {BEYOND}"
+
+
+def _enough(num: int, den: int) -> str:
+    """Whether classes x and y can be similar, by where their prefixes hold a common shingle: `at` shingles come before
+    it, `w` of them wide. Shared are at most all those behind it, itself, and before it the wide ones that are known to
+    be shared or may be, and the others.
+    """
+    shared = f"(least(x.w, y.w, {SHARED} + {BEYOND}) + least(x.at - x.w, y.at - y.w) + least(x.n - x.at, y.n - y.at))"
+    return f"{den + num} * {shared} >= {num} * (x.n + y.n)"
+
+
 class _Links:
     """What the rounds share: links found, labels of their components, pairs tested, sets read."""
 
@@ -401,20 +430,23 @@ def similarity_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
             break
     swept(spark)
 
-    # The join: pairs of classes of different components. Of a pair's common shingles in wide buckets those count that have
-    # fewer than `asked` others among the BEFORE such shingles before them in both prefixes. The first `asked` ones all
-    # count, so the pairs that have enough are the same; but near copies, which share long runs, make a few rows and not
-    # one a shingle.
-    before = F.collect_list("token").over(Window.partitionBy("cid").orderBy("at").rowsBetween(-BEFORE, -1))
-    one = wide.withColumn("before", before).unionByName(hits.join(many, "token", "left_anti").withColumn("before", F.array().cast("array<long>")))
+    # The join: pairs of classes of different components. Common shingles in narrow buckets are counted. In wide ones a
+    # pair makes a row at the common shingle that is the last one it is asked for, told by those before it in both prefixes
+    # (the BEFORE last ones are kept; where there are more, any row that may be it). Pairs that can reach what is asked of
+    # them with wide ones only in part go on with fewer counted. So no similar pair is lost, and near copies, which share
+    # long runs, make one row or a few and not one a shingle.
+    own = Window.partitionBy("cid").orderBy("at")
+    wides = wide.withColumns({"before": F.collect_list("token").over(own.rowsBetween(-BEFORE, -1)), "w": F.row_number().over(own) - 1, "wide": F.lit(True)})
+    one = wides.unionByName(hits.join(many, "token", "left_anti").withColumns({"before": F.array().cast("array<long>"), "w": F.lit(0), "wide": F.lit(False)}))
     one = links.labelled(one)
+    one = one.join(wide.groupBy("cid").agg(F.count(F.lit(1)).alias("wides")), "cid", "left").withColumn("wides", F.coalesce("wides", F.lit(0)))
     mixed = one.groupBy("token").agg(F.min("label").alias("lead"), F.max("label").alias("last")).where("lead <> last").select("token")
-    one = stored(one.join(mixed, "token").drop("at"), "mixed")
+    one = stored(one.join(mixed, "token"), "mixed")
     apart = "x.token = y.token and x.cid < y.cid and x.label <> y.label and greatest(x.level, y.level) <= least(x.matches, y.matches)"
-    fresh = "size(array_intersect(x.before, y.before)) < least(x.matches, y.matches)"
-    met = one.alias("x").join(one.alias("y"), F.expr(f"{apart} and {fits} and {fresh}"))
-    met = met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.least("x.matches", "y.matches").alias("asked"))
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min("asked").alias("asked")).where("k >= asked").select("a", "b")
+    met = one.alias("x").join(one.alias("y"), F.expr(f"{apart} and {fits} and (not x.wide or {_asked_for()}) and {_enough(num, den)}"))
+    asked = "least(x.matches, y.matches)"
+    met = met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.expr(f"if(x.wide, {asked}, 1)").alias("k"), F.expr(f"if(x.wide, {asked}, {asked} - least({asked} - 1, x.wides, y.wides))").alias("least"))
+    pairs = met.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("least").alias("least")).where("k >= least").select("a", "b")
     pairs = links.new(pairs, "pairs")
     for frame in (one, hits, many, wide):
         dropped(frame)

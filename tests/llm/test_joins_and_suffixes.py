@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sparkfolio.llm import suffix_dedup
+from sparkfolio.llm import ngram_join, suffix_dedup
 from sparkfolio.llm.components import components
 from sparkfolio.llm.ngram_join import link_counts, similarity_classes
 from sparkfolio.llm.suffix_dedup import blind_trie_order, deep_shallow_order, extents, without_repeats
@@ -125,6 +126,36 @@ def test_large_groups_equal_brute_force(spark, rounds):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 5, 4, 5))
 
 
+def test_shingles_are_frequent_that_a_task_meets_in_several_batches(spark):
+    docs = spark.createDataFrame([(f"own{i} words{i} here{i} the same three",) for i in range(12)], "text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = ngram_join.frequent(docs, 3)[0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found.tolist() == ngram_join.shingles("the same three", 3, ngram_join.WordHashes()).tolist()
+
+
+def test_a_pair_makes_one_row_in_wide_buckets(spark):
+    r = random.Random(5)
+    most, rows, want = ngram_join.BEFORE, [], {}
+    for pair in range(60):
+        longest = most if pair < 40 else 3 * most
+        sides, matches = [sorted(r.sample(range(longest + 4), r.randrange(1, longest))) for _ in range(2)], r.randrange(1, 9)
+        common = sorted(set(sides[0]) & set(sides[1]))
+        want[pair] = common[matches - 1] if len(common) >= matches else None
+        rows += [(pair, side, t, i, own[max(0, i - most) : i], matches) for side, own in enumerate(sides) for i, t in enumerate(own)]
+    one = spark.createDataFrame(rows, "pair int, side int, token long, w int, before array<long>, matches int")
+    met = one.where("side = 0").alias("x").join(one.where("side = 1").alias("y"), F.expr(f"x.pair = y.pair and x.token = y.token and {ngram_join._asked_for()}"))
+    got = {}
+    for x in met.select("x.pair", "x.token").collect():
+        got.setdefault(x.pair, set()).add(x.token)
+    for pair, token in want.items():
+        own = got.get(pair, set())
+        assert own == ({token} if token is not None else set()) if pair < 40 else token is None or token in own
+
+
 def test_join_of_odd_documents(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = similarity_classes(odd_docs, 3, 90, 100).collect()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Stop words of step tokens.
 STEP_STOPWORDS = (
@@ -50,6 +53,18 @@ def tokens(text: Column, stopwords: tuple[str, ...] = STEP_STOPWORDS) -> Column:
     return F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords))
 
 
+def _plain(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M"))
+
+
+@F.pandas_udf(StringType())
+def without_accents(text: pd.Series) -> pd.Series:
+    """Letters without their marks; a letter that has none, like the German sharp s, stays what it is."""
+    return text.map(_plain)
+
+
 def char_ngrams(text: Column, n: int = 2) -> Column:
     """All n-grams of the text without spaces; the text itself if shorter."""
     def grams(x: Column) -> Column:

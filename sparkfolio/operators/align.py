@@ -159,27 +159,26 @@ def members(found: DataFrame) -> DataFrame:
     """(problem, component, solver, idx, best): of each component and solver the step with the best edge inside it;
     components of two solvers at least.
     """
-    ends = found.select("problem", node("s1", "i").alias("node"), "score").union(found.select("problem", node("s2", "j"), "score"))
+    ends = found.select("problem", "score", F.explode(F.array(node("s1", "i"), node("s2", "j"))).alias("node"))
     best = ends.groupBy("problem", "node").agg(F.max("score").alias("best")).join(components(found), ["problem", "node"])
     one = best.groupBy("problem", "component", F.col("node.solver").alias("solver")).agg(F.min(F.struct(-F.col("best"), "node.idx")).alias("one"))
     kept = one.select("problem", "component", "solver", "one.idx", (-F.col("one.col1")).alias("best"))
-    solvers = kept.groupBy("problem", "component").agg(F.count(F.lit(1)).alias("solvers")).where("solvers >= 2")
-    return kept.join(solvers, ["problem", "component"])
+    return kept.withColumn("solvers", F.count(F.lit(1)).over(Window.partitionBy("problem", "component"))).where("solvers >= 2")
 
 
 def labels(found: DataFrame, steps: DataFrame) -> DataFrame:
     """(problem, component, group_no, label, solvers): the two most frequent title tokens (first seen wins a tie);
-    groups are numbered by size, then label (without case and accents first), then component.
+    groups are numbered by size, then label (without case and accents first, by code points), then component.
     """
-    own = members(found)
-    titled = own.join(steps, ["problem", "solver", "idx"])
+    titled = members(found).join(steps, ["problem", "solver", "idx"], "left")
     t = T.tokens(F.col("title"))
     words = F.when(F.size(t) > 0, t).otherwise(F.slice(T.tokens(F.col("body")), 1, 6))
-    seen = titled.select("problem", "component", "solver", "idx", F.posexplode(words).alias("pos", "token"))
-    freq = seen.groupBy("problem", "component", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("solver", "idx", "pos")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("problem", "component").orderBy(F.desc("n"), "first"))
-    top = freq.withColumn("rank", rank).where("rank <= 2").groupBy("problem", "component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), " ").alias("label"))
-    sizes = own.groupBy("problem", "component").agg(F.max("solvers").alias("solvers"))
-    named = sizes.join(top, ["problem", "component"], "left").withColumn("label", F.coalesce("label", F.lit("Step-Layer")))
-    number = F.row_number().over(Window.partitionBy("problem").orderBy(F.desc("solvers"), F.collate("label", "UNICODE_CI_AI"), "label", "component"))
+    seen = titled.select("problem", "component", "solvers", "solver", "idx", F.posexplode_outer(words).alias("pos", "token"))
+    freq = seen.groupBy("problem", "component", "token").agg(F.max("solvers").alias("solvers"), F.count(F.lit(1)).alias("n"), F.min(F.struct("solver", "idx", "pos")).alias("first"))
+    # A member without words is a row without a token, which comes last and names nothing.
+    rank = F.row_number().over(Window.partitionBy("problem", "component").orderBy(F.col("token").isNull(), F.desc("n"), "first"))
+    two = F.collect_list(F.when((F.col("rank") <= 2) & F.col("token").isNotNull(), F.struct("rank", "token")))
+    named = freq.withColumn("rank", rank).groupBy("problem", "component").agg(F.max("solvers").alias("solvers"), F.array_join(F.transform(F.array_sort(two), lambda x: x["token"]), " ").alias("label"))
+    named = named.withColumn("label", F.when(F.col("label") != "", F.col("label")).otherwise("Step-Layer")).withColumn("plain", F.lower(T.without_accents("label")))
+    number = F.row_number().over(Window.partitionBy("problem").orderBy(F.desc("solvers"), "plain", "label", "component"))
     return named.select("problem", "component", number.cast("long").alias("group_no"), "label", "solvers")

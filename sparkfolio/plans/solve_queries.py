@@ -186,12 +186,12 @@ def stream_solver_states(spark: SparkSession, d: str) -> DataFrame:
     """The state machine over a stream in slices of time, with stops, expired models and texts of those that have ended."""
     chunks, folder = _solver_chunks(read(spark, d, "events")), f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     low, high = chunks.agg(F.min("at"), F.max("at")).head()
-    out, problems = f"{folder}/out", chunks.where("problem is not null").select("problem")
+    out = f"{folder}/out"
     wide = ((high or 0) - (low or 0)) // SLICES + 1
     for k in range(SLICES):  # a slice comes as a whole, however many files it has, and the stream goes on before the next one comes
         chunks.where(F.col("at").between((low or 0) + k * wide, (low or 0) + (k + 1) * wide - 1)).write.parquet(f"{folder}/in/slice={k}")
         sliced = spark.readStream.schema(chunks.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-        solver_state.go_on(sliced, out, IDLE_DAYS * 86_400_000, f"{DELAY_DAYS} days", problems)
+        solver_state.go_on(sliced, out, IDLE_DAYS * 86_400_000, f"{DELAY_DAYS} days", solver_state.KNOWN)
     return solver_state.latest(spark, f"{out}/data")
 
 
